@@ -5,6 +5,7 @@
 
 import math
 import os
+import signal
 import sys
 import time
 
@@ -38,7 +39,9 @@ def rows_of(cols, rows):
 
 def compare(spark, con, sf_dir, fn, sql):
     df = fn(spark, sf_dir)
+    t0 = time.time()
     a_cols, a = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    compare.spark_s = time.time() - t0
     cur = con.execute(sql)
     b_cols, b = rows_of([c[0] for c in cur.description], cur.fetchall())
     if a_cols != b_cols:
@@ -56,8 +59,15 @@ def main():
     sf_dir, names = sys.argv[1], sys.argv[2:]
     spark, con = local_session(), duck(sf_dir)
     bad = 0
+    limit = int(os.environ.get("QUERY_SECONDS", "60"))
+
+    def late(*_):
+        raise TimeoutError(f"over {limit} s")
+
+    signal.signal(signal.SIGALRM, late)
     for name in names or list(QUERIES):
         t0 = time.time()
+        signal.alarm(limit)
         try:
             if name in ORACLE:
                 t1 = time.time()
@@ -66,6 +76,8 @@ def main():
                 n, msg = QUERIES[name](spark, sf_dir).count(), None
         except Exception as e:  # report and go on
             msg, n = f"{type(e).__name__}: {str(e)[:1500]}", -1
+            spark.sparkContext.cancelAllJobs()
+        signal.alarm(0)
         bad += msg is not None
         print(f"{'FAIL' if msg else 'ok'} {name} rows={n} {time.time() - t0:.1f}s {'' if name in ORACLE else '(no sql)'} {msg or ''}",
               flush=True)
