@@ -138,14 +138,14 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], name:
     sliced = materialise(
         df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_slice", F.spark_partition_id()),
         "numbered")
-    sizes = sliced.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sliced.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = sizes.select(*group, "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     local = Window.partitionBy(*group, "_slice").orderBy(*order)
     return (sliced.withColumn("_i", F.row_number().over(local))
             .join(offsets, [*group, "_slice"])
             .withColumn(name, (F.col("_before") + F.col("_i")).cast("long"))
-            .drop("_slice", "_n", "_before", "_i"))
+            .drop("_slice", "_before", "_i"))
 
 
 def running_total(df: DataFrame, group: Sequence[str], slice_col: str, order: Sequence[Column],
