@@ -262,7 +262,7 @@ def regions_report(modules: DataFrame, preds: DataFrame, gates: DataFrame, edges
     lab = gates.select(*GATE, F.col("label").alias("_l"))
     p = F.array_max("prob")
     base = (m.join(preds.select(*GATE, p.alias("p")), GATE).join(lab, GATE).groupBy(C, "module", "pred_class", "size")
-            .agg(F.round(F.avg("p"), 3).alias("mean_probability"), F.round(F.min("p"), 3).alias("min_probability"),
+            .agg(F.avg("p").alias("mean_probability"), F.min("p").alias("min_probability"),
                  F.count_if(F.col("p") < S.LOW_PROBABILITY).alias("below_0_6"), F.count_if(F.col("_l") == F.col("pred_class")).alias("agreeing")))
     sym = symmetric(edges)
     out = (sym.join(m.select(C, F.col("gate_id").alias("src"), F.col("module").alias("a")), [C, "src"])

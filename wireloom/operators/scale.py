@@ -167,3 +167,25 @@ def sample_list(df: DataFrame, group: Sequence[str], value: str, k: int, name: s
     rows = df.select(*group, value).filter(F.col(value).isNotNull()).distinct()
     kept = top_k(rows, group, order or [F.col(value)], k, "_k")
     return kept.groupBy(*group).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
+def carry_forward(df: DataFrame, group: Sequence[str], slice_col: Column, order: Sequence[Column],
+                  value: Column, name: str, backward: bool = False) -> DataFrame:
+    """Last non-null `value` at or before each row (after it with `backward`), null before the first one.
+
+    A group is cut into slices along `order`; the last value of each slice is carried over the slices
+    first, so no task sees a whole group.
+    """
+    group = list(group)
+    df = df.withColumn("_sl", slice_col).withColumn("_v", value)
+    if backward:
+        order = [o.desc() for o in order]
+    first_key = F.desc("_sl") if backward else F.asc("_sl")
+    w = Window.partitionBy(*group, "_sl").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("_in", F.last("_v", ignorenulls=True).over(w))
+    tail = Window.partitionBy(*group, "_sl").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = (df.withColumn("_end", F.last("_v", ignorenulls=True).over(tail)).groupBy(*group, "_sl").agg(F.first("_end").alias("_end")))
+    over = Window.partitionBy(*group).orderBy(first_key).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*group, "_sl", F.last("_end", ignorenulls=True).over(over).alias("_before"))
+    return (rows.join(carried, [*group, "_sl"]).withColumn(name, F.coalesce("_in", "_before"))
+            .drop("_sl", "_v", "_in", "_before"))
