@@ -264,9 +264,9 @@ def check_metrics(texts: DataFrame, depth: DataFrame, totals: DataFrame, nets: D
     bad = s.filter(value).select(*key)
     num = lambda rx, g=1: _all("sentence", rx, g)
     deep = s.filter(F.col("sentence").rlike(DEPTH_WORDS) & ~F.col("sentence").rlike(NOT_DEPTH)).select(
-        *key, F.explode(F.concat(num(LEVEL_COUNT), num(DEPTH_COUNT))).cast("long").alias("n"))
+        *key, F.explode(F.concat(num(LEVEL_COUNT), num(DEPTH_COUNT))).alias("n")).withColumn("n", F.col("n").cast("long"))
     bad = bad.union(deep.join(depth, C).filter("n <> max_depth").select(*key))
-    total = s.select(*key, F.explode(num(TOTAL_GATES)).cast("long").alias("n"))
+    total = s.select(*key, F.explode(num(TOTAL_GATES)).alias("n")).withColumn("n", F.col("n").cast("long"))
     bad = bad.union(total.join(totals, C).filter("n <> gates").select(*key))
     two = lambda rx, a, b: F.explode(F.arrays_zip(num(rx, a).alias("k"), num(rx, b).alias("n")))
     fo = s.select(*key, two(FANOUT_COUNT, 1, 2).alias("x")).select(*key, F.col("x.k").alias("k"), F.col("x.n").cast("long").alias("n"))

@@ -149,16 +149,17 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], name:
 
 
 def running_total(df: DataFrame, group: Sequence[str], slice_col: str, order: Sequence[Column],
-                  value: Column, name: str) -> DataFrame:
-    """Inclusive running sum per group. `slice_col` cuts a group into consecutive pieces in `order`."""
-    group = list(group)
-    df = df.withColumn("_v", value)
-    sizes = df.groupBy(*group, slice_col).agg(F.sum("_v").alias("_s"))
+                  totals: dict[str, Column]) -> DataFrame:
+    """Inclusive running sums per group. `slice_col` cuts a group into consecutive pieces in `order`."""
+    group, names = list(group), list(totals)
+    df = df.withColumns({f"_v_{n}": v for n, v in totals.items()})
+    sizes = df.groupBy(*group, slice_col).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
     before = Window.partitionBy(*group).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*group, slice_col, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    offsets = sizes.select(*group, slice_col, *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in names])
     local = Window.partitionBy(*group, slice_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (df.withColumn("_r", F.sum("_v").over(local)).join(offsets, [*group, slice_col])
-            .withColumn(name, F.col("_before") + F.col("_r")).drop("_v", "_r", "_before"))
+    rows = df.withColumns({f"_r_{n}": F.sum(f"_v_{n}").over(local) for n in names}).join(offsets, [*group, slice_col])
+    return (rows.withColumns({n: F.col(f"_b_{n}") + F.col(f"_r_{n}") for n in names})
+            .drop(*[f"_{k}_{n}" for k in "vrb" for n in names]))
 
 
 def sample_list(df: DataFrame, group: Sequence[str], value: str, k: int, name: str,
