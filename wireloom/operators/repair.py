@@ -62,36 +62,42 @@ def pair_score() -> Column:
 
 
 def best_sources(sinks: DataFrame, sources: DataFrame, k: int = 1) -> DataFrame:
-    """The `k` best candidates found per sink, best first (ties: larger source id). The first is the true best."""
-    carry, same = F.lit("*"), lambda c: F.coalesce(F.col(c), F.lit(""))
+    """The best, or the two best (`k` = 2), sources per sink, best first (ties: larger source id)."""
+    anything, same = F.lit("*"), lambda c: F.coalesce(F.col(c), F.lit(""))
     src = sources.withColumn("_stem", name_stem(F.col("net"))).withColumn("_pos", F.coalesce(F.col("gate_id"), F.lit(0)))
     # property classes of a source that a sink can ask for: (block or any) x (stem or any), by kind, carry pin and penalty
     attrs = [F.col("kind").alias("_k"), (F.col("pin").eqNullSafe("CO")).cast("string").alias("_co"), F.col("penalty").cast("string").alias("_pen")]
-    wide = lambda df, opt: df.withColumn("_blk", F.explode(F.array(carry, same("block")))).withColumn("_st", F.explode(F.array(carry, F.col("_stem"))))
+    wide = lambda df: df.withColumn("_blk", F.explode(F.array(anything, same("block")))).withColumn("_st", F.explode(F.array(anything, F.col("_stem"))))
     item = F.struct(*[F.col(c).alias(f"s_{c}") for c in ("source_id", "kind", "gate_id", "pin", "net", "block", "penalty", "reusable")])
-    s_rows = wide(src.select(C, "block", "_stem", "_pos", *attrs, item.alias("item")), None).select(
+    s_rows = wide(src.select(C, "block", "_stem", "_pos", *attrs, item.alias("item"))).select(
         C, "_blk", "_st", "_k", "_co", "_pen", "_pos", F.lit(None).cast("string").alias("sink_id"), "item")
     ask = F.array(*[F.struct(F.lit(k_).alias("_k"), F.lit(co).alias("_co"), F.lit(pen).alias("_pen"))
                     for k_, co, pen in (("gate", "true", "0.0"), ("gate", "true", "1.0"), ("gate", "false", "0.0"), ("gate", "false", "1.0"), ("pi", "false", "0.0"))])
     q = sinks.withColumn("_stem", name_stem(F.col("net"))).withColumn("_a", F.explode(ask)).filter("allow_pi or _a._k <> 'pi'")
     pos = F.when((F.col("_a._k") == "pi") | F.col("gate_id").isNull(), F.lit(FAR)).otherwise(F.col("gate_id"))
-    q = wide(q.withColumn("_pos", pos), None).select(C, "_blk", "_st", F.col("_a._k").alias("_k"), F.col("_a._co").alias("_co"), F.col("_a._pen").alias("_pen"), "_pos", "sink_id",
+    q = wide(q.withColumn("_pos", pos)).select(C, "_blk", "_st", F.col("_a._k").alias("_k"), F.col("_a._co").alias("_co"), F.col("_a._pen").alias("_pen"), "_pos", "sink_id",
                                                      F.lit(None).cast(s_rows.schema["item"].dataType).alias("item"))
     group = [C, "_blk", "_st", "_k", "_co", "_pen"]
     both = s_rows.union(q.distinct())
-    order = [F.col("_pos"), F.col("item.s_source_id")]
+    both = materialise(both, "positions")
+    source_first, source_last = F.col("sink_id").isNotNull(), F.col("sink_id").isNull()
     cut = F.floor(F.col("_pos") / 65536)
-    left = carry_forward(both, group, cut, [F.col("_pos"), F.col("sink_id").isNotNull(), F.col("item.s_source_id")], F.col("item"), "near")
-    # a sink never takes its own gate, so on either side the nearest other gate is wanted: shift the sink by half a step
-    right = carry_forward(both, group, cut, [F.col("_pos"), F.col("sink_id").isNull(), F.col("item.s_source_id")], F.col("item"), "near", backward=True)
-    shifted = both.withColumn("_pos", F.when(F.col("sink_id").isNotNull(), F.col("_pos") - 1).otherwise(F.col("_pos")))
-    left2 = carry_forward(shifted, group, F.floor(F.col("_pos") / 65536), [F.col("_pos"), F.col("sink_id").isNotNull(), F.col("item.s_source_id")], F.col("item"), "near")
-    up = both.withColumn("_pos", F.when(F.col("sink_id").isNotNull(), F.col("_pos") + 1).otherwise(F.col("_pos")))
-    right2 = carry_forward(up, group, F.floor(F.col("_pos") / 65536), [F.col("_pos"), F.col("sink_id").isNull(), F.col("item.s_source_id")], F.col("item"), "near", backward=True)
-    near = None
-    for d in (left, left2, right, right2):
-        d = d.filter("sink_id is not null and near is not null").select(C, "sink_id", "near.*")
-        near = d if near is None else near.union(d)
+
+    def look(shift, tie, backward):
+        """Nearest source strictly below or above each sink: sources at its own place belong to its own gate.
+
+        For more than one candidate every source also carries the one before it.
+        """
+        d = both
+        if k > 1:
+            s_only = carry_forward(d.filter("sink_id is null"), group, cut, [F.col("_pos"), F.col("item.s_source_id")], F.col("item"), "prev", backward, strict=True)
+            d = s_only.unionByName(d.filter("sink_id is not null").withColumn("prev", F.col("item")))
+        d = d.withColumn("_pos", F.when(F.col("sink_id").isNotNull(), F.col("_pos") + shift).otherwise(F.col("_pos")))
+        value = F.when(F.col("sink_id").isNull(), F.array("item", "prev") if k > 1 else F.array("item"))
+        d = carry_forward(d, group, cut, [F.col("_pos"), tie, F.col("item.s_source_id")], value, "near", backward)
+        return d.filter("sink_id is not null and near is not null").select(C, "sink_id", F.explode("near").alias("n")).filter("n is not null").select(C, "sink_id", "n.*")
+
+    near = look(-1, source_first, False).union(look(1, source_last, True))
     j = sinks.join(near.distinct(), [C, "sink_id"]).filter(~F.col("gate_id").eqNullSafe(F.col("s_gate_id")) | F.col("gate_id").isNull())
     return top_k(j.withColumn("score", pair_score()), [C, "sink_id"], [F.col("score").desc(), F.col("s_source_id").desc()], k, "candidate")
 
@@ -122,14 +128,19 @@ def assign(sinks: DataFrame, sources: DataFrame) -> DataFrame:
     return done.all() if done.parts else None
 
 
+def margin_confidence(assigned: DataFrame, candidates: DataFrame) -> DataFrame:
+    """0.9 from a margin of 2 to the second candidate, 0.6 from 0.5, else 0.4; 0.9 without a second one."""
+    two = candidates.filter("candidate = 2").select(C, "sink_id", F.col("score").alias("_second"))
+    m = F.round(F.coalesce(F.col("score") - F.col("_second"), F.lit(99.0)), 9)
+    return assigned.join(two, [C, "sink_id"], "left").withColumn("confidence", F.when(m >= 2, 0.9).when(m >= 0.5, 0.6).otherwise(0.4)).drop("_second")
+
+
 def confidence(assigned: DataFrame, candidates: DataFrame, sources: DataFrame) -> DataFrame:
     """0.9, 0.6 or 0.4 by the margin to the second candidate; drivers of a shared net get 1/n each.
 
     A source of a multiply driven net stands for all drivers of that net: one row per driver.
     """
-    two = candidates.filter("candidate = 2").select(C, "sink_id", F.col("score").alias("_second"))
-    m = F.coalesce(F.col("score") - F.col("_second"), F.lit(99.0))
-    a = assigned.join(two, [C, "sink_id"], "left").withColumn("confidence", F.when(m >= 2, 0.9).when(m >= 0.5, 0.6).otherwise(0.4))
+    a = margin_confidence(assigned, candidates)
     n = sources.filter("reusable").groupBy(C, "net").agg(F.count(F.lit(1)).alias("_n"))
     grp = sources.filter("reusable").join(n, NET).select(C, F.col("net").alias("s_net"), F.col("gate_id").alias("from_gate"), F.col("pin").alias("from_pin"), "_n")
     single = a.filter(~F.col("s_reusable")).select(C, "sink_id", F.col("s_gate_id").alias("from_gate"), F.col("s_pin").alias("from_pin"), F.col("s_net").alias("from_net"), "confidence",

@@ -128,6 +128,12 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
+def uniform(seed: int, *keys) -> Column:
+    """Number in [0, 1) from the seeded hash of the keys: the same whatever the partitioning."""
+    h = F.xxhash64(*[F.col(k) if isinstance(k, str) else k for k in keys], F.lit(seed))
+    return h.bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+
+
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
     """`row_number` per group where one group may hold most of the rows.
 
@@ -142,10 +148,10 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], name:
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*group, "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     local = Window.partitionBy(*group, "_slice").orderBy(*order)
-    return (sliced.withColumn("_i", F.row_number().over(local))
+    return (sliced.withColumn("_row", F.row_number().over(local))
             .join(offsets, [*group, "_slice"])
-            .withColumn(name, (F.col("_before") + F.col("_i")).cast("long"))
-            .drop("_slice", "_before", "_i"))
+            .withColumn(name, (F.col("_before") + F.col("_row")).cast("long"))
+            .drop("_slice", "_before", "_row"))
 
 
 def running_total(df: DataFrame, group: Sequence[str], slice_col: str, order: Sequence[Column],
@@ -171,9 +177,11 @@ def sample_list(df: DataFrame, group: Sequence[str], value: str, k: int, name: s
 
 
 def carry_forward(df: DataFrame, group: Sequence[str], slice_col: Column, order: Sequence[Column],
-                  value: Column, name: str, backward: bool = False) -> DataFrame:
+                  value: Column, name: str, backward: bool = False, strict: bool = False) -> DataFrame:
     """Last non-null `value` at or before each row (after it with `backward`), null before the first one.
 
+    `strict` leaves out the row itself.
+
     A group is cut into slices along `order`; the last value of each slice is carried over the slices
     first, so no task sees a whole group.
     """
@@ -182,7 +190,7 @@ def carry_forward(df: DataFrame, group: Sequence[str], slice_col: Column, order:
     if backward:
         order = [o.desc() for o in order]
     first_key = F.desc("_sl") if backward else F.asc("_sl")
-    w = Window.partitionBy(*group, "_sl").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*group, "_sl").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     rows = df.withColumn("_in", F.last("_v", ignorenulls=True).over(w))
     tail = Window.partitionBy(*group, "_sl").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = (df.withColumn("_end", F.last("_v", ignorenulls=True).over(tail)).groupBy(*group, "_sl").agg(F.first("_end").alias("_end")))

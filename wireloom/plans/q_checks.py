@@ -148,18 +148,20 @@ def _(spark, d):
     return checks.findings(m).na.fill({"first_gate": -1, "first_net": ""})
 
 
-@query("merged_findings", """SELECT circuit_id, "check", category, severity, block, group_subject, merged, n AS count,
-      coalesce(first_gate, -1) AS first_gate, coalesce(first_net, '') AS first_net, coalesce(gate_ids, '') AS gate_ids FROM (
-      SELECT circuit_id, "check", category, severity, block, g AS group_subject, merged, count(*) AS n, min(first_gate) AS first_gate,
-        min(first_net) AS first_net FROM grouped GROUP BY ALL)
-    LEFT JOIN (SELECT circuit_id, "check", severity, block, g AS group_subject, string_agg(gate_id, ',' ORDER BY gate_id) AS gate_ids FROM (
-      SELECT *, row_number() OVER (PARTITION BY circuit_id, "check", severity, block, g ORDER BY gate_id) AS k FROM (
-        SELECT DISTINCT circuit_id, "check", severity, block, g, m.gate_id FROM grouped JOIN members m USING (circuit_id, "check", severity, subject)
-        WHERE m.gate_id IS NOT NULL)) WHERE k <= 50 GROUP BY 1, 2, 3, 4, 5) USING (circuit_id, "check", severity, block, group_subject)""",
-       grouped="""SELECT *, CASE WHEN merged THEN first ELSE subject END AS g FROM (
-         SELECT *, count(*) OVER w > 25 AS merged, min(subject) OVER w AS first FROM (
-           SELECT f.*, coalesce(hier_prefix, '') AS block FROM findings f LEFT JOIN gates g ON g.circuit_id = f.circuit_id AND g.gate_id = f.first_gate)
-         WINDOW w AS (PARTITION BY circuit_id, "check", severity, block))""", **CHECK_SQL)
+MERGE_SQL = {
+    "fblock": """SELECT f.*, coalesce(hier_prefix, '') AS block FROM findings f LEFT JOIN gates g ON g.circuit_id = f.circuit_id AND g.gate_id = f.first_gate""",
+    "fsize": """SELECT circuit_id, "check" AS c, severity AS s, block AS b, count(*) > 25 AS merged, min(subject) AS first FROM fblock GROUP BY 1, 2, 3, 4""",
+    "grouped": """SELECT f.*, merged, CASE WHEN merged THEN first ELSE subject END AS g FROM fblock f JOIN fsize z ON z.circuit_id = f.circuit_id AND z.c = f."check" AND z.s = f.severity AND z.b = f.block""",
+    "heads": """SELECT circuit_id, "check", category, severity, block, g, merged, count(*) AS n, min(first_gate) AS first_gate, min(first_net) AS first_net FROM grouped GROUP BY 1, 2, 3, 4, 5, 6, 7""",
+    "mgates": """SELECT DISTINCT x.circuit_id, x."check", x.severity, x.block, x.g, m.gate_id FROM grouped x JOIN members m ON m.circuit_id = x.circuit_id AND m."check" = x."check"
+        AND m.severity = x.severity AND m.subject = x.subject WHERE m.gate_id IS NOT NULL""",
+    "mlist": """SELECT circuit_id, "check" AS c, severity AS s, block AS b, g AS gg, string_agg(gate_id, ',' ORDER BY gate_id) AS gate_ids FROM (
+        SELECT *, row_number() OVER (PARTITION BY circuit_id, "check", severity, block, g ORDER BY gate_id) AS k FROM mgates) WHERE k <= 50 GROUP BY 1, 2, 3, 4, 5""",
+    **CHECK_SQL}
+
+
+@query("merged_findings", """SELECT h.circuit_id, "check", category, severity, block, g AS group_subject, merged, n AS count, coalesce(first_gate, -1) AS first_gate, coalesce(first_net, '') AS first_net,
+    coalesce(gate_ids, '') AS gate_ids FROM heads h LEFT JOIN mlist l ON l.circuit_id = h.circuit_id AND l.c = h."check" AND l.s = h.severity AND l.b = h.block AND l.gg = h.g""", **MERGE_SQL)
 def _(spark, d):
     t, m = _members(spark, d)
     out = checks.merge_findings(m, t.gates)
