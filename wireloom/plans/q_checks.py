@@ -149,12 +149,13 @@ def _(spark, d):
 
 
 MERGE_SQL = {
-    "fblock": """SELECT f.*, coalesce(hier_prefix, '') AS block FROM findings f LEFT JOIN gates g ON g.circuit_id = f.circuit_id AND g.gate_id = f.first_gate""",
+    "flist": """SELECT m.circuit_id, m."check", m.severity, m.subject, min(gate_id) AS first_gate, min(net) AS first_net, any_value(c.category) AS category,
+        list(DISTINCT gate_id) FILTER (gate_id IS NOT NULL) AS gl FROM members m JOIN catalog c ON c."check" = m."check" GROUP BY 1, 2, 3, 4""",
+    "fblock": """SELECT f.*, coalesce(hier_prefix, '') AS block FROM flist f LEFT JOIN gates g ON g.circuit_id = f.circuit_id AND g.gate_id = f.first_gate""",
     "fsize": """SELECT circuit_id, "check" AS c, severity AS s, block AS b, count(*) > 25 AS merged, min(subject) AS first FROM fblock GROUP BY 1, 2, 3, 4""",
     "grouped": """SELECT f.*, merged, CASE WHEN merged THEN first ELSE subject END AS g FROM fblock f JOIN fsize z ON z.circuit_id = f.circuit_id AND z.c = f."check" AND z.s = f.severity AND z.b = f.block""",
     "heads": """SELECT circuit_id, "check", category, severity, block, g, merged, count(*) AS n, min(first_gate) AS first_gate, min(first_net) AS first_net FROM grouped GROUP BY 1, 2, 3, 4, 5, 6, 7""",
-    "mgates": """SELECT DISTINCT x.circuit_id, x."check", x.severity, x.block, x.g, m.gate_id FROM grouped x JOIN members m ON m.circuit_id = x.circuit_id AND m."check" = x."check"
-        AND m.severity = x.severity AND m.subject = x.subject WHERE m.gate_id IS NOT NULL""",
+    "mgates": """SELECT DISTINCT circuit_id, "check", severity, block, g, unnest(gl) AS gate_id FROM grouped""",
     "mlist": """SELECT circuit_id, "check" AS c, severity AS s, block AS b, g AS gg, string_agg(gate_id, ',' ORDER BY gate_id) AS gate_ids FROM (
         SELECT *, row_number() OVER (PARTITION BY circuit_id, "check", severity, block, g ORDER BY gate_id) AS k FROM mgates) WHERE k <= 50 GROUP BY 1, 2, 3, 4, 5""",
     **CHECK_SQL}
