@@ -13,7 +13,7 @@ from wireloom import schema as S
 from wireloom.functions import names
 from wireloom.operators import graph
 from wireloom.operators.model import GATE, NET, missing_pins, po_gates, unknown_cells
-from wireloom.operators.scale import numbered, sample_list, top_k
+from wireloom.operators.scale import materialise, numbered, sample_list, top_k
 from wireloom.tables import Tables
 
 C = "circuit_id"
@@ -126,9 +126,9 @@ def check_no_path_to_po(t: Tables) -> DataFrame:
 
 
 # ------------------------------------------------------------------ structural
-def component_summary(t: Tables) -> DataFrame:
+def component_summary(t: Tables, comp: DataFrame | None = None) -> DataFrame:
     """Components over gates and ports with their counts, largest first (`rank`)."""
-    comp = graph.typed_components(t.net_ends)
+    comp = graph.typed_components(t.net_ends) if comp is None else comp
     kind = F.split_part("vertex", F.lit(":"), F.lit(1))
     sizes = comp.groupBy(C, "component").agg(
         F.count_if(kind == "g").alias("gates"), F.count_if(kind == "pi").alias("inputs"),
@@ -143,9 +143,9 @@ def component_summary(t: Tables) -> DataFrame:
 
 def check_isolated_component(t: Tables) -> DataFrame:
     """Every component but the largest of its circuit."""
-    small = component_summary(t).filter("rank > 1").select(C, "component", "first_gate")
-    comp = graph.typed_components(t.net_ends).filter("vertex like 'g:%'")
-    m = small.join(comp, [C, "component"], "left").withColumn(
+    comp = graph.typed_components(t.net_ends)
+    small = component_summary(t, comp).filter("rank > 1").select(C, "component", "first_gate")
+    m = small.join(comp.filter("vertex like 'g:%'"), [C, "component"], "left").withColumn(
         "gate_id", F.coalesce(F.split_part("vertex", F.lit(":"), F.lit(2)).cast("int"), F.col("first_gate")))
     return _members(m, "isolated_component", "warning",
                     F.concat(F.lit("R"), F.col("first_gate").cast("string")), "gate_id")
@@ -209,6 +209,7 @@ def run_checks(t: Tables, checks=None, extra: DataFrame | None = None) -> DataFr
     """Member rows of all checks; `extra` adds rows of the bus checks or templates."""
     if checks is None:
         checks = ELECTRICAL + REACHABILITY + STRUCTURAL + (MODEL if t.preds is not None else ())
+    t.nets = materialise(t.nets, "nets")  # nearly every check reads the net counts
     out = None
     for c in checks:
         rows = c(t)

@@ -8,7 +8,7 @@ from wireloom.operators import graph, model
 from wireloom.operators.scale import materialise, shared_dir
 from wireloom.plans import bindings as B
 from wireloom.plans.q_graph import GCOMP, HOP_SQL, LEVEL_SQL, SDEG, SUPPORT_SQL, bound_levels, dag, input_support, pi_gates
-from wireloom.plans.registry import query
+from wireloom.plans.registry import query as register
 from wireloom.sources import datasets as D
 
 COLS = ["x0", "x1", "x2"]
@@ -33,9 +33,20 @@ def bound_features(t):
                                     F.lit(1.0).alias("x3"))
 
 
-def rnd(df, digits=6):
-    """Round every double column: sums in a different order differ in the last bits."""
-    return df.select(*[F.round(n, digits).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
+NUDGE = 1e-9
+
+
+def rnd(df, digits=6, nudge=0.0):
+    """Round every double column: sums in a different order differ in the last bits.
+
+    `nudge` moves exact ties off the rounding border, where those bits would decide.
+    """
+    return df.select(*[F.round(F.col(n) + F.lit(nudge), digits).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
+
+
+def query(name, sql=None, **ctes):
+    """Register with the same nudge inside every rounding of the SQL."""
+    return register(name, sql and sql.replace("round(", f"round({NUDGE}::DOUBLE + "), **ctes)
 
 
 def r6(*cols, t=""):
@@ -46,7 +57,7 @@ def r6(*cols, t=""):
     (SELECT {", ".join(f"avg({c}) AS m{c}, stddev_pop({c}) AS s{c}" for c in COLS)} FROM feat JOIN splits USING (circuit_id, gate_id) WHERE split = 'tr')""", **FEAT)
 def _(spark, d):
     t = B.tables(spark, d)
-    return rnd(X.scale_train_only(bound_features(t), B.bound_splits(t.gates).filter("split = 'tr'"), COLS + ["x3"]))
+    return rnd(X.scale_train_only(bound_features(t), B.bound_splits(t.gates).filter("split = 'tr'"), COLS + ["x3"]), nudge=NUDGE)
 
 
 @query("feature_audit", """SELECT * FROM (SELECT 'x0' AS "column", min(x0) AS low, max(x0) AS high, min(x0) = max(x0) AS constant FROM feat
@@ -63,20 +74,20 @@ def _(spark, d):
     f = materialise(bound_features(t), "features")
     train = B.bound_splits(t.gates).filter("split = 'tr'")
     scaled = materialise(X.scale_train_only(f, train, COLS), "scaled")
-    return rnd(E.audit_scaling(f, scaled, train, COLS))
+    return rnd(E.audit_scaling(f, scaled, train, COLS), nudge=NUDGE)
 
 
 @query("mean_aggregate", f"""SELECT s.circuit_id, s.src AS gate_id, {", ".join(f"round(avg({c}), 6) AS {c}" for c in COLS)} FROM sym s
     JOIN feat f ON f.circuit_id = s.circuit_id AND f.gate_id = s.dst GROUP BY 1, 2""", **FEAT)
 def _(spark, d):
     t = B.tables(spark, d)
-    return rnd(X.mean_aggregate(bound_features(t), t.edges, COLS))
+    return rnd(X.mean_aggregate(bound_features(t), t.edges, COLS), nudge=NUDGE)
 
 
 @query("sym_aggregate", f"SELECT circuit_id, gate_id, {r6(*COLS)} FROM hs1", **FEAT)
 def _(spark, d):
     t = B.tables(spark, d)
-    return rnd(X.aggregate(bound_features(t), X.sym_weights(t.edges, t.gates), COLS))
+    return rnd(X.aggregate(bound_features(t), X.sym_weights(t.edges, t.gates), COLS), nudge=NUDGE)
 
 
 _PROP = ", ".join([r6(*COLS, t="f.")] + [f"round({k}.{c}, 6) AS {c}_{n}" for k, n in (("a", "rw1"), ("b", "rw2"), ("c", "sym1"), ("e", "sym2")) for c in COLS])
@@ -86,7 +97,7 @@ _PROP = ", ".join([r6(*COLS, t="f.")] + [f"round({k}.{c}, 6) AS {c}_{n}" for k,
     JOIN hr2 b USING (circuit_id, gate_id) JOIN hs1 c USING (circuit_id, gate_id) JOIN hs2 e USING (circuit_id, gate_id)""", **FEAT)
 def _(spark, d):
     t = B.tables(spark, d)
-    return rnd(X.propagate(materialise(bound_features(t), "features"), t.gates, t.edges, COLS))
+    return rnd(X.propagate(materialise(bound_features(t), "features"), t.gates, t.edges, COLS), nudge=NUDGE)
 
 
 @query("directed_features", f"""SELECT circuit_id, gate_id, {", ".join(f"round({c}_in, 6) AS {c}_in, round({c}_out, 6) AS {c}_out" for c in COLS)} FROM
@@ -95,7 +106,7 @@ def _(spark, d):
     USING (circuit_id, gate_id)""", loops="SELECT * FROM edges UNION ALL SELECT circuit_id, gate_id, gate_id FROM gates", **FEAT)
 def _(spark, d):
     t = B.tables(spark, d)
-    return rnd(X.propagate_directed(bound_features(t), t.gates, t.edges, COLS))
+    return rnd(X.propagate_directed(bound_features(t), t.gates, t.edges, COLS), nudge=NUDGE)
 
 
 @query("combined_hops", """SELECT circuit_id, gate_id, round(greatest(f.x0, a.x0), 6) AS m0, round(greatest(f.x1, a.x1), 6) AS m1, round((f.x2 + a.x2) / 2, 6) AS a2
@@ -106,14 +117,14 @@ def _(spark, d):
     hops = [COLS, [f"{c}_rw1" for c in COLS]]
     mx = X.combine_hops(p, hops, "max").withColumnRenamed("features", "mx")
     av = X.combine_hops(p, hops, "mean").withColumnRenamed("features", "av")
-    return rnd(mx.join(av, KEYS).select(*KEYS, F.col("mx")[0].alias("m0"), F.col("mx")[1].alias("m1"), F.col("av")[2].alias("a2")))
+    return rnd(mx.join(av, KEYS).select(*KEYS, F.col("mx")[0].alias("m0"), F.col("mx")[1].alias("m1"), F.col("av")[2].alias("a2")), nudge=NUDGE)
 
 
 @query("pooled_neighbours", f"""SELECT s.circuit_id, s.src AS gate_id, {", ".join(f"max({c}) AS {c}_max, round(avg({c}), 6) AS {c}_mean" for c in COLS)} FROM sym s
     JOIN feat f ON f.circuit_id = s.circuit_id AND f.gate_id = s.dst GROUP BY 1, 2""", **FEAT)
 def _(spark, d):
     t = B.tables(spark, d)
-    return rnd(X.pool_neighbours(bound_features(t), graph.symmetric(t.edges), COLS))
+    return rnd(X.pool_neighbours(bound_features(t), graph.symmetric(t.edges), COLS), nudge=NUDGE)
 
 
 A_SELF, A_NEIGH = (0.5, -0.25, 0.01), (0.1, 0.2, -0.02)
@@ -125,7 +136,7 @@ _DOT = lambda p, v: "greatest(" + " + ".join(f"{p}.{c} * {w}::DOUBLE" for c, w i
 def _(spark, d):
     t = B.tables(spark, d)
     f = materialise(bound_features(t), "features")
-    return rnd(X.attention_aggregate(f, X.row_weights(t.edges, t.gates), COLS, A_SELF, A_NEIGH))
+    return rnd(X.attention_aggregate(f, X.row_weights(t.edges, t.gates), COLS, A_SELF, A_NEIGH), nudge=NUDGE)
 
 
 W1 = [(i, j, round(0.1 * (i + 1) - 0.05 * j, 2)) for i in range(3) for j in range(4)]
@@ -144,7 +155,7 @@ _VALS = lambda w: "SELECT i::INT AS i, j::INT AS j, v::DOUBLE AS v FROM (VALUES
 def _(spark, d):
     t = B.tables(spark, d)
     w = [spark.createDataFrame(x, "i int, j int, value double") for x in (W1, W2)]
-    return rnd(X.gcn_score(bound_features(t), t.gates, t.edges, COLS, *w))
+    return rnd(X.gcn_score(bound_features(t), t.gates, t.edges, COLS, *w), nudge=NUDGE)
 
 
 @query("depth_encoding", f"""SELECT circuit_id, gate_id, round(ln(count(*) OVER (PARTITION BY circuit_id, p.component)), 6) AS log_size,
@@ -154,7 +165,7 @@ def _(spark, d):
     FROM hop_pi p JOIN hop_po o USING (circuit_id, gate_id)""", **HOP_SQL)
 def _(spark, d):
     t = B.tables(spark, d)
-    return rnd(X.depth_encoding(t.gates, t.edges, pi_gates(t), model.po_gates(t.pins, t.ports)))
+    return rnd(X.depth_encoding(t.gates, t.edges, pi_gates(t), model.po_gates(t.pins, t.ports)), nudge=NUDGE)
 
 
 @query("structure_features", """SELECT circuit_id, gate_id, round(ln(1 + coalesce(degree, 0)), 6) AS log_degree, round(ln(1 + coalesce(triangles, 0)), 6) AS log_triangles,
@@ -163,7 +174,7 @@ def _(spark, d):
     FROM gates LEFT JOIN clus USING (circuit_id, gate_id) LEFT JOIN two USING (circuit_id, gate_id) LEFT JOIN nd USING (circuit_id, gate_id)""", **SDEG)
 def _(spark, d):
     t = B.tables(spark, d)
-    return rnd(X.structure_features(t.edges, t.gates))
+    return rnd(X.structure_features(t.edges, t.gates), nudge=NUDGE)
 
 
 @query("support_features", """SELECT circuit_id, gate_id, round(coalesce(ns, 0) / greatest(n_inputs, 1), 6) AS support_share, round(ln(1 + coalesce(ns, 0)), 6) AS log_support,
@@ -181,7 +192,7 @@ def _(spark, d):
     po = t.ports.filter("port_dir = 'output'").select("circuit_id", "net")
     roots = t.pins.filter("direction = 'output'").join(po, ["circuit_id", "net"]).select("circuit_id", F.col("net").alias("root"), "gate_id")
     n = lambda side, name: t.ports.filter(F.col("port_dir") == side).groupBy("circuit_id").agg(F.count(F.lit(1)).alias(name))
-    return rnd(X.support_features(t.gates, input_support(t), graph.cones(e, roots), bound_levels(t, e), n("input", "n_inputs"), n("output", "n_outputs")))
+    return rnd(X.support_features(t.gates, input_support(t), graph.cones(e, roots), bound_levels(t, e), n("input", "n_inputs"), n("output", "n_outputs")), nudge=NUDGE)
 
 
 # ------------------------------------------------------------------ signals from the embedding table
@@ -201,7 +212,7 @@ def bound_samples(spark, d):
 @query("signal_stats", """SELECT signal, round(p1, 6) AS p1, round(-(p1 * log2(p1 + 1e-12) + (1 - p1) * log2(1 - p1 + 1e-12)), 6) AS entropy
     FROM (SELECT signal, avg(value) AS p1 FROM samples GROUP BY 1)""", **SIG)
 def _(spark, d):
-    return rnd(X.signal_stats(bound_samples(spark, d)))
+    return rnd(X.signal_stats(bound_samples(spark, d)), nudge=NUDGE)
 
 
 @query("correlation_profile", """SELECT signal, round(max(abs(r)), 6) AS max_abs, round(avg(abs(r)), 6) AS mean_abs, round(coalesce(avg(r) FILTER (abs(r) > 0.05), 0), 6) AS signed_mean,
@@ -209,7 +220,7 @@ def _(spark, d):
     round(count(*) FILTER (abs(r) > 0.1) / count(*), 6) AS share_above_0_1 FROM corrs GROUP BY 1""", **SIG)
 def _(spark, d):
     s = bound_samples(spark, d)
-    return rnd(X.corr_profile(s, s.filter("pos < 8")))
+    return rnd(X.corr_profile(s, s.filter("pos < 8")), nudge=NUDGE)
 
 
 @query("influence_profile", """SELECT signal, round(tot / npi, 6) AS mean_influence, round(ln(1 + tot), 6) AS log_total, round(first, 6) AS first, round(second, 6) AS second,
@@ -228,7 +239,7 @@ def _(spark, d):
     b = s.filter("pos < 8").select("sample_id", F.col("signal").alias("input"), "pos", F.col("value").alias("flipped"))
     pairs = s.select("sample_id", "signal", F.col("value").alias("base")).join(b, "sample_id")
     bits = b.select("input", F.floor(F.col("pos") / 4).alias("bus"), (F.col("pos") % 4).alias("bit")).distinct()
-    return rnd(X.influence_profile(X.influence(pairs), bits))
+    return rnd(X.influence_profile(X.influence(pairs), bits), nudge=NUDGE)
 
 
 _SM = {"inner": "SELECT s.* FROM sym s", **{f"p{i}": f"""SELECT p.circuit_id, p.gate_id, p.class, 0.4::DOUBLE * p.p + 0.6::DOUBLE * sum(w.w * q.p) AS p FROM probs p
@@ -243,7 +254,7 @@ def bound_probs(t):
 @query("smoothed_probabilities", "SELECT circuit_id, gate_id, class, round(p, 6) AS p FROM p4", **_SM, **FEAT)
 def _(spark, d):
     t = B.tables(spark, d)
-    return rnd(X.smooth(bound_probs(t), t.edges, 0.6, 4))
+    return rnd(X.smooth(bound_probs(t), t.edges, 0.6, 4), nudge=NUDGE)
 
 
 # ------------------------------------------------------------------ evaluation
@@ -263,12 +274,12 @@ def _score_sql(by):
 
 @query("scores", _score_sql([]))
 def _(spark, d):
-    return rnd(E.scores(B.tables(spark, d).preds))
+    return rnd(E.scores(B.tables(spark, d).preds), nudge=NUDGE)
 
 
 @query("scores_by_circuit", _score_sql(["circuit_id"]))
 def _(spark, d):
-    return rnd(E.scores(B.tables(spark, d).preds, ["circuit_id"]))
+    return rnd(E.scores(B.tables(spark, d).preds, ["circuit_id"]), nudge=NUDGE)
 
 
 @query("per_class", """SELECT class, class_name, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1, support FROM (
@@ -277,7 +288,7 @@ def _(spark, d):
       CASE WHEN count(*) FILTER (true_class = class) > 0 THEN count(*) FILTER (pred_class = class AND true_class = class) / count(*) FILTER (true_class = class) ELSE 0 END AS re,
       count(*) FILTER (true_class = class) AS support FROM preds, classes GROUP BY 1)""")
 def _(spark, d):
-    return rnd(E.per_class(B.tables(spark, d).preds))
+    return rnd(E.per_class(B.tables(spark, d).preds), nudge=NUDGE)
 
 
 @query("confusion", "SELECT true_class, " + ", ".join(f"count(*) FILTER (pred_class = {i}) AS pred_{i}" for i in range(5)) + " FROM preds GROUP BY 1")
@@ -288,7 +299,7 @@ def _(spark, d):
 @query("error_directions", """SELECT true_class, pred_class, n, round(n / sum(n) OVER (), 6) AS share, row_number() OVER (ORDER BY n DESC, true_class, pred_class) AS rank
     FROM (SELECT true_class, pred_class, count(*) AS n FROM preds WHERE true_class <> pred_class GROUP BY 1, 2)""")
 def _(spark, d):
-    return rnd(E.error_directions(B.tables(spark, d).preds))
+    return rnd(E.error_directions(B.tables(spark, d).preds), nudge=NUDGE)
 
 
 @query("compare_predictions", """SELECT count(*) AS n, count(*) FILTER (pa <> pb) AS differ, count(*) FILTER (pa = label AND pb <> label) AS only_a_right,
@@ -298,7 +309,7 @@ def _(spark, d):
 def _(spark, d):
     t = B.tables(spark, d)
     b = model.name_labels(t.gates).select(*KEYS, F.col("name_label").alias("pred_class"))
-    return rnd(E.compare(t.preds, b))
+    return rnd(E.compare(t.preds, b), nudge=NUDGE)
 
 
 @query("multilabel_f1", """SELECT round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS micro_f1, round(avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END), 6) AS macro_f1 FROM (
@@ -306,7 +317,7 @@ def _(spark, d):
     FROM probs JOIN preds USING (circuit_id, gate_id) GROUP BY 1)""")
 def _(spark, d):
     p = B.tables(spark, d).preds.select("true_class", F.posexplode("prob").alias("class", "p"))
-    return rnd(E.multilabel_f1(p.withColumn("truth", (F.col("class") == F.col("true_class")).cast("int"))))
+    return rnd(E.multilabel_f1(p.withColumn("truth", (F.col("class") == F.col("true_class")).cast("int"))), nudge=NUDGE)
 
 
 ROLES = {"roles": """SELECT circuit_id, gate_id, split FROM splits UNION ALL SELECT circuit_id, gate_id, 'te' FROM splits WHERE family = 'DFFQ' AND block = 'adder_1'"""}
@@ -367,7 +378,7 @@ def _(spark, d):
 @query("dataset_profile", "SELECT split, count(*) AS gates, count(DISTINCT circuit_id) AS circuits, " + ", ".join(
     f"round(count(*) FILTER (label = {i}) * 100.0 / count(*), 6) AS pct_{i}" for i in range(5)) + " FROM splits GROUP BY 1")
 def _(spark, d):
-    return rnd(D.dataset_profile(B.bound_splits(B.bound_gates(spark, d))))
+    return rnd(D.dataset_profile(B.bound_splits(B.bound_gates(spark, d))), nudge=NUDGE)
 
 
 @query("edges_by_split", """SELECT 'tr' AS role, circuit_id, src, dst FROM edges WHERE circuit_id % 10 NOT IN (0, 1)
@@ -410,7 +421,7 @@ def _(spark, d):
     p.filter("role = 'te'").select(*[c for c in p.columns if c not in ("role", "prob")],
                                    *[F.col("prob")[i].alias(n) for i, n in enumerate(D.PROB_COLUMNS)]).write.csv(f"{path}/test", header=True)
     r = D.read_predictions(spark, f"{path}/all", f"{path}/test")
-    return rnd(r.select("circuit_id", "gate_id", "inst", "role", "true_class", "pred_class", F.array_max("prob").alias("top")))
+    return rnd(r.select("circuit_id", "gate_id", "inst", "role", "true_class", "pred_class", F.array_max("prob").alias("top")), nudge=NUDGE)
 
 
 @query("text_fingerprints", r"""WITH f AS (SELECT doc_id, source, sha256(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\f\x0B]+(\n|$)', '\1', 'g'), '^\s+|\s+$', '', 'g')) AS fingerprint FROM documents)
