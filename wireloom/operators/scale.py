@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -12,17 +13,33 @@ from pyspark.sql import functions as F
 
 # ------------------------------------------------------------------ written tables
 def shared_dir(spark: SparkSession) -> str:
-    """Folder the cluster names for checkpoints; a temporary one only where none is set (tests)."""
+    """Folder the cluster names for checkpoints; in local mode, where none is set, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = jdir.get() if jdir.isDefined() else None
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-wireloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Removes the shuffle files of an execution when it ends; what is written is read from the files from then on.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> None:
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 class Store:
     """A growing table in the shared folder; every part is written once and then read back.
 
@@ -39,7 +56,7 @@ class Store:
     def append(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.written:05d}"
         self.written += 1
-        df.write.parquet(path)
+        _write(df, path)
         self.schema = self.schema or df.schema
         self.parts.append(path)
         return self.spark.read.schema(self.schema).parquet(path)
