@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wireloom.llm import bpe, decontam
+from wireloom.llm import bpe, decontam, licenses, secrets
 from wireloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,13 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 @query("op10_decontamination", DECONTAM_SQL)
 def op10(spark, sf_dir):
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op6_licenses")
+def op6(spark, sf_dir):
+    return licenses.notice_report(read(spark, sf_dir, "documents"))
+
+
+@query("op1_secrets")
+def op1(spark, sf_dir):
+    return secrets.secret_report(read(spark, sf_dir, "documents"))
