@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wireloom.llm import bpe, decontam, licenses, secrets
+from wireloom.llm import bpe, decontam, licenses, secrets, warc
 from wireloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,29 @@ def op6(spark, sf_dir):
 @query("op1_secrets")
 def op1(spark, sf_dir):
     return secrets.secret_report(read(spark, sf_dir, "documents"))
+
+
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+r AS (SELECT page_id, url, html, md5(concat('response|', coalesce(CAST(page_id AS VARCHAR), ''), '|', coalesce(url, ''))) AS h,
+  concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/html; charset=utf-8', chr(13), chr(10), 'Content-Length: ', strlen(html), chr(13), chr(10)) AS header FROM p),
+s AS (SELECT *, concat('<urn:uuid:', h[1:8], '-', h[9:12], '-', h[13:16], '-', h[17:20], '-', h[21:32], '>') AS source_id,
+  'sha256:' || sha256(header || chr(13) || chr(10) || html) AS block_d, 'sha256:' || sha256(html) AS payload_d,
+  regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script[^>]*>|<style\b.*?</style[^>]*>|<title\b.*?</title[^>]*>|<!--.*?-->|<![a-z][^>]*>', ' ', 'g'),
+    '(?i)</?(p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|thead|tbody|article|section|header|footer|nav|main|aside|body|html|head|blockquote|pre|form|figure)\b[^>]*>', chr(10), 'g'), '</?[A-Za-z][^>]*>', '', 'g') AS t0,
+  trim(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title', 1), '[ \t\r\n\f]+', ' ', 'g')) AS title,
+  regexp_extract(html, '(?i)<html\b[^>]*\blang=["'']?([A-Za-z-]+)', 1) AS language FROM r),
+u AS (SELECT *, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(t0, '&nbsp;', ' '), '&copy;', '©'), '&reg;', '®'), '&middot;', '·'), '&ndash;', '–'),
+  '&mdash;', '—'), '&hellip;', '…'), '&laquo;', '«'), '&raquo;', '»'), '&quot;', '"'), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t1 FROM s),
+v AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(t1, '[ \t\r\f]+', ' ', 'g'), ' *\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS txt, md5('conversion|' || source_id) AS ch, md5('metadata|' || source_id) AS mh FROM u),
+w AS (SELECT *, concat('<urn:uuid:', ch[1:8], '-', ch[9:12], '-', ch[13:16], '-', ch[17:20], '-', ch[21:32], '>') AS conv_id, concat('<urn:uuid:', mh[1:8], '-', mh[9:12], '-', mh[13:16], '-', mh[17:20], '-', mh[21:32], '>') AS meta_id, chr(13) || chr(10) AS nl FROM v),
+x AS (SELECT *, concat('source-block-digest: ', block_d, nl, 'source-payload-digest: ', payload_d, nl, 'conversion-record-id: ', conv_id, nl, 'conversion-block-digest: sha256:', sha256(txt), nl, 'language: ', language, nl, 'title: ', title, nl, 'source-http-header:', nl, header) AS meta FROM w)
+SELECT page_id, 'metadata' AS warc_type, meta_id AS record_id, source_id AS refers_to, url AS target_uri, '2024-01-01T00:00:00Z' AS warc_date, 'application/warc-fields' AS content_type, CAST(strlen(meta) AS BIGINT) AS content_length, meta AS block, 'sha256:' || sha256(meta) AS block_digest, payload_d AS source_digest FROM x
+UNION ALL
+SELECT page_id, 'conversion', conv_id, source_id, url, '2024-01-01T00:00:00Z', 'text/plain; charset=utf-8', CAST(strlen(txt) AS BIGINT), txt, 'sha256:' || sha256(txt), payload_d FROM x
+"""
+
+
+@query("op7_warc", WARC_SQL)
+def op7(spark, sf_dir):
+    return warc.derivatives(warc.responses(read(spark, sf_dir, "pages")))
