@@ -25,64 +25,87 @@ from wireloom.llm.common import pieces
 NONE = 1 << 62
 
 
-class PairTree:
-    """Segment tree for the smallest (rank, place) over a fixed number of places."""
-
-    def __init__(self, values: list[int]):
-        size = 1
-        while size < len(values):
-            size *= 2
-        self.size = size
-        self.node = node = [NONE] * size + values + [NONE] * (size - len(values))
-        for i in range(size - 1, 0, -1):
-            a, b = node[2 * i], node[2 * i + 1]
-            node[i] = a if a < b else b
-
-    def put(self, place: int, value: int) -> None:
-        node, i = self.node, self.size + place
-        node[i] = value
-        while i > 1:
-            i >>= 1
-            a, b = node[2 * i], node[2 * i + 1]
-            value = a if a < b else b
-            if node[i] == value:
-                return
-            node[i] = value
-
-    def least(self) -> int:
-        return self.node[1]
-
-
 def merge_piece(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Ids after all merges. `ranks`: pair of ids -> (rank, id of the merged symbol)."""
+    """Ids after all merges. `ranks`: pair of ids -> (rank, id of the merged symbol).
+
+    `node` is the segment tree: leaf i, at size + i, is rank * n + i of the pair that begins at symbol i (NONE if it
+    cannot be merged), every inner node the smaller of its two, so node[1] is the leftmost pair of the lowest rank.
+    """
     n = len(symbols)
     if n < 2:
         return symbols
     ids, after, before = list(symbols), [*range(1, n), -1], [*range(-1, n - 1)]
-    value = [ranks[p][0] * n + i if (p := (ids[i], ids[i + 1])) in ranks else NONE for i in range(n - 1)]
-    tree = PairTree(value)
-    while (top := tree.least()) != NONE:
+    rank = ranks.get
+    leaves = [NONE if (r := rank(p)) is None else r[0] * n + i for i, p in enumerate(zip(ids, ids[1:], strict=False))]
+    size = 1 << (n - 2).bit_length() if n > 2 else 1
+    node = [NONE] * size + leaves + [NONE] * (size - n + 1)
+    for i in range(size - 1, 0, -1):
+        a, b = node[2 * i], node[2 * i + 1]
+        node[i] = a if a < b else b
+    while (top := node[1]) != NONE:
         i = top % n
         j = after[i]
-        ids[i] = ranks[ids[i], ids[j]][1]
+        x = ids[i] = rank((ids[i], ids[j]))[1]
         ids[j] = -1
         after[i] = k = after[j]
-        if j < n - 1:
-            tree.put(j, NONE)
+        h = before[i]
         if k >= 0:
             before[k] = i
-            tree.put(i, ranks[p][0] * n + i if (p := (ids[i], ids[k])) in ranks else NONE)
+            changed = [(i, NONE if (r := rank((x, ids[k]))) is None else r[0] * n + i), (j, NONE)]
         else:
-            tree.put(i, NONE)
-        if (h := before[i]) >= 0:
-            tree.put(h, ranks[p][0] * n + h if (p := (ids[h], ids[i])) in ranks else NONE)
+            changed = [(i, NONE)]
+        if h >= 0:
+            changed.append((h, NONE if (r := rank((ids[h], x))) is None else r[0] * n + h))
+        for place, value in changed:
+            place += size
+            if node[place] == value:
+                continue
+            node[place] = value
+            while place > 1:
+                other = node[place ^ 1]
+                if other < value:
+                    value = other
+                place >>= 1
+                if node[place] == value:
+                    break
+                node[place] = value
     return [x for x in ids if x >= 0]
 
 
+class Recent:
+    """Lookup table in two generations: when the young one is full it becomes the old one, so what is used stays."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
+#: Characters up to U+012F that print: normalisation leaves them alone, and letters are those of `isalpha`.
+_SIMPLE = "\u0130"
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|(?:[^\w\s\xb2\xb3\xb9\xbc-\xbe]|_)+")
+
+
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte: itself where it prints, else the next one from U+0100 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b if b in prints else next(spare)) for b in range(256)]
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file of the tokenizers library (BPE with an end-of-word suffix)."""
 
-    def __init__(self, path: str, cached: int = 200_000):
+    def __init__(self, path: str, cached: int = 150_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -91,7 +114,7 @@ class Codec:
         library = Tokenizer.from_str(json.dumps(spec | {"model": model | {"merges": [], "vocab": {k: v for k, v in model["vocab"].items() if len(k) == 1}}}))
         self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.vocab, self.suffix = model["vocab"], model["end_of_word_suffix"] or ""
-        vocab = self.vocab
+        vocab, self.symbols = self.vocab, byte_symbols()
         self.ranks = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
@@ -102,36 +125,49 @@ class Codec:
         self.token = [""] * size
         for k, v in (vocab | self.special).items():
             self.token[v] = k
-        self.cache: dict[str, bytes] = {}
-        self.cached = cached
-
-    def _plain(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece, _ in self.split(self.normalize(text)):
-            symbols = [*piece[:-1], piece[-1] + self.suffix]
-            out += merge_piece([self.vocab[s] for s in symbols if s in self.vocab], self.ranks)
-        return out
+        self.chunks, self.merged = Recent(cached), Recent(cached)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece, in byte symbols."""
+        got = self.merged.get(piece)
+        if got is None:
+            vocab = self.vocab
+            symbols = [vocab[s] for s in (*piece[:-1], piece[-1] + self.suffix) if s in vocab]
+            got = np.array(merge_piece(symbols, self.ranks), "<u4").tobytes()
+            if len(piece) <= 48:
+                self.merged.put(piece, got)
+        return got
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of text without spaces and special tokens. Simple characters are cut here, others by the library."""
+        if text.isprintable() and max(text) < _SIMPLE:
+            pieces = _PIECES.findall(text.lower())
+            if not text.isascii():
+                symbols = self.symbols
+                pieces = ["".join([symbols[b] for b in p.encode()]) for p in pieces]
+        else:
+            pieces = [p for p, _ in self.split(self.normalize(text))]
+        return b"".join([self._piece(p) for p in pieces])
 
     def _chunk(self, chunk: str) -> bytes:
-        """Ids of text without spaces, as little-endian unsigned 32-bit integers."""
-        if self.special_pattern and (parts := self.special_pattern.split(chunk))[1:]:
-            ids = [i for p in parts for i in ([self.special[p]] if p in self.special else self._plain(p) if p else [])]
-        else:
-            ids = self._plain(chunk)
-        return np.array(ids, "<u4").tobytes()
+        if "<|" in chunk and (parts := self.special_pattern.split(chunk))[1:]:
+            return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._plain(p) if p else b"" for p in parts)
+        return self._plain(chunk)
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text. Neither a piece nor a special token holds a space, and no normalisation reaches across one,
-        so the ids are those of the chunks between spaces; chunks seen before are looked up."""
-        cache, out = self.cache, []
+        """Ids of a text, as little-endian unsigned 32-bit integers. Neither a piece nor a special token holds a space,
+        and no normalisation reaches across one, so the ids are those of the chunks between spaces; chunks seen lately
+        are looked up."""
+        young, out = self.chunks.young, []
         for chunk in text.replace("\n", " ").split(" "):
-            got = cache.get(chunk)
+            got = young.get(chunk)
             if got is None:
-                got = self._chunk(chunk) if chunk else b""
-                if len(chunk) <= 64:
-                    if len(cache) >= self.cached:
-                        cache.clear()
-                    cache[chunk] = got
+                got = self.chunks.get(chunk) if chunk else b""
+                if got is None:
+                    got = self._chunk(chunk)
+                    if len(chunk) <= 48:
+                        self.chunks.put(chunk, got)
+                young = self.chunks.young
             out.append(got)
         return b"".join(out)
 

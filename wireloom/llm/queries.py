@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wireloom.llm import bpe, decontam, licenses, secrets, warc
+from wireloom.llm import bpe, decontam, licenses, secrets, toxicity, warc
 from wireloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ SELECT page_id, 'conversion', conv_id, source_id, url, '2024-01-01T00:00:00Z', '
 @query("op7_warc", WARC_SQL)
 def op7(spark, sf_dir):
     return warc.derivatives(warc.responses(read(spark, sf_dir, "pages")))
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
