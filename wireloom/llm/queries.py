@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wireloom.llm import bpe, decontam, licenses, secrets, toxicity, warc
+from wireloom.llm import bpe, decontam, hamming, licenses, secrets, toxicity, warc
 from wireloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,17 @@ def op7(spark, sf_dir):
 @query("op9_toxicity")
 def op9(spark, sf_dir):
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+HAMMING_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] >= 0, false)) AS s FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, min(CAST(len(list_filter(range(1, 65), lambda i: a.s[i] <> b.s[i])) AS INTEGER)) AS distance
+      FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
+"""
+
+
+@query("op4_hamming_topk", HAMMING_SQL)
+def op4(spark, sf_dir):
+    return hamming.nearest(read(spark, sf_dir, "embeddings"))
