@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wireloom.llm import bpe, decontam, hamming, licenses, secrets, toxicity, warc
+from wireloom.llm import bpe, decontam, hamming, licenses, lmscore, secrets, toxicity, warc
 from wireloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +101,31 @@ SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
 @query("op4_hamming_topk", HAMMING_SQL)
 def op4(spark, sf_dir):
     return hamming.nearest(read(spark, sf_dir, "embeddings"))
+
+
+LM_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w,
+  CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 ELSE 0 END AS t FROM documents),
+tok AS (SELECT r, t, unnest(w) AS w FROM d), cnt AS (SELECT w, count(*) FILTER (WHERE t = 0) AS n0, count(*) FILTER (WHERE t = 1) AS n1 FROM tok GROUP BY w),
+hist AS (SELECT CAST(floor(16 * log2(n0 + n1)) AS INTEGER) AS bin, count(*) AS c FROM cnt GROUP BY 1), cum AS (SELECT bin, sum(c) OVER (ORDER BY bin DESC) AS s FROM hist),
+voc AS (SELECT w, n0, n1 FROM cnt WHERE CAST(floor(16 * log2(n0 + n1)) AS INTEGER) >= (SELECT min(bin) FROM cum WHERE s <= 65534)),
+ends AS (SELECT count(*) FILTER (WHERE t = 0) AS n0, count(*) FILTER (WHERE t = 1) AS n1 FROM d WHERE len(w) > 0),
+tot AS (SELECT sum(n0) AS n0, sum(n1) AS n1 FROM cnt), uni AS (
+  SELECT w, n0, n1 FROM voc UNION ALL SELECT '', n0, n1 FROM ends UNION ALL SELECT '?', tot.n0 - coalesce((SELECT sum(n0) FROM voc), 0), tot.n1 - coalesce((SELECT sum(n1) FROM voc), 0) FROM tot),
+size AS (SELECT (SELECT n0 FROM tot) + (SELECT n0 FROM ends) AS m0, (SELECT n1 FROM tot) + (SELECT n1 FROM ends) AS m1, (SELECT count(*) FROM voc) + 2 AS v),
+pos AS (SELECT r, t, i, CASE WHEN i = 0 OR i = len(w) + 1 THEN '' ELSE w[i] END AS x FROM (SELECT r, t, w, unnest(range(0, len(w) + 2)) AS i FROM d WHERE len(w) > 0)),
+known AS (SELECT r, t, i, CASE WHEN x = '' THEN '' WHEN voc.w IS NULL THEN '?' ELSE x END AS x FROM pos LEFT JOIN voc ON pos.x = voc.w),
+big AS (SELECT a.r, a.t, a.x AS v, b.x AS w FROM known a JOIN known b ON a.r = b.r AND b.i = a.i + 1),
+bc AS (SELECT v, w, count(*) FILTER (WHERE t = 0) AS n0, count(*) FILTER (WHERE t = 1) AS n1 FROM big GROUP BY v, w),
+los AS (SELECT bc.v, bc.w, -ln(0.7 * bc.n0 / greatest(c.n0, 1) + 0.3 * (u.n0 + 1) / (m0 + v_)) AS l0, -ln(0.7 * bc.n1 / greatest(c.n1, 1) + 0.3 * (u.n1 + 1) / (m1 + v_)) AS l1
+  FROM bc JOIN uni c ON bc.v = c.w JOIN uni u ON bc.w = u.w, (SELECT m0, m1, v AS v_ FROM size)),
+per AS (SELECT r, count(*) AS n, sum(CAST(l0 AS DOUBLE)) AS l0, sum(CAST(l1 AS DOUBLE)) AS l1 FROM big JOIN los USING (v, w) GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens, round(l1 / n, 6) AS loss_target, round(l0 / n, 6) AS loss_background, round(l1 / n - l0 / n, 6) AS score FROM d LEFT JOIN per USING (r)
+"""
+
+
+@query("op3_lm_score", LM_SQL)
+def op3(spark, sf_dir):
+    target = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    out = lmscore.cross_entropy_difference(read(spark, sf_dir, "documents"), target)
+    return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "score")])
