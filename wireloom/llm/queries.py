@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wireloom.llm import bpe, decontam, hamming, licenses, lmscore, secrets, toxicity, warc
+from wireloom.llm import bpe, decontam, hamming, licenses, linedup, lmscore, secrets, toxicity, warc
 from wireloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,28 @@ def op3(spark, sf_dir):
     target = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     out = lmscore.cross_entropy_difference(read(spark, sf_dir, "documents"), target)
     return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "score")])
+
+
+#: Distances are taken on one byte for each letter: DuckDB counts bytes, so letters beyond ASCII get a control character.
+LINE_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+e AS (SELECT r, doc_id, i, ls[i] AS line FROM (SELECT r, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+l AS (SELECT line, min(doc_id) AS first_doc, count(*) AS n, length(line) AS c, translate(line, 'áéíóúñüäößèêçÁÉÍÓÚÑÜÄÖÈÊÇ', concat(chr(1), chr(2), chr(3), chr(4), chr(5), chr(6), chr(7), chr(8), chr(11), chr(12), chr(14), chr(15), chr(16), chr(17), chr(18), chr(19), chr(20), chr(21), chr(22), chr(23), chr(24), chr(25), chr(26), chr(27), chr(28))) AS t
+      FROM e WHERE length(line) >= 16 GROUP BY line),
+k AS (SELECT a.line AS a, b.line AS b FROM l a JOIN l b ON b.c = a.c AND a.line < b.line AND levenshtein(a.t, b.t) <= 1
+      UNION ALL SELECT a.line, b.line FROM l a JOIN l b ON b.c = a.c + 1 AND levenshtein(a.t, b.t) <= 1),
+g AS (SELECT a AS u, b AS v FROM k UNION ALL SELECT b, a FROM k),
+reach(u, v) AS (SELECT u, u FROM (SELECT DISTINCT u FROM g) UNION SELECT reach.u, g.v FROM reach JOIN g ON reach.v = g.u),
+key AS (SELECT u AS line, min({'d': lv.first_doc, 'l': lv.line}) AS m FROM reach JOIN l lv ON reach.v = lv.line GROUP BY u),
+deg AS (SELECT u AS line, count(*) AS links FROM g GROUP BY u),
+rule AS (SELECT l.line, CASE WHEN key.m IS NULL OR key.m.l = l.line THEN l.first_doc END AS keep_doc, coalesce(deg.links, 0) AS links FROM l LEFT JOIN key USING (line) LEFT JOIN deg USING (line)),
+m AS (SELECT e.r, e.i, e.line, rule.line IS NULL OR (rule.keep_doc = e.doc_id AND row_number() OVER (PARTITION BY e.r, e.line ORDER BY e.i) = 1) AS stays,
+      CASE WHEN row_number() OVER (PARTITION BY e.r, e.line ORDER BY e.i) = 1 THEN coalesce(rule.links, 0) ELSE 0 END AS links FROM e LEFT JOIN rule ON e.line = rule.line),
+x AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE stays) AS n_kept, sum(links) AS n_links, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays), '') AS text FROM m GROUP BY r)
+SELECT doc_id, n_lines, n_kept, CAST(n_links AS BIGINT) AS n_links, text FROM x JOIN d USING (r)
+"""
+
+
+@query("op2_line_dedup", LINE_SQL)
+def op2(spark, sf_dir):
+    return linedup.dedup_lines(read(spark, sf_dir, "documents"))
