@@ -47,7 +47,7 @@ class Vocabulary:
 def marked(documents: DataFrame, target: DataFrame) -> DataFrame:
     """(doc_id, text, target int): whether a row's id is among those of `target` (doc_id)."""
     docs = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = target.select(F.col("doc_id").alias("_t")).filter("_t is not null").distinct()
+    ids = target.select(F.col("doc_id").alias("_t")).filter("_t is not null").distinct().hint("merge")  # grows with the documents
     return docs.join(ids, F.col("doc_id") == F.col("_t"), "left").select("doc_id", "text", F.col("_t").isNotNull().cast("int").alias("target"))
 
 
@@ -87,18 +87,27 @@ def vocabulary(counts: DataFrame, most: int = MOST_WORDS) -> Vocabulary:
     return Vocabulary({bytes(r["word"]): i for i, r in enumerate(rows, 1)}, table, sums + ends)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """A byte for the width, then the values in as few bytes each as the largest needs."""
+    width = 1 if not len(values) or values.max() < 1 << 8 else 2 if values.max() < 1 << 16 else 4
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
 def packed_entries(keys: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> bytes:
     """Entries sorted by bigram: the distinct bigrams, how many entries each has, the entries' documents and counts."""
     order = np.lexsort((docs, keys))
     unique, n = np.unique(keys[order], return_counts=True)
-    return b"".join([np.array([len(unique), len(keys)], "<u4").tobytes(), unique.astype("<u4").tobytes(), n.astype("<u4").tobytes(),
-                     docs[order].astype("<u4").tobytes(), counts[order].astype("<u4").tobytes()])
+    return np.array([len(unique), len(keys)], "<u4").tobytes() + b"".join(map(_packed, (unique, n, docs[order], counts[order])))
 
 
-def unpacked_entries(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpacked_entries(data: bytes) -> list[np.ndarray]:
     u, e = np.frombuffer(data, "<u4", 2)
-    flat = np.frombuffer(data, "<u4", offset=8)
-    return flat[:u], flat[u:2 * u], flat[2 * u:2 * u + e], flat[2 * u + e:]
+    out, at = [], 8
+    for n in (u, u, e, e):
+        width = data[at]
+        out.append(np.frombuffer(data, f"<u{width}", n, at + 1).astype(np.int64))
+        at += 1 + width * int(n)
+    return out
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -127,9 +136,9 @@ def entries(docs: DataFrame, words: Vocabulary, buckets: int) -> DataFrame:
         for a, z in zip(starts, [*starts[1:], len(at)], strict=True):
             own = np.unique(doc[a:z])
             mine = np.searchsorted(own, doc[a:z])
-            rows.append((int(at[a]), block, None, [int(x) for x in own], targets[own.astype(np.int64)].tobytes() + packed_entries(key[a:z], mine, n[a:z])))
+            rows.append((int(at[a]), block, None, own.astype(np.int32), targets[own.astype(np.int64)].tobytes() + packed_entries(key[a:z], mine, n[a:z])))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(ids_type[0])),
-                                           pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.binary())],
+                                           pa.array([r[3] for r in rows], pa.list_(pa.int32())), pa.array([r[4] for r in rows], pa.binary())],
                                           names=["bucket", "block", "ids", "docs", "entries"])
 
     ids_type: list = [None]
@@ -153,7 +162,7 @@ def entries(docs: DataFrame, words: Vocabulary, buckets: int) -> DataFrame:
         if ids:
             yield block_rows(part << 32 | number, ids, lengths, targets, np.concatenate(chain))
 
-    return docs.mapInArrow(run, f"bucket int, block long, ids array<{kind}>, docs array<long>, entries binary")
+    return docs.mapInArrow(run, f"bucket int, block long, ids array<{kind}>, docs array<int>, entries binary")
 
 
 def losses(entry_rows: DataFrame, words: Vocabulary, mix: float) -> DataFrame:
@@ -182,7 +191,7 @@ def losses(entry_rows: DataFrame, words: Vocabulary, mix: float) -> DataFrame:
                 sums[m].append(np.bincount(doc, loss[m][at] * c, len(target)))
         return pd.DataFrame({"bucket": group["bucket"], "block": group["block"], "docs": group["docs"], "loss0": sums[0], "loss1": sums[1]})
 
-    return (entry_rows.filter("bucket >= 0").groupBy("bucket").applyInPandas(bucket, "bucket int, block long, docs array<long>, loss0 array<double>, loss1 array<double>")
+    return (entry_rows.filter("bucket >= 0").groupBy("bucket").applyInPandas(bucket, "bucket int, block long, docs array<int>, loss0 array<double>, loss1 array<double>")
             .select("bucket", "block", "docs", "loss0", "loss1"))
 
 
@@ -197,7 +206,7 @@ def cross_entropy_difference(documents: DataFrame, target: DataFrame, mix: float
     docs = written(marked(documents, target), "marked")
     counts = written(word_counts(docs), "words")
     words = vocabulary(counts)
-    buckets = part_count(documents, float(words.totals.sum()), 3e6)
+    buckets = part_count(documents, float(words.totals.sum()), 1.5e6)
     rows = entries(docs, words, buckets)
     kind = docs.schema["doc_id"].dataType.simpleString()
     partial = losses(rows, words, mix)
