@@ -172,6 +172,15 @@ def removals(documents: DataFrame, edits: int = 1, least_chars: int = 16) -> Dat
     return hit.groupBy("doc_id", "row").agg(F.collect_list(F.when(~stays, F.col("pos"))).alias("gone"), F.sum(F.when(F.col("first"), F.col("links")).otherwise(0)).alias("links"))
 
 
+def _joined(documents: DataFrame, edits: int, least_chars: int) -> tuple[DataFrame, Column]:
+    """The rows of `documents` with the places of lines that go (`_gone`, `_links`), and the array of lines that stay."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    gone = removals(documents, edits, least_chars).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("gone").alias("_gone"), F.col("links").alias("_links"))
+    both = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_r")), "left")
+    lines = F.split(text, "\n")
+    return both, F.when(F.size(F.coalesce("_gone", F.array().cast("array<int>"))) == 0, lines).otherwise(F.filter(lines, lambda _, i: ~F.array_contains("_gone", i)))
+
+
 def dedup_lines(documents: DataFrame, edits: int = 1, least_chars: int = 16) -> DataFrame:
     """(doc_id, n_lines, n_kept, n_links, text), one row per row of `documents`; `text` has the lines that stay.
 
@@ -181,11 +190,15 @@ def dedup_lines(documents: DataFrame, edits: int = 1, least_chars: int = 16) ->
     line. Rows with the same id are one document: equal rows are cut alike, and a line that stays does so in each of
     them that has it. n_links counts the near links of a row's distinct lines. Other columns are not read.
     """
-    docs = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
-    gone = removals(documents, edits, least_chars).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "gone", "links")
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")), "left")
-    lines = F.split("text", "\n")
-    kept = F.when(F.size(F.coalesce("gone", F.array().cast("array<int>"))) == 0, lines).otherwise(
-        F.filter(lines, lambda _, i: ~F.array_contains("gone", i)))
+    both, kept = _joined(documents.select("doc_id", "text"), edits, least_chars)
+    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
     return both.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(kept).cast("long").alias("n_kept"),
-                       F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.array_join(kept, "\n").alias("text"))
+                       F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.array_join(kept, "\n").alias("text"))
+
+
+def rewritten(documents: DataFrame, edits: int = 1, least_chars: int = 16) -> DataFrame:
+    """`documents` with the text that `dedup_lines` leaves, and n_chars to match where that column is; null texts stay null."""
+    both, kept = _joined(documents, edits, least_chars)
+    text = F.when(F.col("text").isNotNull(), F.array_join(kept, "\n"))
+    new = {"text": text} | ({"n_chars": F.length(text).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
+    return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in documents.columns])

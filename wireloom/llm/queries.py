@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wireloom.llm import bpe, decontam, hamming, licenses, linedup, lmscore, secrets, toxicity, warc
+from wireloom.llm import bpe, decontam, hamming, licenses, linedup, lmscore, neardup, secrets, toxicity, warc
 from wireloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,8 @@ SELECT doc_id, n_lines, n_kept, CAST(n_links AS BIGINT) AS n_links, text FROM x
 @query("op2_line_dedup", LINE_SQL)
 def op2(spark, sf_dir):
     return linedup.dedup_lines(read(spark, sf_dir, "documents"))
+
+
+@query("op5_near_dup")
+def op5(spark, sf_dir):
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
