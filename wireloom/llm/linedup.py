@@ -4,8 +4,8 @@ Lines within `edits` edits of each other are cut into edits + 1 segments; one se
 unchanged in the longer one, near its own place (pigeonhole). Every distinct line indexes its segments by length,
 number and text, and probes the index of each length from its own down to `edits` less with the substrings that may
 match there: for segment i at p and a line longer by d the starts from p + max(1 - i, d - edits - 1 + i) to
-p + min(i - 1, d + edits + 1 - i). Matching lines whose letter counts differ too much drop out in the join; the rest
-are cut down to what differs between their common beginning and end, and verified there by bit-parallel edit distance in
+p + min(i - 1, d + edits + 1 - i). Keys that very many lines share are refined by
+further segments. Matching lines whose letter counts differ too much drop out in the join; the rest are cut down to what differs between their common beginning and end, and verified there by bit-parallel edit distance in
 a band of 2 * edits + 1 diagonals.
 
 Copies of a line are one row before the join, so a line that many documents share costs one row there. Linked lines
@@ -34,17 +34,21 @@ def _place(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return start, base + (F.lit(i) > short).cast("int")
 
 
-def _keys(line: Column, length: Column, edits: int, probe: bool) -> Column:
-    """Array of (key, d): keys of the own segments, or of all substrings that may match one of a line shorter by d."""
-    out = []
-    for d in range(edits + 1 if probe else 1):
+def _keys(text: Column, edits: int, before: Column, own: Column, longer: Column | None) -> Column:
+    """Array of (key, d, own, at, width): substrings that may match a segment of a text shorter by d.
+
+    `before` is the key of what matched already; `own` says whether the text may stand in the index, which its own
+    segments then do; `longer` is d where it is known.
+    """
+    out, length = [], F.length(text)
+    for d in range(edits + 1):
         for i in range(1, edits + 2):
             start, width = _place(length - d, i, edits)
-            low, high = (max(1 - i, d - edits - 1 + i), min(i - 1, d + edits + 1 - i)) if probe else (0, 0)
-            for shift in range(low, high + 1):
+            for shift in range(max(1 - i, d - edits - 1 + i), min(i - 1, d + edits + 1 - i) + 1):
                 at = start + shift
-                key = F.xxhash64(F.lit(i), length - d, F.substring(line, at, width))
-                out.append(F.when((at >= 1) & (at + width - 1 <= length), F.struct(key.alias("key"), F.lit(d).alias("d"))))
+                key = F.xxhash64(before, F.lit(i), length - d, F.substring(text, at, width))
+                fits = (length >= d) & (at >= 1) & (at + width - 1 <= length) & (F.lit(True) if longer is None else longer == d)
+                out.append(F.when(fits, F.struct(key.alias("key"), F.lit(d).alias("d"), (own & F.lit(d == 0 and shift == 0)).alias("own"), at.alias("at"), width.alias("width"))))
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
@@ -121,19 +125,58 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
 
 # ------------------------------------------------------------------ join
+#: A key that more index entries than this share is refined instead of joined.
+HOT = 64
+DEPTH = 8
+
+
+def _candidates(lines: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, b) of line ids that share a key and hardly differ in their letter counts.
+
+    Lines with a common half (of copies that differ elsewhere, or of a form with other numbers) would all meet under
+    its key. Such a key is refined: the segment is cut out of the lines that have it, what is left is within `edits`
+    edits again, so it is cut into segments once more and the key of one of those is added; and so on.
+    """
+    spread = lambda text, before, own, longer: F.explode(_keys(text, edits, before, own, longer)).alias("k")
+    columns = ("lid", "sig", "k.key", "k.d", "k.own", "k.at", "k.width")
+    keys = written(lines.select("lid", "sig", spread(F.col("line"), F.lit(0).cast("long"), F.lit(True), None)).select(*columns), "keys")
+    found = None
+    for level in range(DEPTH):
+        index = keys.filter("own").select("key", F.col("lid").alias("a"), F.col("sig").alias("sa"))
+        hot = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key"), "hot-keys")
+        more = level < DEPTH - 1 and not hot.isEmpty()
+        cold = index.join(hot, "key", "left_anti") if more else index
+        probe = keys.select("key", "d", F.col("lid").alias("b"), F.col("sig").alias("sb"))
+        close = ((F.col("d") > 0) | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b")) & (_apart(F.col("sa"), F.col("sb")) <= 2 * edits)
+        new = written(cold.join(probe, (cold["key"] == probe["key"]) & close).select("a", "b").distinct(), "candidates")
+        found = new if found is None else found.unionByName(new)
+        if not more:
+            break
+        rest = keys.join(hot, "key")
+        if level == 0:
+            rest = rest.join(_few(lines.select("lid", F.col("line").alias("rest")), rest.select("lid").distinct()), "lid")
+        cut = F.concat(F.substring("rest", F.lit(1), F.col("at") - 1), F.substring("rest", F.col("at") + F.col("width"), F.length("rest")))
+        rest = rest.select("lid", "sig", "d", "own", "key", cut.alias("rest"))
+        keys = written(rest.select("lid", "sig", "rest", spread(F.col("rest"), F.col("key"), F.col("own"), F.col("d"))).select("rest", *columns), "keys")
+    return found.distinct()
+
+
+def _few(rows: DataFrame, lids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """`rows` whose lid is among `lids`; these go to all tasks if they are few, else both sides are shuffled."""
+    lids = written(lids, "lids")
+    return rows.join(F.broadcast(lids) if lids.count() <= most else lids, "lid", "left_semi")
+
+
 def similar_lines(lines: DataFrame, edits: int) -> DataFrame:
     """(a, b): line ids of `lines` (lid, line), distinct lines longer than `edits`, within `edits` edits."""
-    length = F.length("line")
-    keyed = lines.select("lid", "line", length.alias("len"), _signature(F.col("line")).alias("sig"))
-    index = keyed.select("lid", "sig", F.explode(_keys(F.col("line"), F.col("len"), edits, False)).alias("k")).select(F.col("k.key").alias("key"), F.col("lid").alias("a"), F.col("sig").alias("sa"))
-    probe = keyed.select("lid", "sig", F.explode(_keys(F.col("line"), F.col("len"), edits, True)).alias("k")).select("k.key", "k.d", F.col("lid").alias("b"), F.col("sig").alias("sb"))
-    candidates = written(index.join(probe, (index["key"] == probe["key"]) & ((F.col("d") > 0) | (F.col("a") < F.col("b"))) & (_apart(F.col("sa"), F.col("sb")) <= 2 * edits))
-                         .select("a", "b").distinct(), "candidates")
-    named = candidates.select(F.col("a").alias("lid")).union(candidates.select("b")).distinct()
-    texts = written(lines.join(named, "lid", "left_semi").select("lid", "line"), "candidate-lines")
+    lines = lines if "sig" in lines.columns else lines.withColumn("sig", _signature(F.col("line")))
+    candidates = written(_candidates(lines, edits), "candidates")
+    texts = written(_few(lines.select("lid", "line"), candidates.select(F.col("a").alias("lid")).union(candidates.select("b")).distinct()), "candidate-lines")
     pairs = (candidates.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
              .join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b"))
-    return pairs.filter(within(F.col("la"), F.col("lb"), edits)).select("a", "b")
+    shorter = F.length("la") <= F.length("lb")
+    return pairs.select("a", "b", F.when(shorter, F.col("la")).otherwise(F.col("lb")).alias("la"), F.when(shorter, F.col("lb")).otherwise(F.col("la")).alias("lb")).filter(
+        within(F.col("la"), F.col("lb"), edits)).select("a", "b")
 
 
 def _split_rows(documents: DataFrame) -> DataFrame:
@@ -146,18 +189,19 @@ def line_rules(documents: DataFrame, edits: int, least_chars: int) -> DataFrame:
     """(h1, h2, keep_doc, links): lines that occur more than once or have near ones. `keep_doc` is the document in
     which the line stays, null if another line of its class does; `keeps` says which of the two."""
     each = _split_rows(documents).select("doc_id", F.explode("lines").alias("line")).filter(F.length("line") >= least_chars)
-    lines = each.groupBy("line").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).withColumn("lid", F.monotonically_increasing_id())
+    lines = each.groupBy("line").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).withColumns({"lid": F.monotonically_increasing_id(), "sig": _signature(F.col("line"))})
     lines = written(lines, "lines")
     links = written(similar_lines(lines, edits), "links")
     ends = links.select(F.col("a").alias("lid")).union(links.select("b"))
     degrees = ends.groupBy("lid").agg(F.count(F.lit(1)).alias("links"))
     classes = components(links.select(F.lit(0).alias("circuit_id"), F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("vertex").alias("lid"), F.col("component").alias("class"))
-    linked = written(lines.join(degrees, "lid").join(classes, "lid"), "linked")
+    linked = written(_few(lines, degrees.select("lid")).join(degrees, "lid").join(classes, "lid"), "linked")
     keepers = linked.groupBy("class").agg(F.min(F.struct(F.col("first_doc").isNull(), "first_doc", "line", "lid"))["lid"].alias("keeper"))
     named = linked.join(keepers, "class").select("lid", "links", (F.col("lid") == F.col("keeper")).alias("keeps"))
-    out = lines.filter("n > 1").select("lid").union(named.select("lid")).distinct().join(lines, "lid").join(named, "lid", "left")
+    hashed = lines.select("lid", "first_doc", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
+    out = hashed.join(named, "lid", "left").filter("n > 1 or links > 0")
     keeps = F.coalesce("keeps", F.lit(True))
-    return written(out.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"), F.when(keeps, F.col("first_doc")).alias("keep_doc"),
+    return written(out.select("h1", "h2", F.when(keeps, F.col("first_doc")).alias("keep_doc"),
                               keeps.alias("keeps"), F.coalesce("links", F.lit(0)).cast("long").alias("links")), "rules")
 
 
