@@ -13,6 +13,11 @@ def cell_base(cell) -> Column:
     return F.regexp_replace(F.col(cell) if isinstance(cell, str) else cell, r"_X\w+$", "")
 
 
+def cell_family(cell) -> Column:
+    """Function of a cell without the number of its inputs: NAND2_X1M gives NAND, ADDF_X1M gives ADDF."""
+    return F.regexp_replace(cell_base(cell), r"\d+$", "")
+
+
 def drive_strength(cell) -> Column:
     """Drive multiple from the name (X0P5 gives 0.5); null when the name has none."""
     c = F.concat(F.col(cell) if isinstance(cell, str) else cell, F.lit("_"))

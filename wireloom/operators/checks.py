@@ -205,10 +205,31 @@ STRUCTURAL = (check_isolated_component, check_combinational_loop)
 MODEL = (check_class_disagrees, check_low_confidence, check_singleton_subcircuit)
 
 
-def run_checks(t: Tables, checks=None, extra: DataFrame | None = None) -> DataFrame:
+#: Checks that a function can report.
+REPORTS = {
+    check_missing_pin: ("missing_pin",), check_floating_net: ("floating_net",), check_multi_driver: ("multi_driver",),
+    check_dangling_output: ("dangling_output", "carry_out_unread"), check_const_input: ("const_input",), check_undriven_po: ("undriven_po",),
+    check_unused_pi: ("unused_pi",), check_unknown_cell: ("unknown_cell",), check_unreachable: ("unreachable_from_pi",),
+    check_no_path_to_po: ("no_path_to_po",), check_isolated_component: ("isolated_component",), check_combinational_loop: ("combinational_loop",),
+    check_class_disagrees: ("class_disagrees_with_neighbours",), check_low_confidence: ("low_confidence_prediction",),
+    check_singleton_subcircuit: ("singleton_subcircuit",),
+}
+
+
+def default_checks(t: Tables, predictor: str = "graph") -> tuple:
+    """Checks that the tables allow. Low confidence says nothing about the weak predictor, so it is left out there."""
+    model = () if t.preds is None else tuple(c for c in MODEL if predictor != "baseline" or c is not check_low_confidence)
+    return ELECTRICAL + REACHABILITY + STRUCTURAL + model
+
+
+def reported_by(checks) -> tuple[str, ...]:
+    return tuple(name for c in checks for name in REPORTS[c])
+
+
+def run_checks(t: Tables, checks=None, extra: DataFrame | None = None, predictor: str = "graph") -> DataFrame:
     """Member rows of all checks; `extra` adds rows of the bus checks or templates."""
     if checks is None:
-        checks = ELECTRICAL + REACHABILITY + STRUCTURAL + (MODEL if t.preds is not None else ())
+        checks = default_checks(t, predictor)
     t.nets = materialise(t.nets, "nets")  # nearly every check reads the net counts
     out = None
     for c in checks:
@@ -293,9 +314,9 @@ def stats_by_check(f: DataFrame) -> DataFrame:
     return f.groupBy(C, "check", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-def passed_checks(f: DataFrame, circuits: DataFrame) -> DataFrame:
-    """Catalogue checks without an error or warning, per circuit."""
-    catalog = F.explode(F.array(*[F.lit(r[0]) for r in S.CHECK_CATALOG])).alias("check")
+def passed_checks(f: DataFrame, circuits: DataFrame, ran: tuple[str, ...]) -> DataFrame:
+    """Of the checks that ran, those without an error or warning, per circuit."""
+    catalog = F.explode(F.array(*[F.lit(r[0]) for r in S.CHECK_CATALOG if r[0] in ran]).cast("array<string>")).alias("check")
     fired = f.filter("severity <> 'info'").select(C, "check").distinct()
     return circuits.select(C).distinct().select(C, catalog).join(fired, [C, "check"], "left_anti")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wireloom.functions import names
 from wireloom.operators.model import GATE, NET
-from wireloom.operators.scale import closure, materialise, numbered, top_k, until_stable, walk, Store
+from wireloom.operators.scale import closure, materialise, numbered, top_k, until_stable, Store
 
 C = "circuit_id"
 
@@ -128,14 +128,12 @@ def topo_levels(gates: DataFrame, edges: DataFrame, cut: DataFrame | None = None
 
 
 def levels(gates: DataFrame, edges: DataFrame) -> DataFrame:
-    """Longest unit-delay level from the inputs and to the outputs. `edges` must be acyclic.
+    """Longest unit-delay level from the inputs and to the outputs; 0 for gates on or behind a cycle.
 
-    Round r holds the gates that end a chain of r gates, so the last round of a gate is its level.
+    A gate is peeled in the round after its last predecessor, so the round is its level.
     """
     def longest(e, name):
-        e = e.select(C, F.col("src").alias("gate_id"), "dst")
-        met = walk(gates, lambda f: f.join(e, GATE).select(C, F.col("dst").alias("gate_id")), GATE, name)
-        return met.groupBy(*GATE).agg(F.max("round").alias(name))
+        return topo_levels(gates, e).select(*GATE, F.coalesce("rank", F.lit(0)).alias(name))
 
     return longest(edges, "level_in").join(longest(_flip(edges), "level_out"), GATE)
 

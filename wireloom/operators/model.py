@@ -160,7 +160,7 @@ def neighbourhood_counts(gates: DataFrame, edges: DataFrame, pins: DataFrame, po
     Long form (circuit_id, gate_id, family, n). Two-hop counts add the already aggregated one-hop
     counts of the neighbours, so no two-hop pair is ever written out.
     """
-    fam = gates.select(*GATE, names.cell_base("cell").alias("family"))
+    fam = gates.select(*GATE, names.cell_family("cell").alias("family"))
     fams = [k for k in S.FEATURE_COLUMNS if k not in ("PI", "PO", "KEY", "in_degree", "out_degree")]
     known = fam.filter(F.col("family").isin(*fams))
 

@@ -172,18 +172,24 @@ def verify_candidates(responses: DataFrame, expected: DataFrame) -> DataFrame:
     return ok.join(k, [C, "sink_id"]).select(C, "sink_id", "candidate", "matching", "accepted", verdict.alias("verdict"))
 
 
+def _order_free(*columns: str) -> list:
+    """Count and sums of two independent hashes: the same whatever the order, and equal rows don't cancel."""
+    wide = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20,0)"))
+    return [F.count(F.lit(1)).alias("n"), wide(*columns).alias("h1"), wide(F.lit("second"), *columns).alias("h2")]
+
+
 def gate_signatures(gates: DataFrame, pins: DataFrame) -> DataFrame:
     """Order-free fingerprint of a gate: its cell and the cell types at the far end of each pin."""
     cell = gates.select(*GATE, "cell")
     p = pins.select(*GATE, "pin", "net", "direction").join(cell, GATE)
     # what a net looks like from outside: its driver and reader cell types, order-free
-    look = p.groupBy(*NET, "direction").agg(F.bit_xor(F.xxhash64("cell", "pin")).alias("_h"), F.count(F.lit(1)).alias("_c"))
-    look = look.groupBy(*NET).agg(F.max(F.when(F.col("direction") == "output", F.xxhash64("_h", "_c"))).alias("_d"),
-                                  F.max(F.when(F.col("direction") == "input", F.xxhash64("_h", "_c"))).alias("_r"))
+    look = p.groupBy(*NET, "direction").agg(*_order_free("cell", "pin"))
+    look = look.groupBy(*NET).agg(F.max(F.when(F.col("direction") == "output", F.struct("n", "h1", "h2"))).alias("_d"),
+                                  F.max(F.when(F.col("direction") == "input", F.struct("n", "h1", "h2"))).alias("_r"))
     far = F.when(F.col("direction") == "input", F.col("_d")).otherwise(F.col("_r"))
-    s = p.join(look, NET).withColumn("_f", F.xxhash64("pin", F.coalesce(far, F.lit(0))))
-    return s.groupBy(*GATE, "cell").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("_f").alias("h")).select(
-        *GATE, F.concat_ws("|", "cell", F.col("n").cast("string"), F.col("h").cast("string")).alias("signature"))
+    s = p.join(look, NET).withColumn("_f", far)
+    return s.groupBy(*GATE, "cell").agg(*_order_free("pin", "_f")).select(
+        *GATE, F.concat_ws("|", "cell", *[F.col(x).cast("string") for x in ("n", "h1", "h2")]).alias("signature"))
 
 
 def align_by_signature(a: DataFrame, b: DataFrame) -> DataFrame:

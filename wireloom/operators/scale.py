@@ -95,25 +95,6 @@ def closure(seeds: DataFrame, expand: Callable[[DataFrame], DataFrame], keys: Se
     return store.all()
 
 
-def walk(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], keys: Sequence[str],
-         tag: str = "walk", max_rounds: int = 100_000) -> DataFrame:
-    """Rows met at every walk length (`round` from 1), without removing rows met before.
-
-    Ends only where the walks end, so the relation behind `step` must be acyclic.
-    """
-    keys = list(keys)
-    store = Store(seeds.sparkSession, tag)
-    frontier = store.append(seeds.select(*keys).distinct().withColumn("round", F.lit(1)))
-    rounds = 1
-    while not frontier.isEmpty():
-        rounds += 1
-        if rounds > max_rounds:
-            raise ValueError(f"walk did not end after {max_rounds} rounds; cut cycles first")
-        frontier = store.append(step(frontier.drop("round")).select(*keys).distinct()
-                                .withColumn("round", F.lit(rounds)))
-    return store.all()
-
-
 def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], tag: str = "stable",
                  max_rounds: int = 10_000) -> DataFrame:
     """Repeat `step` until the set of rows stops changing (row count and hash sum are equal)."""

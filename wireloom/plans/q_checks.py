@@ -97,10 +97,10 @@ CHECK_SQL["findings"] = """SELECT m.circuit_id, m."check", m.severity, m.subject
       WHEN m."check" = 'singleton_subcircuit' THEN 0.3 WHEN m."check" = 'low_confidence_prediction' THEN 0.5 ELSE 0.7 END::DOUBLE AS confidence,
     any_value(c.category) = 'gnn_suspicion' AS model_based
     FROM members m JOIN catalog c ON c."check" = m."check" GROUP BY 1, 2, 3, 4"""
-CHECK_SQL["numbered"] = """SELECT *, row_number() OVER (PARTITION BY circuit_id ORDER BY
+NUMBERED = """SELECT *, row_number() OVER (PARTITION BY circuit_id ORDER BY
     CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END,
-    CASE category WHEN 'electrical' THEN 1 WHEN 'reachability' THEN 2 WHEN 'structural' THEN 3 WHEN 'gnn_suspicion' THEN 4 ELSE 5 END,
-    "check", coalesce(first_gate, -1), coalesce(first_net, ''), subject) AS number FROM findings"""
+    CASE category WHEN 'electrical' THEN 1 WHEN 'reachability' THEN 2 WHEN 'structural' THEN 3 WHEN 'intent' THEN 4 ELSE 5 END,
+    "check", coalesce(first_gate, -1), coalesce(first_net, ''), g) AS number FROM heads"""
 
 _OUT = """SELECT circuit_id, "check", severity, subject, coalesce(gate_id, -1) AS gate_id, coalesce(pin, '') AS pin,
     coalesce(net, '') AS net FROM """
@@ -170,11 +170,12 @@ def _(spark, d):
         {"first_gate": -1, "first_net": ""})
 
 
-@query("numbered_findings", """SELECT circuit_id, "check", severity, subject, number,
-    'F' || CASE WHEN number < 1000 THEN lpad(number::VARCHAR, 3, '0') ELSE number::VARCHAR END AS id FROM numbered""", **CHECK_SQL)
+@query("numbered_findings", """SELECT circuit_id, "check", severity, g AS group_subject, number,
+    'F' || CASE WHEN number < 1000 THEN lpad(number::VARCHAR, 3, '0') ELSE number::VARCHAR END AS id FROM numbered""", **MERGE_SQL, numbered=NUMBERED)
 def _(spark, d):
+    """Findings are grouped first and then numbered."""
     t, m = _members(spark, d)
-    return checks.number_findings(checks.findings(m)).select("circuit_id", "check", "severity", "subject", "number", "id")
+    return checks.number_findings(checks.merge_findings(m, t.gates), "group_subject").select("circuit_id", "check", "severity", "group_subject", "number", "id")
 
 
 @query("finding_stats", """SELECT * FROM (SELECT circuit_id, count(*) AS gates FROM gates GROUP BY 1)
@@ -188,11 +189,11 @@ def _(spark, d):
     return checks.finding_stats(checks.findings(m), t)
 
 
-@query("passed_checks", """SELECT circuit_id, "check" FROM (SELECT DISTINCT circuit_id FROM gates), (SELECT "check" FROM catalog)
+@query("passed_checks", """SELECT circuit_id, "check" FROM (SELECT DISTINCT circuit_id FROM gates), (SELECT "check" FROM catalog WHERE "check" NOT IN ('carry_break', 'bit_slice_anomaly', 'intent_dependency'))
     EXCEPT SELECT circuit_id, "check" FROM findings WHERE severity <> 'info'""", **CHECK_SQL)
 def _(spark, d):
     t, m = _members(spark, d)
-    return checks.passed_checks(checks.findings(m), t.gates)
+    return checks.passed_checks(checks.findings(m), t.gates, checks.reported_by(checks.default_checks(t)))
 
 
 @query("circuit_health", """SELECT circuit_id, CASE WHEN bool_or(severity = 'error') THEN 'error' WHEN bool_or(severity = 'warning') THEN 'warning'

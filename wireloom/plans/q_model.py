@@ -75,7 +75,7 @@ def _(spark, d):
       UNION ALL SELECT circuit_id, gate_id, 'in_degree', 1 FROM pins JOIN ports USING (circuit_id, net) WHERE direction = 'input' AND port_dir = 'input'
       UNION ALL SELECT circuit_id, dst, 'in_degree', 1 FROM edges
       UNION ALL SELECT circuit_id, src, 'out_degree', 1 FROM edges) GROUP BY 1, 2, 3""",
-       fam="SELECT circuit_id, gate_id, family FROM gates WHERE family IN ('INV','ADDF')")
+       fam="SELECT circuit_id, gate_id, CASE WHEN cell LIKE 'NAND%' THEN 'NAND' WHEN cell LIKE 'XOR%' THEN 'XOR' WHEN cell LIKE 'MXT%' THEN 'MXT' WHEN cell LIKE 'MX%' THEN 'MX' ELSE family END AS family FROM gates WHERE regexp_matches(cell, '^(INV|ADDF|NAND|XOR|MX)')")
 def _(spark, d):
     t = B.tables(spark, d)
     return model.neighbourhood_counts(t.gates, t.edges, t.pins, t.ports)
