@@ -115,13 +115,15 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     return F.aggregate(columns, start, lambda s, jc: F.transform(F.array(column(s, jc)), advance)[0], lambda s: s["n"])
 
 
-def within(a: Column, b: Column, edits: int) -> Column:
-    """Whether a and the longer b are within `edits` edits: their common beginning and end are cut off first."""
-    p = _common(a, b, edits)
-    a1, b1 = F.substring(a, p + 1, F.length(a)), F.substring(b, p + 1, F.length(b))
-    q = _common(F.reverse(a1), F.reverse(b1), edits)
-    near = banded_distance(F.substring(a1, F.lit(1), F.length(a1) - q), F.substring(b1, F.lit(1), F.length(b1) - q), edits) <= edits
-    return (F.length(b) - F.length(a) <= edits) & near
+def _differing(pairs: DataFrame, edits: int) -> DataFrame:
+    """(a, b, la, lb) with the common beginning and end of la and lb cut off. Each step is written, so that the next one
+    reads columns: inside a lambda function an expression would be evaluated for every element."""
+    for turned in (False, True):
+        side = F.reverse if turned else (lambda c: c)
+        cut = pairs.withColumn("_n", _common(side("la"), side("lb"), edits) if turned else _common(F.col("la"), F.col("lb"), edits))
+        keep = (lambda c: F.substring(c, F.lit(1), F.length(c) - F.col("_n"))) if turned else (lambda c: F.substring(c, F.col("_n") + 1, F.length(c)))
+        pairs = written(cut.select("a", "b", keep("la").alias("la"), keep("lb").alias("lb")), "differing")
+    return pairs
 
 
 # ------------------------------------------------------------------ join
@@ -175,8 +177,8 @@ def similar_lines(lines: DataFrame, edits: int) -> DataFrame:
     pairs = (candidates.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
              .join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b"))
     shorter = F.length("la") <= F.length("lb")
-    return pairs.select("a", "b", F.when(shorter, F.col("la")).otherwise(F.col("lb")).alias("la"), F.when(shorter, F.col("lb")).otherwise(F.col("la")).alias("lb")).filter(
-        within(F.col("la"), F.col("lb"), edits)).select("a", "b")
+    pairs = pairs.select("a", "b", F.when(shorter, F.col("la")).otherwise(F.col("lb")).alias("la"), F.when(shorter, F.col("lb")).otherwise(F.col("la")).alias("lb"))
+    return _differing(pairs, edits).filter(banded_distance(F.col("la"), F.col("lb"), edits) <= edits).select("a", "b")
 
 
 def _split_rows(documents: DataFrame) -> DataFrame:
