@@ -34,13 +34,13 @@ def _place(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return start, base + (F.lit(i) > short).cast("int")
 
 
-def _keys(text: Column, edits: int, before: Column, own: Column, longer: Column | None) -> Column:
+def _keys(text: Column, length: Column, edits: int, before: Column, own: Column, longer: Column | None) -> Column:
     """Array of (key, d, own, at, width): substrings that may match a segment of a text shorter by d.
 
     `before` is the key of what matched already; `own` says whether the text may stand in the index, which its own
     segments then do; `longer` is d where it is known.
     """
-    out, length = [], F.length(text)
+    out = []
     for d in range(edits + 1):
         for i in range(1, edits + 2):
             start, width = _place(length - d, i, edits)
@@ -139,9 +139,9 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     its key. Such a key is refined: the segment is cut out of the lines that have it, what is left is within `edits`
     edits again, so it is cut into segments once more and the key of one of those is added; and so on.
     """
-    spread = lambda text, before, own, longer: F.explode(_keys(text, edits, before, own, longer)).alias("k")
+    spread = lambda text, length, before, own, longer: F.explode(_keys(F.col(text), F.col(length), edits, before, own, longer)).alias("k")
     columns = ("lid", "sig", "k.key", "k.d", "k.own", "k.at", "k.width")
-    keys = written(lines.select("lid", "sig", spread(F.col("line"), F.lit(0).cast("long"), F.lit(True), None)).select(*columns), "keys")
+    keys = written(lines.select("lid", "sig", spread("line", "len", F.lit(0).cast("long"), F.lit(True), None)).select(*columns), "keys")
     found = None
     for level in range(DEPTH):
         index = keys.filter("own").select("key", F.col("lid").alias("a"), F.col("sig").alias("sa"))
@@ -158,8 +158,8 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
         if level == 0:
             rest = rest.join(_few(lines.select("lid", F.col("line").alias("rest")), rest.select("lid").distinct()), "lid")
         cut = F.concat(F.substring("rest", F.lit(1), F.col("at") - 1), F.substring("rest", F.col("at") + F.col("width"), F.length("rest")))
-        rest = rest.select("lid", "sig", "d", "own", "key", cut.alias("rest"))
-        keys = written(rest.select("lid", "sig", "rest", spread(F.col("rest"), F.col("key"), F.col("own"), F.col("d"))).select("rest", *columns), "keys")
+        rest = rest.select("lid", "sig", "d", "own", "key", cut.alias("rest")).withColumn("len", F.length("rest"))
+        keys = written(rest.select("lid", "sig", "rest", spread("rest", "len", F.col("key"), F.col("own"), F.col("d"))).select("rest", *columns), "keys")
     return found.distinct()
 
 
@@ -171,7 +171,7 @@ def _few(rows: DataFrame, lids: DataFrame, most: int = 1_000_000) -> DataFrame:
 
 def similar_lines(lines: DataFrame, edits: int) -> DataFrame:
     """(a, b): line ids of `lines` (lid, line), distinct lines longer than `edits`, within `edits` edits."""
-    lines = lines if "sig" in lines.columns else lines.withColumn("sig", _signature(F.col("line")))
+    lines = lines if "sig" in lines.columns else lines.withColumns({"sig": _signature(F.col("line")), "len": F.length("line")})
     candidates = written(_candidates(lines, edits), "candidates")
     texts = written(_few(lines.select("lid", "line"), candidates.select(F.col("a").alias("lid")).union(candidates.select("b")).distinct()), "candidate-lines")
     pairs = (candidates.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
@@ -191,7 +191,7 @@ def line_rules(documents: DataFrame, edits: int, least_chars: int) -> DataFrame:
     """(h1, h2, keep_doc, links): lines that occur more than once or have near ones. `keep_doc` is the document in
     which the line stays, null if another line of its class does; `keeps` says which of the two."""
     each = _split_rows(documents).select("doc_id", F.explode("lines").alias("line")).filter(F.length("line") >= least_chars)
-    lines = each.groupBy("line").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).withColumns({"lid": F.monotonically_increasing_id(), "sig": _signature(F.col("line"))})
+    lines = each.groupBy("line").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).withColumns({"lid": F.monotonically_increasing_id(), "sig": _signature(F.col("line")), "len": F.length("line")})
     lines = written(lines, "lines")
     links = written(similar_lines(lines, edits), "links")
     ends = links.select(F.col("a").alias("lid")).union(links.select("b"))
