@@ -157,6 +157,23 @@ def test_vocabulary_bound():
     assert lmscore.MOST_WORDS < lmscore.EDGE < 1 << 16
 
 
+def test_no_word_is_unknown(spark):
+    """70,000 words that occur once each, more than ids of 16 bits can name: a text of known words differs from one of new ones."""
+    rare = [f"w{i}" for i in range(70_000)]
+    table = spark.createDataFrame([(1, " ".join(rare)), (2, " ".join(rare[:40_000])), (3, "zero " * 9 + "w7"), (4, "zero " * 9 + "one")], "doc_id long, text string")
+    got = {x.doc_id: x for x in lmscore.cross_entropy_difference(table, spark.createDataFrame([(2,)], "doc_id long")).collect()}
+    chains = {x.doc_id: ["", *x.text.split(), ""] for x in table.collect()}
+    single, double = ([Counter(), Counter()] for _ in "ab")
+    for i, c in chains.items():
+        single[i == 2].update(c[1:])
+        double[i == 2].update(zip(c, c[1:]))
+    n_words = len(set(single[0]) | set(single[1])) - 1
+    assert n_words == 70_002
+    for i, c in chains.items():
+        loss = [sum(-math.log(0.7 * double[m][v, w] / max(1, single[m][v]) + 0.3 * (single[m][w] + 1) / (sum(single[m].values()) + n_words + 2)) for v, w in zip(c, c[1:])) / (len(c) - 1) for m in (0, 1)]
+        assert (got[i].loss_background, got[i].loss_target) == pytest.approx(loss)
+
+
 # ------------------------------------------------------------------ top-k search
 def test_search_equals_brute_force(spark):
     r = random.Random(9)

@@ -1,24 +1,21 @@
 """Cross-entropy difference of documents under a target and a background bigram model (Moore and Lewis).
 
-Both models share the vocabulary, the order and the smoothing; the target model counts the target documents, the
-background model all others. Words beyond the vocabulary are one unknown word. A document of n words is a chain of
-n + 1 predictions (a boundary stands before and after it); for each the loss under both models is taken, and the mean
-difference scores the document: the lower, the closer to the target.
+Both models share the vocabulary (all words of the documents), the order and the smoothing; the target model counts the
+target documents, the background model all others. A document of n words is a chain of n + 1 predictions (a boundary
+stands before and after it); for each the loss under both models is taken, and the mean difference scores the document:
+the lower, the closer to the target.
 
     P(w | v) = mix * c(v, w) / c(v) + (1 - mix) * (c(w) + 1) / (N + V + 2)
 
-The bigram tables grow with the corpus and are never gathered. Tasks turn documents into (bigram, document, count)
-entries and deal them out by a hash of the bigram; a bucket adds up the counts of its bigrams over the whole corpus
-and, having both counts at hand, sends each block of documents the sums of its losses. So counting and scoring take one
-shuffle of packed arrays and one of partial sums. A bigram that all documents share has one entry for each of them
-with a few bytes, spread over the blocks. Only word counts of the vocabulary (bounded) go to all tasks.
+The counts grow with the corpus and are never gathered or broadcast. Tasks turn documents into blocks of chains. A block
+sends its own count of each of its distinct words, then of each of its distinct bigrams, to a part by a hash of the key;
+a part adds up the counts of its keys and answers each block with the sums, in the order in which the block asked. So a
+word or bigram that all documents share costs a part one entry for each block. Keys are hashes of 64 bits.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from dataclasses import dataclass
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -28,22 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wireloom.llm.common import as_bytes, part_count, pieces, words_of, written
+from wireloom.llm.neardup import mixed
 
-MOST_WORDS = 65_534  # ids fit 16 bits: 0 is the unknown word, EDGE the boundary
-EDGE = 65_535
+MOST_WORDS, EDGE = 65_534, 65_535  # up to MOST_WORDS words LM_SQL keeps them all and gives the same scores; no bound here
 BLOCK_CHARS = 4_000_000
 
 
-@dataclass
-class Vocabulary:
-    ids: dict[bytes, int]
-    counts: np.ndarray  # [model, id]: occurrences, model 0 background, 1 target
-    totals: np.ndarray  # [model]: predictions
-
-    def unigram(self, model: int) -> np.ndarray:
-        return (self.counts[model] + 1) / (self.totals[model] + len(self.ids) + 2)
-
-
 def marked(documents: DataFrame, target: DataFrame) -> DataFrame:
     """(doc_id, text, target int): whether a row's id is among those of `target` (doc_id)."""
     docs = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -51,148 +38,135 @@ def marked(documents: DataFrame, target: DataFrame) -> DataFrame:
     return docs.join(ids, F.col("doc_id") == F.col("_t"), "left").select("doc_id", "text", F.col("_t").isNotNull().cast("int").alias("target"))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n0, n1): occurrences outside and inside the target; the word "" counts the documents with words."""
-    def count(batches):
-        for b in pieces(batches, 2048):
-            seen = (Counter(), Counter())
-            for text, t in zip(as_bytes(b["text"]), b["target"].to_pylist(), strict=True):
-                if words := words_of(text):
-                    seen[t].update(words)
-                    seen[t][b""] += 1
-            keys = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *[pa.array([s[k] for k in keys], pa.int64()) for s in seen]], names=["word", "n0", "n1"])
-
-    return docs.select("text", "target").mapInArrow(count, "word binary, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-
-def vocabulary(counts: DataFrame, most: int = MOST_WORDS) -> Vocabulary:
-    """The most frequent words, `most` at most: all words above a count, taken from a histogram of 16 bins an octave."""
-    step = F.floor(16 * F.log2(F.col("n0") + F.col("n1"))).cast("int")
-    total = counts.filter("word <> X''").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b")).first()
-    edges = counts.filter("word = X''").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b")).first()
-    least, room = None, most
-    for row in sorted(counts.filter("word <> X''").groupBy(step.alias("bin")).count().collect(), key=lambda r: -r["bin"]):
-        if row["count"] > room:
-            break
-        least, room = row["bin"], room - row["count"]
-    rows = counts.filter((F.col("word") != F.lit(b"")) & (step >= least)).collect() if least is not None else []
-    rows.sort(key=lambda r: bytes(r["word"]))
-    table = np.zeros((2, EDGE + 1))
-    for i, r in enumerate(rows, 1):
-        table[:, i] = r["n0"], r["n1"]
-    sums, ends = np.array([total.a or 0, total.b or 0], float), np.array([edges.a or 0, edges.b or 0], float)
-    table[:, 0] = sums - table.sum(1)
-    table[:, EDGE] = ends
-    return Vocabulary({bytes(r["word"]): i for i, r in enumerate(rows, 1)}, table, sums + ends)
-
-
+# ------------------------------------------------------------------ packed arrays
 def _packed(values: np.ndarray) -> bytes:
-    """A byte for the width, then the values in as few bytes each as the largest needs."""
-    width = 1 if not len(values) or values.max() < 1 << 8 else 2 if values.max() < 1 << 16 else 4
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
-
-
-def packed_entries(keys: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> bytes:
-    """Entries sorted by bigram: the distinct bigrams, how many entries each has, the entries' documents and counts."""
-    order = np.lexsort((docs, keys))
-    unique, n = np.unique(keys[order], return_counts=True)
-    return np.array([len(unique), len(keys)], "<u4").tobytes() + b"".join(map(_packed, (unique, n, docs[order], counts[order])))
-
-
-def unpacked_entries(data: bytes) -> list[np.ndarray]:
-    u, e = np.frombuffer(data, "<u4", 2)
-    out, at = [], 8
-    for n in (u, u, e, e):
-        width = data[at]
-        out.append(np.frombuffer(data, f"<u{width}", n, at + 1).astype(np.int64))
-        at += 1 + width * int(n)
+    """Number of values, bytes for each, then the values by planes: all lowest bytes first."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    planes = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return len(values).to_bytes(4, "little") + bytes([width]) + planes.T.tobytes()
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    """The arrays of joined `_packed` values."""
+    out, at = [], 0
+    while at < len(data):
+        n, width = int.from_bytes(data[at:at + 4], "little"), data[at + 4]
+        planes = np.zeros((n, 8), np.uint8)
+        planes[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 5).reshape(width, n).T
+        out.append(planes.view("<u8").ravel())
+        at += 5 + n * width
     return out
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
-
-
-def entries(docs: DataFrame, words: Vocabulary, buckets: int) -> DataFrame:
-    """(bucket, block, docs, targets, entries): the bigrams of a block of documents that fall into a bucket. Bucket -1
-    has the ids and the numbers of predictions of a block."""
-    shared = docs.sparkSession.sparkContext.broadcast(words.ids)  # MOST_WORDS words at most
+# ------------------------------------------------------------------ blocks
+def chains(docs: DataFrame) -> DataFrame:
+    """(block, ids, docs, words, chain, n_words, n0, n1): blocks of documents. `docs` has their numbers of words and models,
+    `words` the keys of the distinct words, the boundary first, `chain` the places in `words` of all documents' words with
+    a boundary before and after those of a document that has any; n0 and n1 are the predictions of each model."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def block_rows(block, ids, lengths, targets, chain):
-        lengths = np.array(lengths, np.int64)
-        keys = (chain[:-1].astype(np.uint64) << np.uint64(16)) | chain[1:].astype(np.uint64)
-        owner = np.repeat(np.arange(len(ids), dtype=np.uint64), np.where(lengths > 0, lengths + 2, 0))
-        same = owner[:-1] == owner[1:]
-        pairs, n = np.unique((owner[1:][same] << np.uint64(32)) | keys[same], return_counts=True)
-        doc, key = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
-        at = bucket_of(key, buckets)
-        order = np.argsort(at, kind="stable")
-        doc, key, n, at = doc[order], key[order], n[order], at[order]
-        targets = np.array(targets, np.uint8)
-        rows = [(-1, block, ids, [int(x) + 1 if x else 0 for x in lengths], None)]
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
-        for a, z in zip(starts, [*starts[1:], len(at)], strict=True):
-            own = np.unique(doc[a:z])
-            mine = np.searchsorted(own, doc[a:z])
-            rows.append((int(at[a]), block, None, own.astype(np.int32), targets[own.astype(np.int64)].tobytes() + packed_entries(key[a:z], mine, n[a:z])))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(ids_type[0])),
-                                           pa.array([r[3] for r in rows], pa.list_(pa.int32())), pa.array([r[4] for r in rows], pa.binary())],
-                                          names=["bucket", "block", "ids", "docs", "entries"])
-
-    ids_type: list = [None]
-
     def run(batches):
-        own, number = shared.value, 0
-        part = TaskContext.get().partitionId()
-        ids, lengths, targets, chain, chars = [], [], [], [], 0
+        number, part = 0, TaskContext.get().partitionId()
+        ids, lengths, targets, chain, own, chars = [], [], [], [], {b"": 0}, 0
+
+        def row():
+            n, t = np.array(lengths, np.int64), np.array(targets, np.int64)
+            keys = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in own)
+            sums = np.bincount(t, np.where(n > 0, n + 1, 0), 2).astype(np.int64).tolist()
+            columns = [[part << 32 | number], [ids], [_packed(n) + _packed(t)], [keys], [_packed(np.concatenate(chain))], [len(own)], *([x] for x in sums)]
+            types = [pa.int64(), pa.list_(kind_of), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, types, strict=True)], names=["block", "ids", "docs", "words", "chain", "n_words", "n0", "n1"])
+
         for b in pieces(batches):
-            ids_type[0] = b["doc_id"].type
+            kind_of = b["doc_id"].type
             for i, text, t in zip(b["doc_id"].to_pylist(), as_bytes(b["text"]), b["target"].to_pylist(), strict=True):
                 words = words_of(text)
                 ids.append(i)
                 lengths.append(len(words))
                 targets.append(t)
-                chain.append(np.array([EDGE, *[own.get(w, 0) for w in words], EDGE] if words else [], np.uint16))
+                chain.append(np.array([0, *[own.setdefault(w, len(own)) for w in words], 0] if words else [], np.uint32))
                 chars += len(text)
                 if chars >= BLOCK_CHARS:
-                    yield block_rows(part << 32 | number, ids, lengths, targets, np.concatenate(chain))
-                    number, ids, lengths, targets, chain, chars = number + 1, [], [], [], [], 0
+                    yield row()
+                    number, ids, lengths, targets, chain, own, chars = number + 1, [], [], [], [], {b"": 0}, 0
         if ids:
-            yield block_rows(part << 32 | number, ids, lengths, targets, np.concatenate(chain))
-
-    return docs.mapInArrow(run, f"bucket int, block long, ids array<{kind}>, docs array<int>, entries binary")
-
-
-def losses(entry_rows: DataFrame, words: Vocabulary, mix: float) -> DataFrame:
-    """(block, docs, loss0, loss1): for each bucket and block the summed losses of its documents under both models."""
-    shared = entry_rows.sparkSession.sparkContext.broadcast((words.counts, words.unigram(0), words.unigram(1)))
-
-    def bucket(group: pd.DataFrame) -> pd.DataFrame:
-        counts, *unigram = shared.value
-        blocks = []
-        for data, docs in zip(group["entries"], group["docs"], strict=True):
-            target = np.frombuffer(data, np.uint8, len(docs))
-            key, n, doc, c = unpacked_entries(data[len(docs):])
-            blocks.append((key, n, doc, c.astype(float), target))
-        every = np.unique(np.concatenate([b[0] for b in blocks]))
-        total = np.zeros((2, len(every)))
-        for key, n, doc, c, target in blocks:
-            at = np.repeat(np.searchsorted(every, key), n)
-            for m in (0, 1):
-                total[m] += np.bincount(at, np.where(target[doc] == m, c, 0.0), len(every))
-        before, word = every >> 16, every & 0xFFFF
-        loss = [-np.log(mix * total[m] / np.maximum(counts[m][before], 1) + (1 - mix) * unigram[m][word]) for m in (0, 1)]
-        sums = [[], []]
-        for key, n, doc, c, target in blocks:
-            at = np.repeat(np.searchsorted(every, key), n)
-            for m in (0, 1):
-                sums[m].append(np.bincount(doc, loss[m][at] * c, len(target)))
-        return pd.DataFrame({"bucket": group["bucket"], "block": group["block"], "docs": group["docs"], "loss0": sums[0], "loss1": sums[1]})
-
-    return (entry_rows.filter("bucket >= 0").groupBy("bucket").applyInPandas(bucket, "bucket int, block long, docs array<int>, loss0 array<double>, loss1 array<double>")
-            .select("bucket", "block", "docs", "loss0", "loss1"))
+            yield row()
+
+    return docs.mapInArrow(run, f"block long, ids array<{kind}>, docs binary, words binary, chain binary, n_words long, n0 long, n1 long")
+
+
+class Block:
+    """The predictions of a block: `doc`, `model` and `place` in the distinct bigrams (`before`, `word`) of each."""
+
+    def __init__(self, docs: bytes, words: bytes, chain: bytes):
+        self.lengths, targets = (x.astype(np.int64) for x in _unpacked(docs))
+        self.keys = np.frombuffer(words, "<u8")
+        chain, = _unpacked(chain)
+        owner = np.repeat(np.arange(len(self.lengths)), np.where(self.lengths > 0, self.lengths + 2, 0))
+        same = owner[:-1] == owner[1:]
+        self.doc = owner[1:][same]
+        self.model = targets[self.doc]
+        pairs, self.place = np.unique(chain[:-1][same] << np.uint64(32) | chain[1:][same], return_inverse=True)
+        self.before, self.word = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+    def bigrams(self) -> np.ndarray:
+        return mixed(mixed(self.keys[self.before]) * np.uint64(0x9E3779B97F4A7C15) + self.keys[self.word])
+
+    def counts(self, of: np.ndarray, n: int) -> list[np.ndarray]:
+        return [np.bincount(of[self.model == m], minlength=n) for m in (0, 1)]
+
+
+def _order(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each key, and the order in which keys are sent and answered."""
+    part = (mixed(keys) >> np.uint64(33)) % np.uint64(parts)
+    return part, np.argsort(part, kind="stable")
+
+
+def requests(blocks: DataFrame, parts: int, bigrams: bool) -> DataFrame:
+    """(part, block, keys, counts): the distinct words or bigrams of a block in a part, and how often it has them."""
+    def run(batches):
+        for b in pieces(batches, 1):
+            for name, docs, words, chain in zip(*(b[c].to_pylist() for c in ("block", "docs", "words", "chain")), strict=True):
+                own = Block(docs, words, chain)
+                keys, of = (own.bigrams(), own.place) if bigrams else (own.keys, own.word[own.place])
+                counts = own.counts(of, len(keys))
+                part, order = _order(keys, parts)
+                at = part[order]
+                starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
+                rows = [(int(at[a]), name, keys[order[a:z]].astype("<u8").tobytes(), b"".join(_packed(c[order[a:z]]) for c in counts))
+                        for a, z in zip(starts, [*starts[1:], len(at)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
+                                                 names=["part", "block", "keys", "counts"])
+
+    return blocks.select("block", "docs", "words", "chain").mapInArrow(run, "part int, block long, keys binary, counts binary")
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """(part, block, seen, sums): for each request the counts of its keys over all blocks. `seen` adds up to the number of
+    distinct keys that occur in a prediction."""
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.frombuffer(k, "<u8") for k in group["keys"]]
+        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = [_unpacked(c) for c in group["counts"]]
+        total = [np.bincount(at, np.concatenate([c[m] for c in counts]), len(every)).astype(np.int64) for m in (0, 1)]
+        ends = np.cumsum([len(k) for k in keys])
+        sums = [b"".join(_packed(t[at[z - len(k):z]]) for t in total) for k, z in zip(keys, ends, strict=True)]
+        seen = np.zeros(len(group), np.int64)
+        seen[0] = np.count_nonzero(total[0] + total[1])
+        return pd.DataFrame({"part": group["part"], "block": group["block"], "seen": seen, "sums": sums})
+
+    return asked.groupBy("part").applyInPandas(add, "part int, block long, seen long, sums binary")
+
+
+def _sums(rows: pd.DataFrame, keys: np.ndarray, parts: int) -> list[np.ndarray]:
+    """The answers to a block's requests for `keys`, in their order."""
+    order = _order(keys, parts)[1]
+    got = [_unpacked(x) for x in rows.sort_values("part")["sums"]]
+    out = [np.zeros(len(keys)) for _ in (0, 1)]
+    for m in (0, 1):
+        if got:
+            out[m][order] = np.concatenate([g[m] for g in got])
+    return out
 
 
 def cross_entropy_difference(documents: DataFrame, target: DataFrame, mix: float = 0.7) -> DataFrame:
@@ -203,26 +177,32 @@ def cross_entropy_difference(documents: DataFrame, target: DataFrame, mix: float
     Repeated rows count as often as they stand and get a row each; other columns are not read. Without target documents
     the target model is uniform.
     """
-    docs = written(marked(documents, target), "marked")
-    counts = written(word_counts(docs), "words")
-    words = vocabulary(counts)
-    buckets = part_count(documents, float(words.totals.sum()), 1.5e6)
-    rows = entries(docs, words, buckets)
+    docs = marked(documents, target)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    partial = losses(rows, words, mix)
-    heads = rows.filter("bucket < 0").select(F.lit(-1).alias("bucket"), "block", "docs", F.array().cast("array<double>").alias("loss0"), F.array().cast("array<double>").alias("loss1"), "ids")
-    both = heads.unionByName(partial.withColumn("ids", F.array().cast(f"array<{kind}>")))
+    blocks = written(chains(docs), "chains")
+    n_words, *predictions = (x or 0 for x in blocks.agg(F.sum("n_words"), F.sum("n0"), F.sum("n1")).first())
+    word_parts, parts = part_count(documents, n_words, 1.5e6), part_count(documents, sum(predictions), 1.5e6)
+    words = written(answers(requests(blocks, word_parts, bigrams=False)), "words")
+    vocabulary = max(0, (words.agg(F.sum("seen")).first()[0] or 0) - 1)  # without the boundary
+    pairs = written(answers(requests(blocks, parts, bigrams=True)), "bigrams")  # frees the requests' shuffle files
+    answered = [x.select("block", F.lit(i).alias("step"), "part", "sums") for i, x in enumerate((words, pairs), 1)]
+    rows = blocks.select("block", F.lit(0).alias("step"), F.lit(0).alias("part"), F.lit(None).cast("binary").alias("sums"), "ids", "docs", "words", "chain")
+    for x in answered:
+        rows = rows.unionByName(x, allowMissingColumns=True)
 
     def block(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("bucket")
-        ids, n = group["ids"].iloc[0], np.array(group["docs"].iloc[0])
-        sums = np.zeros((2, len(ids)))
-        for docs, *loss in zip(group["docs"][1:], group["loss0"][1:], group["loss1"][1:], strict=True):
-            for m in (0, 1):
-                sums[m][np.asarray(docs)] += loss[m]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            mean = [np.where(n > 0, s / n, np.nan) for s in sums]
+        row = group[group["step"] == 0].iloc[0]
+        own, ids = Block(row["docs"], row["words"], row["chain"]), row["ids"]
+        single = _sums(group[group["step"] == 1], own.keys, word_parts)
+        double = _sums(group[group["step"] == 2], own.bigrams(), parts)
+        n = np.where(own.lengths > 0, own.lengths + 1, 0)
+        mean = []
+        for m in (0, 1):
+            unigram = (single[m][own.word] + 1) / (predictions[m] + vocabulary + 2)
+            loss = -np.log(mix * double[m] / np.maximum(single[m][own.before], 1) + (1 - mix) * unigram)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mean.append(np.where(n > 0, np.bincount(own.doc, loss[own.place], len(n)) / n, np.nan))
         return pd.DataFrame({"doc_id": pd.array(list(ids), "Int64") if kind in ("bigint", "int") else list(ids), "n_tokens": n, "loss_target": mean[1], "loss_background": mean[0], "score": mean[1] - mean[0]})
 
-    out = both.groupBy("block").applyInPandas(block, f"doc_id {kind}, n_tokens long, loss_target double, loss_background double, score double")
+    out = rows.groupBy("block").applyInPandas(block, f"doc_id {kind}, n_tokens long, loss_target double, loss_background double, score double")
     return out.select("doc_id", "n_tokens", *[F.when(F.col("n_tokens") > 0, F.col(c)).alias(c) for c in ("loss_target", "loss_background", "score")])
