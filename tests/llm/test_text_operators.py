@@ -172,6 +172,20 @@ def test_toxicity_learns_and_restores(spark):
     assert all(abs(x.score - one.score(t)) < 1e-12 for x, t in zip(toxicity.scores(docs.filter("doc_id < 9"), model).collect(), [d.text for d in docs.filter("doc_id < 9").collect()]))
 
 
+def test_rows_are_judged_by_themselves(spark):
+    """A toxic or contaminated row takes no clean row with a null or the same id with it."""
+    docs, labels = labelled(spark)
+    bad, clean = [docs.join(labels, "doc_id").filter(f"toxic = {x}").select("text").first().text for x in (1, 0)]
+    more = spark.createDataFrame([(None, bad, "x"), (None, clean, "a"), (None, clean + " b", "b"), (-1, bad, "x"), (-1, clean, "c"), (-2, None, "d")], docs.schema)
+    stays = {(None, clean, "a"), (None, clean + " b", "b"), (-1, clean, "c"), (-2, None, "d")}
+    out = toxicity.without_toxic(docs.union(more), labels)
+    assert out.columns == docs.columns
+    assert {tuple(x) for x in out.filter("doc_id is null or doc_id < 0").collect()} == stays
+    bench = spark.createDataFrame([(1, bad)], "item_id long, text string")
+    out = decontam.clean_documents(more, bench)
+    assert out.columns == docs.columns and {tuple(x) for x in out.collect()} == stays
+
+
 def test_toxicity_without_rows(spark):
     docs, labels = labelled(spark, 8)
     assert toxicity.toxicity(none(spark), labels).count() == 0

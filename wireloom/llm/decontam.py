@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wireloom.llm.common import as_bytes, pieces, words_of
@@ -103,8 +103,13 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     Items with a null id or without words have no windows. Repeated documents give a row each, repeated or equal
     items count by their ids. Other columns of both tables are not read. An empty benchmark gives no hits.
     """
+    return _scanned(documents, F.col("doc_id"), benchmark, window, block_chars).withColumnRenamed("row", "doc_id")
+
+
+def _scanned(documents: DataFrame, row: Column, benchmark: DataFrame, window: int, block_chars: int) -> DataFrame:
+    """`find_passages` with `row` of each row of `documents` in place of its id."""
     spark = documents.sparkSession
-    found = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
+    found = documents.select(row.alias("row"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
                              F.array().cast("array<struct<start:long,stop:long>>").alias("hit_spans"),
                              F.array().cast("array<string>").alias("items"))
     schema = found.schema
@@ -125,9 +130,9 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, window: int = 10,
                     spans.append([{"start": a, "stop": z} for a, z in merged(hit)])
                     items.append(sorted(seen))
                 yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"], b["text"], pa.array(counts, pa.int64()),
+                    [b["row"], b["text"], pa.array(counts, pa.int64()),
                      pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                     pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "hit_spans", "items"])
+                     pa.array(items, pa.list_(pa.string()))], names=["row", "text", "n_words", "hit_spans", "items"])
 
         found = found.mapInArrow(scan, schema)
     return found.drop("text")
@@ -141,9 +146,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """`documents` without those in which a window occurs; a document id stands for all its rows."""
-    hit = find_passages(documents, benchmark, window).filter(F.size("hit_spans") > 0).select(F.col("doc_id").alias("_hit")).distinct()
-    return documents.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
-
-
+def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 4_000_000) -> DataFrame:
+    """`documents` without the rows in whose text a window occurs; each row is judged by itself, whatever its id."""
+    return _scanned(documents, F.struct("*"), benchmark, window, block_chars).filter(F.size("hit_spans") == 0).select("row.*")
