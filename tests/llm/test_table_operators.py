@@ -153,10 +153,6 @@ def test_cross_entropy_equals_plain_counts(spark):
     assert lmscore.cross_entropy_difference(none(spark), spark.createDataFrame([], "doc_id long")).count() == 0
 
 
-def test_vocabulary_bound():
-    assert lmscore.MOST_WORDS < lmscore.EDGE < 1 << 16
-
-
 def test_no_word_is_unknown(spark):
     """70,000 words that occur once each, more than ids of 16 bits can name: a text of known words differs from one of new ones."""
     rare = [f"w{i}" for i in range(70_000)]

@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from wireloom.llm.common import as_bytes, part_count, pieces, words_of, written
 from wireloom.llm.neardup import mixed
 
-MOST_WORDS, EDGE = 65_534, 65_535  # up to MOST_WORDS words LM_SQL keeps them all and gives the same scores; no bound here
 BLOCK_CHARS = 4_000_000
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wireloom.llm import bpe, decontam, hamming, licenses, linedup, lmscore, neardup, secrets, toxicity, warc
+from wireloom.llm import alignment, bpe, decontam, hamming, licenses, linedup, lmscore, neardup, secrets, toxicity, variants, warc
 from wireloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,8 +107,7 @@ LM_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w,
   CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 ELSE 0 END AS t FROM documents),
 tok AS (SELECT r, t, unnest(w) AS w FROM d), cnt AS (SELECT w, count(*) FILTER (WHERE t = 0) AS n0, count(*) FILTER (WHERE t = 1) AS n1 FROM tok GROUP BY w),
-hist AS (SELECT CAST(floor(16 * log2(n0 + n1)) AS INTEGER) AS bin, count(*) AS c FROM cnt GROUP BY 1), cum AS (SELECT bin, sum(c) OVER (ORDER BY bin DESC) AS s FROM hist),
-voc AS (SELECT w, n0, n1 FROM cnt WHERE CAST(floor(16 * log2(n0 + n1)) AS INTEGER) >= (SELECT min(bin) FROM cum WHERE s <= 65534)),
+voc AS (SELECT w, n0, n1 FROM cnt),
 ends AS (SELECT count(*) FILTER (WHERE t = 0) AS n0, count(*) FILTER (WHERE t = 1) AS n1 FROM d WHERE len(w) > 0),
 tot AS (SELECT sum(n0) AS n0, sum(n1) AS n1 FROM cnt), uni AS (
   SELECT w, n0, n1 FROM voc UNION ALL SELECT '', n0, n1 FROM ends UNION ALL SELECT '?', tot.n0 - coalesce((SELECT sum(n0) FROM voc), 0), tot.n1 - coalesce((SELECT sum(n1) FROM voc), 0) FROM tot),
@@ -159,3 +158,32 @@ def op2(spark, sf_dir):
 @query("op5_near_dup")
 def op5(spark, sf_dir):
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op12_alignment")
+def op12(spark, sf_dir):
+    return alignment.alignment_report(read(spark, sf_dir, "documents"))
+
+
+#: Near words share what is left after one letter is taken out: at the same place in both, or in the longer one.
+VARIANT_SQL = r"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+tok AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents),
+run AS (SELECT d, w, count(*) AS n, hex(encode(d || ':' || w)) AS x FROM tok WHERE length(w) >= 6 GROUP BY 1, 2),
+sums AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(x), 2), lambda i: 16 * instr('123456789ABCDEF', x[i]) + instr('123456789ABCDEF', x[i + 1]))),
+  lambda c, y: xor(c >> 8, t[1 + xor(c, y) % 256]))) AS h FROM run, tab),
+wc AS (SELECT CASE WHEN h % 199 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS w, n FROM sums),
+words AS (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM wc WHERE length(w) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+cut AS (SELECT DISTINCT w, i, w[:i - 1] || w[i + 1:] AS rest FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM words)),
+near AS (SELECT a.w AS a, b.w AS b FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.w <> b.w
+  UNION SELECT cut.w, words.w FROM cut JOIN words ON cut.rest = words.w UNION SELECT words.w, cut.w FROM cut JOIN words ON cut.rest = words.w),
+best AS (SELECT a AS w, count(*) AS n_near, min({'m': -n, 'w': b}) AS top FROM near JOIN words ON b = w GROUP BY 1),
+f AS (SELECT words.w, n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.m >= 5 * n THEN top.w END AS form, CASE WHEN -top.m >= 5 * n THEN -top.m END AS form_n FROM words LEFT JOIN best USING (w)),
+way(w, here, onward) AS (SELECT w, w, form FROM f UNION ALL SELECT way.w, way.onward, f.form FROM way JOIN f ON way.onward = f.w)
+SELECT f.w AS word, form, here AS root, n, n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN way ON way.w = f.w AND way.onward IS NULL
+"""
+
+
+@query("op13_variants", VARIANT_SQL)
+def op13(spark, sf_dir):
+    return variants.variant_groups(read(spark, sf_dir, "documents"))
