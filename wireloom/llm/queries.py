@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wireloom.llm import alignment, bpe, decontam, hamming, licenses, linedup, lmscore, neardup, secrets, toxicity, variants, warc
+from wireloom.llm import alignment, bpe, decontam, hamming, licenses, linedup, lmscore, neardup, personal, secrets, toxicity, variants, warc
 from wireloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,6 +160,11 @@ def op5(spark, sf_dir):
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query("op11_personal")
+def op11(spark, sf_dir):
+    return personal.personal_report(read(spark, sf_dir, "documents"))
+
+
 @query("op12_alignment")
 def op12(spark, sf_dir):
     return alignment.alignment_report(read(spark, sf_dir, "documents"))
