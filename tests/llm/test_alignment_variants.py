@@ -39,13 +39,9 @@ def walked(own, library, text):
     x, y = [own.bytes_a[i] for i in a], [own.bytes_b[i] for i in b]
     if b"".join(x) != data or b"".join(y) != data:
         return None
-    links, groups, ga, gb, i, j, ends = [], [], [], [], 0, 0, [len(x[0]), len(y[0])]
+    links, groups, ga, gb, i, j, ends = [], [], [a[0]], [b[0]], 0, 0, [len(x[0]), len(y[0])]
     while True:
         links.append((a[i], b[j]))
-        if i == len(ga) + sum(len(g[0]) for g in groups):
-            ga.append(a[i])
-        if j == len(gb) + sum(len(g[1]) for g in groups):
-            gb.append(b[j])
         move = ends[0] <= ends[1], ends[1] <= ends[0]
         if all(move):
             groups.append((ga, gb))
@@ -55,9 +51,11 @@ def walked(own, library, text):
         if move[0]:
             i += 1
             ends[0] += len(x[i])
+            ga.append(a[i])
         if move[1]:
             j += 1
             ends[1] += len(y[j])
+            gb.append(b[j])
 
 
 def test_tokens_equal_the_library(own, library):

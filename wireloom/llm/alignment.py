@@ -102,16 +102,22 @@ class Pair:
         for i, x in self.bytes_a.items():
             self.length_a[i] = len(x)
         self.length_b = np.array([len(x) for x in self.bytes_b])
+        # every id as it is written in front of another one of its group, and at the end of its part
+        n_a, n_b = len(self.length_a), len(self.length_b)
+        self.written = [f"{i}{sign}" for i in range(n_a) for sign in ",|"] + [f"{i}{sign}" for i in range(n_b) for sign in ",;"]
+        self.code_a, self.code_b = np.arange(n_a) * 2, np.arange(n_b) * 2 + 2 * n_a
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of space + text by A and of text by B; None if there is no text or tokens don't spell it."""
+        """Ids of space + text by A and of text by B; None if there is no text or tokens don't spell it. A's are the
+        bytes themselves, so they always do if their lengths add up."""
         if not text:
             return None
         spelt = " " + text
         a, b, data = self.a.encode_ordinary(spelt), self.b.encode(text, num_threads=1), spelt.encode()
-        if b"".join(map(self.bytes_b.__getitem__, b)) != data or b"".join(map(self.bytes_a.__getitem__, a)) != data:
+        if b"".join(map(self.bytes_b.__getitem__, b)) != data:
             return None
-        return np.array(a, np.int64), np.array(b, np.int64)
+        ids = np.array(a, np.int64)
+        return (ids, np.array(b, np.int64)) if self.length_a[ids].sum() == len(data) else None
 
 
 @functools.cache
@@ -119,24 +125,27 @@ def tokenizers(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
-def grouped(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> str:
-    """`a1,a2|b1;a3|b2,b3`: the ids of each group. `cut_a`, `cut_b`: the last token of each group."""
-    x, y = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    out, i, j = [], 0, 0
-    for p, q in zip((cut_a + 1).tolist(), (cut_b + 1).tolist(), strict=True):
-        out.append((x[i] if p == i + 1 else ",".join(x[i:p])) + "|" + (y[j] if q == j + 1 else ",".join(y[j:q])))
-        i, j = p, q
-    return ";".join(out)
-
-
 def linked(own: Pair, a: np.ndarray, b: np.ndarray) -> tuple[str, int, np.ndarray]:
-    """The groups as text, their number, and the pair number of every link: between two cuts of either tokenizer
-    stands one token of each, and every such stretch is another link."""
+    """The groups as text `a1,a2|b1;a3|b2,b3`, their number, and the pair number of every link: between two cuts of
+    either tokenizer stands one token of each, and every such stretch is another link."""
     end_a, end_b = np.cumsum(own.length_a[a]), np.cumsum(own.length_b[b])
-    cuts = np.union1d(end_a, end_b)
-    both = np.intersect1d(end_a, end_b, assume_unique=True)
-    pairs = a[np.searchsorted(end_a, cuts)] * SHIFT + b[np.searchsorted(end_b, cuts)]
-    return grouped(a, b, np.searchsorted(end_a, both), np.searchsorted(end_b, both)), len(both), pairs
+    ends = np.zeros(end_a[-1] + 1, np.uint8)
+    ends[end_a] = 1
+    ends[end_b] += 2
+    kind = ends[ends > 0]  # at each cut: 1 a token of A ends, 2 one of B, 3 both
+    is_a, is_b = kind & 1, kind >> 1
+    at_a, at_b = np.cumsum(is_a, dtype=np.int64) - is_a, np.cumsum(is_b, dtype=np.int64) - is_b
+    both = kind == 3
+    last_a, last_b = at_a[both] + 1, at_b[both] + 1  # tokens up to the end of each group
+    n_a, n_b = np.diff(last_a, prepend=0), np.diff(last_b, prepend=0)
+    # a group's tokens of A stand behind the tokens of B of earlier groups, its tokens of B behind those of A up to it
+    code = np.empty(len(a) + len(b), np.int64)
+    mark_a, mark_b = own.code_a[a], own.code_b[b]
+    mark_a[last_a - 1] += 1
+    mark_b[last_b - 1] += 1
+    code[np.arange(len(a)) + np.repeat(last_b - n_b, n_a)] = mark_a
+    code[np.arange(len(b)) + np.repeat(last_a, n_b)] = mark_b
+    return "".join(map(own.written.__getitem__, code.tolist()))[:-1], len(last_a), a[at_a] * SHIFT + b[at_b]
 
 
 # ------------------------------------------------------------------ corpus

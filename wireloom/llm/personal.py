@@ -324,11 +324,14 @@ class Field:
 
 
 # ------------------------------------------------------------------ findings
+_SIGN = re.compile(r"@|\bat\b", re.I)
+
+
 def _whole(kind: str, body: str) -> bool:
     """Least form of a finding."""
     digits = _digits(body)
     if kind == "email":
-        sign = re.search(r"@|\bat\b", body, re.I)
+        sign = _SIGN.search(body)
         return bool(sign and sign.start() > 0 and re.search(r"[A-Za-z0-9]\s?(?:\.|\bdot\b|[\[({<]\s?dot\s?[\])}>])\s?[A-Za-z]", body[sign.end():], re.I))
     if kind == "ip":
         return len(re.findall("[0-9]+", body)) >= 4 and (body.count(".") == 3 or body.count(":") >= 2) or body.count(":") >= 3
@@ -354,6 +357,8 @@ def found(texts: list[str], field: Field, threshold: float = 0.6) -> list[list[t
         while b > a and not text[g.spans[b][1]].isalnum():
             b -= 1
         sure, s, e = float(p[a:b + 1, label[hot[i]]].mean()), g.spans[a][1], g.spans[b][2]
+        if kind == "email" and (sign := _SIGN.search(text, s, e)):  # words in front of the name are not part of it
+            s += text[s:sign.start()].rstrip(" [({<").rfind(" ") + 1
         if sure >= threshold and _whole(kind, text[s:e]):
             out[d].append((f"crf_{kind}", s, e, sure))
         i = j + 1
