@@ -86,7 +86,7 @@ def adder(spark, swap=False, cut=False):
 
 
 def runs_of(t):
-    sup = graph.support(t.pins, t.ports.filter("port_dir = 'input'"))
+    sup = graph.support_sets(t.pins, t.ports.filter("port_dir = 'input'"))
     prof = buses.dependency_profile(t.pins, t.bus_bits.filter("kind = 'output'"), t.bus_bits.filter("kind = 'input'"), sup)
     driven = buses.driven_bits(t.bus_bits.filter("kind = 'output'"), t.pins)
     ripple = buses.ripple_pattern(prof, t.bus_bits, driven)
@@ -138,7 +138,7 @@ def test_faults_are_found(spark, kind, check):
     assert (m.fault, m.faults, m.recall) == (kind, 1, 1.0)
     if kind in ("drop_pin", "float_net", "cut_carry"):
         sinks, sources = repair.broken_ends(f)
-        a = repair.confidence(repair.assign(sinks, sources), repair.best_sources(sinks, sources, 2), sources)
+        a = repair.confidence(repair.assign(sinks, sources), sources)
         site = truth.first()
         fixes = {(r.sink_id, r.from_gate, r.from_pin) for r in a.collect()}
         assert any(s.startswith(f"pin.{site.gate_id}.{site.pin}") and (g, p) == (site.from_gate, site.from_pin) for s, g, p in fixes)
@@ -169,15 +169,31 @@ def test_assignment_equals_the_sequential_greedy(spark):
     ss = spark.createDataFrame(sources, "circuit_id int, source_id string, kind string, gate_id int, pin string, net string, block string, penalty double, reusable boolean")
     best2 = {(r.sink_id, r.candidate): r.s_source_id for r in repair.best_sources(ks, ss, 2).collect()}
     assert all(best2[k, 1] == v[0][1] and abs(score[k, best2[k, 2]] - v[1][0]) < 1e-9 for k, v in ranked.items())
-    have = {r.sink_id: (r.s_source_id, round(r.score, 6)) for r in repair.assign(ks, ss).collect()}
-    assert have == want
+    for batch in (2000, 7):
+        have = {r.sink_id: (r.s_source_id, round(r.score, 6)) for r in repair.assign(ks, ss, batch).collect()}
+        assert have == want
+
+
+def test_contested_sources_take_few_rounds(spark, monkeypatch):
+    """10,000 ends on one side of 10,000 sources all want the same one first, and 3,000 ports have no position at all."""
+    n, rounds = 10_000, []
+    settle = repair._offers
+    monkeypatch.setattr(repair, "_offers", lambda df: rounds.append(1) or settle(df))
+    ks = spark.range(n).select(F.lit(1).alias("circuit_id"), F.format_string("k%05d", "id").alias("sink_id"), F.lit("pin").alias("kind"), F.col("id").cast("int").alias("gate_id"),
+                               F.lit("A").alias("pin"), F.lit(None).cast("string").alias("net"), F.lit("x").alias("block"), F.lit(True).alias("allow_pi"))
+    po = spark.range(3000).select(F.lit(1), F.format_string("p%05d", "id"), F.lit("po"), F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit("z"), F.lit(None).cast("string"), F.lit(True))
+    ss = spark.range(n).select(F.lit(1).alias("circuit_id"), F.format_string("s%05d", "id").alias("source_id"), F.lit("gate").alias("kind"), (F.col("id") + 9_500).cast("int").alias("gate_id"),
+                               F.lit("Y").alias("pin"), F.lit(None).cast("string").alias("net"), F.lit("x").alias("block"), F.lit(0.0).alias("penalty"), F.lit(False).alias("reusable"))
+    pi = spark.range(3000).select(F.lit(1), F.format_string("i%05d", "id"), F.lit("pi"), F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit("q"), F.lit(None).cast("string"), F.lit(0.0), F.lit(False))
+    got = repair.assign(ks.union(po), ss.union(pi), 5000).select("sink_id", "s_source_id", "score").collect()
+    assert len(got) == 13_000 and len({r.s_source_id for r in got}) == 13_000 and len(rounds) <= 6, len(rounds)
 
 
 def test_second_driver_offers_both(spark):
     sinks = spark.createDataFrame([(1, "k", "pin", 5, "A", None, "x", True)], "circuit_id int, sink_id string, kind string, gate_id int, pin string, net string, block string, allow_pi boolean")
     sources = spark.createDataFrame([(1, f"m.{g}", "gate", g, "Y", "n", "x", 1.0, True) for g in (2, 3)],
                                     "circuit_id int, source_id string, kind string, gate_id int, pin string, net string, block string, penalty double, reusable boolean")
-    c = repair.confidence(repair.assign(sinks, sources), repair.best_sources(sinks, sources, 2), sources)
+    c = repair.confidence(repair.assign(sinks, sources), sources)
     assert got(c, "from_gate", "confidence", "ambiguous") == [(2, 0.5, True), (3, 0.5, True)]
 
 

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from wireloom import schema as S
 from wireloom.operators import graph
 from wireloom.operators.model import GATE, NET
-from wireloom.operators.scale import top_k
+from wireloom.operators.scale import materialise, top_k
+from wireloom.tables import Tables
 
 C = "circuit_id"
 PAIR = [C, "bus", "operand"]
 ROLE = {"adder-like": "adder", "multiplier-like": "multiplier", "subtractor-like": "subtractor",
         "comparator-like": "comparator", "select-like": "control"}
+TEMPLATE = {"adder-like": "adder_triangular", "multiplier-like": "multiplier_pp_complete", "subtractor-like": "subtractor_inverted",
+            "comparator-like": "comparator_all_bits"}
 
 
 def driven_bits(bus_bits: DataFrame, pins: DataFrame) -> DataFrame:
@@ -30,7 +33,7 @@ def live_bits(bus_bits: DataFrame, nets: DataFrame) -> DataFrame:
     return bus_bits.join(nets.filter("n_drivers > 0").select(*NET), NET, "left_semi")
 
 
-def dependency_profile(pins: DataFrame, targets: DataFrame, sources: DataFrame, support: DataFrame) -> DataFrame:
+def dependency_profile(pins: DataFrame, targets: DataFrame, sources: DataFrame, support: graph.Support) -> DataFrame:
     """(circuit_id, bus, significance, operand, osig): which operand bits every driven target bit depends on."""
     dep = graph.driven_support(support, pins, targets)
     a = targets.select(C, "bus", "significance", "net")
@@ -39,6 +42,18 @@ def dependency_profile(pins: DataFrame, targets: DataFrame, sources: DataFrame,
             .select(C, "bus", "significance", "operand", "osig").distinct())
 
 
+def input_profile(t: Tables) -> DataFrame:
+    """What every internal and output bit depends on among the bits of the input buses."""
+    sets = graph.support_sets(t.pins, t.ports.filter("port_dir in ('input', 'inout')"))
+    return materialise(dependency_profile(t.pins, t.bus_bits.filter("kind <> 'input'"), t.bus_bits.filter("kind = 'input'"), sets), "profile")
+
+
+def feed_profile(t: Tables) -> DataFrame:
+    """The same among the bits of internal and output buses; walks end at the first of them."""
+    inner = t.bus_bits.filter("kind <> 'input'")
+    return materialise(dependency_profile(t.pins, inner, inner, graph.support_sets(t.pins, inner)), "feed-profile")
+
+
 def _bit_stats(profile: DataFrame, operand_bits: DataFrame) -> DataFrame:
     """Per (target bit, operand): size and extent of the dependency against the expected bits 0..w.
 
@@ -150,15 +165,68 @@ def swap_suggestions(runs: DataFrame, bus_bits: DataFrame, pins: DataFrame, gate
     return first.union(other.select(*keep, "gate_id", "pin", F.col("have").alias("from_net"), F.col("want").alias("replaces_net"), F.lit(0.6)))
 
 
+def _run_subject():
+    return F.concat("bus", F.lit(":"), F.col("first_bit").cast("string"), F.lit("-"), F.col("last_bit").cast("string"))
+
+
 def run_members(classified: DataFrame, bus_bits: DataFrame) -> DataFrame:
     """Bus runs as finding members: one row per deviating net."""
     bits = bus_bits.select(C, "bus", "significance", "net")
     m = classified.join(bits, [C, "bus"]).filter("significance between first_bit and last_bit")
-    subject = F.concat("bus", F.lit(":"), F.col("first_bit").cast("string"), F.lit("-"), F.col("last_bit").cast("string"))
-    return m.select(C, "check", F.lit("warning").alias("severity"), subject.alias("subject"),
+    return m.select(C, "check", F.lit("warning").alias("severity"), _run_subject().alias("subject"),
                     F.lit(None).cast("int").alias("gate_id"), F.lit(None).cast("string").alias("pin"), "net")
 
 
+def run_gates(profile: DataFrame, ripple: DataFrame, driven: DataFrame, runs: DataFrame, t: Tables) -> DataFrame:
+    """Gates behind each run, (circuit_id, bus, first_bit, last_bit, gate_id): in the cone of the run's first bit, those
+    that read an operand bit it should not depend on, or, where it only misses lower bits, the first bit it still has."""
+    key = [C, "bus", "first_bit", "last_bit"]
+    extra = (_bit_diff(profile, ripple, driven).filter("diff = 'extra'").withColumnRenamed("significance", "first_bit")
+             .join(runs.select(*PAIR, "first_bit", "last_bit"), [*PAIR, "first_bit"]).select(*key, "operand", "osig"))
+    stage = runs.filter("missing > 0 and extra = 0 and max_missing < first_bit").select(*key, "operand", (F.col("max_missing") + 1).alias("osig"))
+    bits = t.bus_bits.select(C, F.col("bus").alias("operand"), F.col("significance").alias("osig"), "net")
+    want = extra.union(stage).distinct().join(bits, [C, "operand", "osig"]).select(*key, "net")
+    first = t.bus_bits.select(C, "bus", F.col("significance").alias("first_bit"), "net").join(runs.select(*key).distinct(), [C, "bus", "first_bit"])
+    root = F.concat_ws(":", "bus", F.col("first_bit").cast("string"), F.col("last_bit").cast("string")).alias("root")
+    drv = t.pins.filter("direction = 'output'").join(first, NET).select(C, root, "gate_id")
+    cone = graph.cones(t.edges, drv)
+    reads = t.pins.filter("direction = 'input'").join(want, NET).select(*key, root, "gate_id").distinct()
+    return reads.join(cone, [C, "root", "gate_id"], "left_semi").select(*key, "gate_id")
+
+
+def consequences(classified: DataFrame, bus_bits: DataFrame, pins: DataFrame) -> DataFrame:
+    """(circuit_id, bus, first_bit, last_bit, consequence_of): runs whose first bit depends on a deviating net of another
+    run, with the sorted buses of those runs.
+
+    One walk for all runs: each gate carries the set of deviating nets it depends on as words of bits.
+    """
+    key = [C, "bus", "first_bit", "last_bit"]
+    nets = classified.select(*key).join(bus_bits.select(C, "bus", "significance", "net"), [C, "bus"]).filter("significance between first_bit and last_bit")
+    nets = materialise(nets, "deviating")
+    sets = graph.support_sets(pins, nets, stop=False)
+    heads = nets.filter("significance = first_bit")
+    up = graph.driven_support(sets, pins, heads).join(heads.select(*key, "net"), NET)
+    other = nets.select(C, F.col("net").alias("source"), F.col("bus").alias("by"), F.col("first_bit").alias("_f"), F.col("last_bit").alias("_l"))
+    hit = up.join(other, [C, "source"]).filter("not (bus = by and first_bit = _f and last_bit = _l)")
+    return hit.groupBy(*key).agg(F.array_sort(F.collect_set("by")).alias("consequence_of"))  # buses of one cone
+
+
+def bit_pattern_members(t: Tables) -> DataFrame:
+    """Finding members of all deviating runs: a row per net and per gate; `info` for consequences of other runs."""
+    profile, driven = input_profile(t), driven_bits(t.bus_bits, t.pins)
+    ripple = materialise(ripple_pattern(profile, t.bus_bits, driven), "ripple")
+    runs = materialise(deviant_runs(profile, ripple, driven), "runs")
+    classified = materialise(classify_runs(runs), "classified")
+    key = [C, "bus", "first_bit", "last_bit"]
+    after = consequences(classified, t.bus_bits, t.pins).select(*key, F.lit(True).alias("_after"))
+    head = classified.join(after, key, "left").select(*key, "check", F.when(F.col("_after"), "info").otherwise("warning").alias("severity"), _run_subject().alias("subject"))
+    nets = head.join(t.bus_bits.select(C, "bus", "significance", "net"), [C, "bus"]).filter("significance between first_bit and last_bit")
+    none_g, none_s = F.lit(None).cast("int"), F.lit(None).cast("string")
+    out = [C, "check", "severity", "subject"]
+    return nets.select(*out, none_g.alias("gate_id"), none_s.alias("pin"), "net").union(
+        run_gates(profile, ripple, driven, runs, t).join(head, key).select(*out, "gate_id", none_s.alias("pin"), none_s.alias("net")))
+
+
 def inverted_share(bus_bits: DataFrame, pins: DataFrame, gates: DataFrame, cones: DataFrame) -> DataFrame:
     """Share of an operand's bits that an inverter inside the bus's cone reads."""
     inv = gates.filter("cell like 'INV%'").select(*GATE)
@@ -238,12 +306,8 @@ def inferred_dataflow(blocks: DataFrame, ops: DataFrame) -> DataFrame:
             .select(C, "from_block", "to_block", F.col("operand").alias("via_bus")).distinct())
 
 
-def check_templates(templates: DataFrame, profile: DataFrame, targets: DataFrame, live: DataFrame) -> DataFrame:
-    """Pass or fail of dependency templates (circuit_id, template, bus, operand).
-
-    `comparator_all_bits` needs every live operand bit in every target bit; the arithmetic templates need
-    exactly the live bits up to the target's own significance.
-    """
+def _template_deviations(templates: DataFrame, profile: DataFrame, targets: DataFrame, live: DataFrame) -> DataFrame:
+    """Target bits that depend on other operand bits than the template asks for: the keys of `templates` and significance."""
     lb = live.select(C, F.col("bus").alias("operand"), F.col("significance").alias("osig"))
     bits = templates.join(targets.select(C, "bus", "significance").distinct(), [C, "bus"])
     want = bits.join(lb, [C, "operand"]).filter((F.col("template") == "comparator_all_bits") | (F.col("osig") <= F.col("significance")))
@@ -251,11 +315,55 @@ def check_templates(templates: DataFrame, profile: DataFrame, targets: DataFrame
     have = bits.join(profile, [C, "bus", "operand", "significance"]).select(*key)
     miss = want.select(*key).join(have, key, "left_anti")
     extra = have.filter("template <> 'comparator_all_bits'").join(want.select(*key), key, "left_anti")
-    bad = miss.union(extra).groupBy(C, "template", "bus", "operand").agg(F.countDistinct("significance").alias("bad_bits"))
+    return miss.union(extra).select(*key[:5]).distinct()
+
+
+def check_templates(templates: DataFrame, profile: DataFrame, targets: DataFrame, live: DataFrame) -> DataFrame:
+    """Pass or fail of dependency templates (circuit_id, template, bus, operand).
+
+    `comparator_all_bits` needs every live operand bit in every target bit; the arithmetic templates need
+    exactly the live bits up to the target's own significance.
+    """
+    bad = _template_deviations(templates, profile, targets, live).groupBy(C, "template", "bus", "operand").agg(F.count(F.lit(1)).alias("bad_bits"))
     return (templates.join(bad, [C, "template", "bus", "operand"], "left").na.fill(0, ["bad_bits"])
             .withColumn("status", F.when(F.col("bad_bits") > 0, "fail").otherwise("pass")))
 
 
+def templates_of(signatures: DataFrame, operands: DataFrame) -> DataFrame:
+    """(circuit_id, template, bus, operand): the template of every classified bus with its operands among the input buses."""
+    kind = F.create_map(*[F.lit(x) for kv in TEMPLATE.items() for x in kv])
+    s = signatures.select(C, "bus", kind[F.col("classification")].alias("template")).filter("template is not null")
+    return s.join(operands.filter("pattern in ('triangular', 'full')"), [C, "bus"]).filter(
+        F.when(F.col("template") == "comparator_all_bits", F.col("pattern") == "full").otherwise(F.col("pattern") == "triangular")).select(C, "template", "bus", "operand")
+
+
+def intent_members(templates: DataFrame, profile: DataFrame, live: DataFrame, runs: DataFrame, t: Tables) -> DataFrame:
+    """Members of `intent_dependency` findings, one row per deviating bit and gate that drives it.
+
+    An arithmetic template whose deviation a run of the same bus already reports gives no finding of its own.
+    """
+    targets = driven_bits(t.bus_bits, t.pins)
+    bad = materialise(_template_deviations(templates, profile, targets, live).select(C, "template", "bus", "significance").distinct(), "deviations")
+    said = (bad.filter("template <> 'comparator_all_bits'").join(runs.select(C, "bus", "first_bit", "last_bit"), [C, "bus"])
+            .filter("significance between first_bit and last_bit").select(C, "template", "bus").distinct())
+    new = bad.join(said, [C, "template", "bus"], "left_anti").join(t.bus_bits.select(C, "bus", "significance", "net"), [C, "bus", "significance"])
+    drv = t.pins.filter("direction = 'output'").select(*NET, "gate_id")
+    return new.join(drv, NET).select(C, F.lit("intent_dependency").alias("check"), F.lit("warning").alias("severity"), F.concat_ws(":", "template", "bus").alias("subject"),
+                                     "gate_id", F.lit(None).cast("string").alias("pin"), "net")
+
+
+def intent_checks(t: Tables) -> DataFrame:
+    """Infers what each bus computes and checks the dependencies that follow from it; see `intent_members`."""
+    live, profile, driven = materialise(live_bits(t.bus_bits, t.nets), "live"), input_profile(t), driven_bits(t.bus_bits, t.pins)
+    operands = materialise(pattern_class(profile, live), "patterns")
+    feeds = pattern_class(feed_profile(t), live)
+    roots = t.pins.filter("direction = 'output'").join(t.bus_bits.filter("kind <> 'input'"), NET).select(C, F.col("bus").alias("root"), "gate_id")
+    inverted = inverted_share(t.bus_bits, t.pins, t.gates, graph.cones(t.edges, roots))
+    signatures = cone_signatures(driven.filter("kind <> 'input'"), operands, feeds, inverted)
+    runs = deviant_runs(profile, materialise(ripple_pattern(profile, t.bus_bits, driven), "ripple"), driven)
+    return intent_members(templates_of(signatures, operands), profile, live, runs, t)
+
+
 def check_carry_templates(templates: DataFrame, gates: DataFrame, members: DataFrame) -> DataFrame:
     """`carry_chain` templates (circuit_id, block): broken links found by other checks on the block's adder cells."""
     add = gates.filter(F.col("cell").rlike(S.ADDER_CELL)).select(*GATE, F.col("hier_prefix").alias("block"))

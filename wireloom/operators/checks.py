@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wireloom import schema as S
 from wireloom.functions import names
-from wireloom.operators import graph
+from wireloom.operators import buses, graph
 from wireloom.operators.model import GATE, NET, missing_pins, po_gates, unknown_cells
 from wireloom.operators.scale import materialise, numbered, sample_list, top_k
 from wireloom.tables import Tables
@@ -197,11 +197,23 @@ def check_singleton_subcircuit(t: Tables) -> DataFrame:
                     F.concat(F.lit("class"), F.col("pred_class").cast("string")), "gate_id")
 
 
+# ------------------------------------------------------------------ buses
+def check_bit_patterns(t: Tables) -> DataFrame:
+    """Bus bits that break an arithmetic dependency pattern; info where another run is the cause."""
+    return buses.bit_pattern_members(t)
+
+
+def check_intent(t: Tables) -> DataFrame:
+    """Buses that don't depend on what their inferred function needs."""
+    return buses.intent_checks(t)
+
+
 # ------------------------------------------------------------------ pipeline
 ELECTRICAL = (check_missing_pin, check_floating_net, check_multi_driver, check_dangling_output,
               check_const_input, check_undriven_po, check_unused_pi, check_unknown_cell)
 REACHABILITY = (check_unreachable, check_no_path_to_po)
 STRUCTURAL = (check_isolated_component, check_combinational_loop)
+BUS = (check_bit_patterns, check_intent)
 MODEL = (check_class_disagrees, check_low_confidence, check_singleton_subcircuit)
 
 
@@ -212,14 +224,14 @@ REPORTS = {
     check_unused_pi: ("unused_pi",), check_unknown_cell: ("unknown_cell",), check_unreachable: ("unreachable_from_pi",),
     check_no_path_to_po: ("no_path_to_po",), check_isolated_component: ("isolated_component",), check_combinational_loop: ("combinational_loop",),
     check_class_disagrees: ("class_disagrees_with_neighbours",), check_low_confidence: ("low_confidence_prediction",),
-    check_singleton_subcircuit: ("singleton_subcircuit",),
+    check_singleton_subcircuit: ("singleton_subcircuit",), check_bit_patterns: ("carry_break", "bit_slice_anomaly"), check_intent: ("intent_dependency",),
 }
 
 
 def default_checks(t: Tables, predictor: str = "graph") -> tuple:
     """Checks that the tables allow. Low confidence says nothing about the weak predictor, so it is left out there."""
     model = () if t.preds is None else tuple(c for c in MODEL if predictor != "baseline" or c is not check_low_confidence)
-    return ELECTRICAL + REACHABILITY + STRUCTURAL + model
+    return ELECTRICAL + REACHABILITY + STRUCTURAL + (() if t.bus_bits is None else BUS) + model
 
 
 def reported_by(checks) -> tuple[str, ...]:
@@ -227,7 +239,7 @@ def reported_by(checks) -> tuple[str, ...]:
 
 
 def run_checks(t: Tables, checks=None, extra: DataFrame | None = None, predictor: str = "graph") -> DataFrame:
-    """Member rows of all checks; `extra` adds rows of the bus checks or templates."""
+    """Member rows of all checks that the tables allow, or of `checks`; `extra` adds rows of further ones."""
     if checks is None:
         checks = default_checks(t, predictor)
     t.nets = materialise(t.nets, "nets")  # nearly every check reads the net counts
@@ -327,17 +339,3 @@ def health(f: DataFrame, circuits: DataFrame) -> DataFrame:
     return (circuits.select(C).distinct().join(worst, C, "left")
             .select(C, F.when(F.col("r") == 1, "error").when(F.col("r") == 2, "warning")
                     .when(F.col("r") == 3, "info").otherwise("ok").alias("health")))
-
-
-def link_consequences(runs: DataFrame, cone_nets: DataFrame) -> DataFrame:
-    """Deviating bus runs that read a net of another deviating run become `info`.
-
-    `runs` is (circuit_id, subject, bus, net) with one row per deviating net; `cone_nets` is
-    (circuit_id, subject, net): nets read inside the cone of the run's first net.
-    """
-    up = runs.select(C, F.col("subject").alias("other"), F.col("bus").alias("other_bus"), "net").distinct()
-    hit = (cone_nets.join(up, NET).filter("subject <> other")
-           .groupBy(C, "subject").agg(F.array_sort(F.collect_set("other_bus")).alias("consequence_of")))
-    heads = runs.select(C, "subject", "bus").distinct()
-    return heads.join(hit, [C, "subject"], "left").withColumn(
-        "severity", F.when(F.col("consequence_of").isNotNull(), "info").otherwise("warning"))

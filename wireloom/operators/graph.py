@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,6 +103,33 @@ def subcircuits(gates: DataFrame, edges: DataFrame, preds: DataFrame) -> DataFra
 
 
 # ------------------------------------------------------------------ orders and levels
+def _peeled(vertices: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(*keys, rank): rounds in which vertices without remaining predecessors go, null for those that never do.
+
+    `edges` is (*keys[:-1], src, dst). Predecessors are counted once; a round adds up what the last front took from its
+    successors, so only the front and the vertices that wait for further predecessors are written.
+    """
+    group, own = list(keys[:-1]), keys[-1]
+    spark = vertices.sparkSession
+    e = materialise(edges.select(*group, "src", "dst"), "peel-edges")
+    need = materialise(e.groupBy(*group, F.col("dst").alias(own)).agg(F.count(F.lit(1)).alias("need")), "peel-need")
+    out = e.withColumnRenamed("src", own)
+    every = materialise(vertices.select(*keys).distinct(), "peel-vertices")
+    done, wait = Store(spark, "peel-done"), Store(spark, "peel-wait")
+    front, waiting, rank = done.append(every.join(need, list(keys), "left_anti").withColumn("rank", F.lit(1))), None, 1
+    while not front.isEmpty():
+        rank += 1
+        got = front.join(out, list(keys)).groupBy(*group, F.col("dst").alias(own)).agg(F.count(F.lit(1)).alias("got"))
+        if waiting is not None:
+            got = got.union(waiting).groupBy(*keys).agg(F.sum("got").alias("got"))
+        state = wait.append(got.join(need, list(keys)).select(*keys, "got", (F.col("got") == F.col("need")).alias("free")))
+        wait.forget()
+        waiting = state.filter("not free").select(*keys, "got")
+        front = done.append(state.filter("free").select(*keys, F.lit(rank).alias("rank")))
+    gone = done.all()
+    return every.join(gone, list(keys), "left").select(*keys, "rank")
+
+
 def topo_levels(gates: DataFrame, edges: DataFrame, cut: DataFrame | None = None) -> DataFrame:
     """Peel gates without remaining predecessors; `rank` is the round, null for gates on or behind a cycle.
 
@@ -110,32 +138,21 @@ def topo_levels(gates: DataFrame, edges: DataFrame, cut: DataFrame | None = None
     e = edges.select(C, "src", "dst")
     if cut is not None:
         e = e.join(cut.select(C, F.col("gate_id").alias("src")), [C, "src"], "left_anti")
-    spark = gates.sparkSession
-    left, live, done = Store(spark, "peel-left"), Store(spark, "peel-edges"), Store(spark, "peel-done")
-    rest, e = left.append(gates.select(*GATE)), live.append(e)
-    rank = 0
-    while True:
-        rank += 1
-        free = rest.join(e.select(C, F.col("dst").alias("gate_id")), GATE, "left_anti")
-        free = done.append(free.withColumn("rank", F.lit(rank)))
-        if free.isEmpty():
-            break
-        gone = free.select(*GATE)
-        rest = left.append(rest.join(gone, GATE, "left_anti"))
-        e = live.append(e.join(gone.withColumnRenamed("gate_id", "src"), [C, "src"], "left_anti"))
-        left.forget(), live.forget()
-    return done.all().union(rest.withColumn("rank", F.lit(None).cast("int")))
+    return _peeled(gates, e, GATE)
 
 
 def levels(gates: DataFrame, edges: DataFrame) -> DataFrame:
     """Longest unit-delay level from the inputs and to the outputs; 0 for gates on or behind a cycle.
 
-    A gate is peeled in the round after its last predecessor, so the round is its level.
+    A gate is peeled in the round after its last predecessor, so the round is its level. Both directions are peeled in
+    the same rounds.
     """
-    def longest(e, name):
-        return topo_levels(gates, e).select(*GATE, F.coalesce("rank", F.lit(0)).alias(name))
-
-    return longest(edges, "level_in").join(longest(_flip(edges), "level_out"), GATE)
+    way = lambda df, name: df.withColumn("way", F.lit(name))
+    both = way(edges.select(C, "src", "dst"), "in").unionByName(way(_flip(edges), "out"))
+    g = gates.select(*GATE).withColumn("way", F.explode(F.array(F.lit("in"), F.lit("out"))))
+    rank = _peeled(g, both, [C, "way", "gate_id"])
+    level = lambda name: F.coalesce(F.max(F.when(F.col("way") == name, F.col("rank"))), F.lit(0)).alias(f"level_{name}")
+    return rank.groupBy(*GATE).agg(level("in"), level("out"))
 
 
 def criticality(level: DataFrame) -> DataFrame:
@@ -194,6 +211,47 @@ def cones(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return closure(roots, step, keys, "cones").select(*keys)
 
 
+@dataclass
+class Support:
+    """Sets of source nets as words of 64 bits: `words` (circuit_id, gate_id, word, bits), one row per gate and word with
+    any bit set, and `numbers` (circuit_id, source, word, bit), what each bit stands for."""
+
+    words: DataFrame
+    numbers: DataFrame
+
+    def named(self, words: DataFrame) -> DataFrame:
+        """(..., source): a row for each bit that is set in `words` (circuit_id, ..., word, bits)."""
+        keep = [c for c in words.columns if c not in ("word", "bits")]
+        return (words.join(self.numbers, [C, "word"]).filter(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+                .select(C, "source", *[c for c in keep if c != C]))
+
+
+def support_sets(pins: DataFrame, sources: DataFrame, stop: bool = True) -> Support:
+    """Source nets that every gate depends on.
+
+    Sources are numbered within their circuit; a word is the set of 64 of them. A round passes on only the bits that a
+    gate did not have before, OR-ed over its predecessors, so a gate costs one row per word and round in which the word
+    grew, not one per source, and the rounds are those of the farthest source.
+    """
+    from wireloom.operators.model import gate_edges
+    src = sources.select(C, F.col("net").alias("source")).distinct()
+    number = F.col("_n") - 1
+    numbers = materialise(numbered(src, [C], [F.col("source")], "_n").select(
+        C, "source", F.floor(number / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast((_n - 1) % 64 as int))").alias("bit")), "source-numbers")
+    inner = pins.join(src.withColumnRenamed("source", "net"), NET, "left_anti") if stop else pins
+    e = materialise(gate_edges(inner), "support-edges").select(C, F.col("src").alias("gate_id"), "dst")
+    keys = [C, "gate_id", "word"]
+    store = Store(pins.sparkSession, "support")
+    fresh = store.append(pins.filter("direction = 'input'").join(numbers.withColumnRenamed("source", "net"), NET)
+                         .groupBy(*keys).agg(F.bit_or("bit").alias("bits")))
+    while not fresh.isEmpty():
+        got = (fresh.join(e, GATE).groupBy(C, F.col("dst").alias("gate_id"), "word").agg(F.bit_or("bits").alias("bits")))
+        had = store.all().groupBy(*keys).agg(F.bit_or("bits").alias("_had"))
+        new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_had", F.lit(0))))
+        fresh = store.append(got.join(had, keys, "left").select(*keys, new.alias("bits")).filter("bits <> 0"))
+    return Support(materialise(store.all().groupBy(*keys).agg(F.bit_or("bits").alias("bits")), "support-words"), numbers)
+
+
 def support(pins: DataFrame, sources: DataFrame, stop: bool = True) -> DataFrame:
     """(circuit_id, source, gate_id): source nets every gate depends on.
 
@@ -201,24 +259,15 @@ def support(pins: DataFrame, sources: DataFrame, stop: bool = True) -> DataFrame
     pass on what that gate depends on. Starts from the readers of the sources, so only gates that
     depend on something appear.
     """
-    from wireloom.operators.model import gate_edges
-    src = sources.select(C, "net").distinct()
-    inner = pins.join(src, NET, "left_anti") if stop else pins
-    e = materialise(gate_edges(inner), "support-edges").select(C, F.col("src").alias("gate_id"), "dst")
-    seeds = (pins.filter("direction = 'input'").join(src, NET, "left_semi")
-             .select(C, F.col("net").alias("source"), "gate_id"))
-
-    def step(f):
-        return f.join(e, GATE).select(C, "source", F.col("dst").alias("gate_id"))
-
-    keys = [C, "source", "gate_id"]
-    return closure(seeds, step, keys, "support").select(*keys)
+    sets = support_sets(pins, sources, stop)
+    return sets.named(sets.words)
 
 
-def driven_support(gate_support: DataFrame, pins: DataFrame, targets: DataFrame) -> DataFrame:
-    """Support of whatever drives each target net: (circuit_id, net, source)."""
+def driven_support(sets: Support, pins: DataFrame, targets: DataFrame) -> DataFrame:
+    """Support of whatever drives each target net: (circuit_id, source, net)."""
     drv = pins.filter("direction = 'output'").join(targets.select(C, "net").distinct(), NET, "left_semi")
-    return drv.select(C, "net", "gate_id").join(gate_support, GATE).select(C, "net", "source").distinct()
+    words = drv.select(C, "net", "gate_id").join(sets.words, GATE).groupBy(C, "net", "word").agg(F.bit_or("bits").alias("bits"))
+    return sets.named(words)
 
 
 def trace_path(edges: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ and no list of all pairs is built.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,45 +104,197 @@ def best_sources(sinks: DataFrame, sources: DataFrame, k: int = 1) -> DataFrame:
     return top_k(j.withColumn("score", pair_score()), [C, "sink_id"], [F.col("score").desc(), F.col("s_source_id").desc()], k, "candidate")
 
 
-def assign(sinks: DataFrame, sources: DataFrame) -> DataFrame:
-    """Greedy one-to-one assignment in the order of the sinks' own best scores.
+# ------------------------------------------------------------------ assignment
+#: Broken ends of one circuit that a task settles in one round.
+BATCH = 2000
+#: Sources beyond those that the ends of a batch can use up; they settle ties and second choices.
+SPARE = 4
+_OFFER = ("source_id", "kind", "gate_id", "pin", "net", "block", "penalty", "reusable")
+
 
-    A round gives every open sink its best open source. Final are sinks whose source can be reused and,
-    per circuit, all sinks ahead of the first one that lost its source to a better sink: nothing later can
-    change them. The rest go on without the sources that are taken.
+def _offers(sources: DataFrame) -> DataFrame:
+    """Sources in every list that a broken end may search: (circuit_id, list, seq, size, pos, s_...).
+
+    Pins search sources of gates by position, one list for each carry pin, penalty, block (or any) and name stem (or
+    any). Where the position doesn't count (ports on either side) lists are in the order of source ids.
+    """
+    stem = F.concat(F.lit("="), name_stem(F.col("net")))
+    st = F.explode(F.array(F.lit("*"), stem)).alias("_st")
+    item = [F.col(c).alias(f"s_{c}") for c in _OFFER]
+    gate = sources.filter("kind = 'gate'")
+    blk = F.explode(F.array(F.lit("*"), F.concat(F.lit("="), F.coalesce("block", F.lit(""))))).alias("_blk")
+    located = (gate.select(C, "*", st).select("*", blk).select(
+        C, F.concat_ws("|", F.lit("at"), F.col("pin").eqNullSafe("CO").cast("string"), F.col("penalty").cast("string"), "_blk", "_st").alias("list"), F.col("gate_id").alias("pos"), *item))
+    flat = sources.select("*", st).select(C, F.concat_ws("|", F.lit("all"), "kind", F.when(F.col("kind") == "gate", F.col("penalty").cast("string")).otherwise(""), "_st").alias("list"),
+                                          F.lit(0).alias("pos"), *item)
+    rows = numbered(located.union(flat), [C, "list"], [F.col("pos"), F.col("s_source_id")], "seq")
+    rows = materialise(rows, "offers")
+    return rows.join(rows.groupBy(C, "list").agg(F.max("seq").alias("size")), [C, "list"])
+
+
+def _asks(sinks: DataFrame) -> DataFrame:
+    """The lists that every broken end searches, with its position: (circuit_id, sink_id, list, at)."""
+    stem, blk = F.concat(F.lit("="), name_stem(F.col("net"))), F.concat(F.lit("="), F.coalesce("block", F.lit("")))
+    name = lambda *x: F.concat_ws("|", *[F.lit(v) if isinstance(v, str) else v for v in x])
+    pin = [name("at", co, pen, b, s) for co in ("true", "false") for pen in ("0.0", "1.0") for b in (F.lit("*"), blk) for s in (F.lit("*"), stem)]
+    free = [name("all", "pi", "", s) for s in (F.lit("*"), stem)]
+    port = [name("all", "gate", pen, s) for pen in ("0.0", "1.0") for s in (F.lit("*"), stem)] + free[:1]
+    none = F.array().cast("array<string>")
+    lists = F.when(F.col("kind") == "pin", F.concat(F.array(*pin), F.when(F.col("allow_pi"), F.array(*free)).otherwise(none))).otherwise(F.array(*port))
+    rows = sinks.select(C, "sink_id", "gate_id", F.explode(F.array_distinct(lists)).alias("list"))
+    return rows.select(C, "sink_id", "list", F.when(F.col("list").startswith("at|"), F.col("gate_id")).otherwise(FAR).alias("at"))
+
+
+def _score(k: dict, s: dict) -> float:
+    """Score of one pair, as `pair_score`."""
+    out, pin, gate = 1.0 - s["s_penalty"], k["kind"] == "pin", s["s_kind"] == "gate"
+    if pin and gate:
+        if k["block"] is not None and k["block"] == s["s_block"]:
+            out += 3
+        out += (4 if k["pin"] == "CI" else 0) if s["s_pin"] == "CO" else (-1 if k["pin"] == "CI" else 0)
+        out -= min(abs(s["s_gate_id"] - k["gate_id"]), 1000) / 1000
+    elif not pin and not gate:
+        out -= 2
+    stem = lambda net: re.sub(r"[\d\[\]]+", "", net or "")
+    if (pin or gate) and k["net"] and s["s_net"] and stem(k["net"]) == stem(s["s_net"]):
+        out += 1
+    return round(out, 9)
+
+
+class _List:
+    """What a task knows of one list, with the used sources skipped in both directions."""
+
+    def __init__(self, size: int):
+        self.size, self.known, self.onward = size, {}, ({}, {})
+
+    def next(self, seq: int, step: int) -> int:
+        """First unused place from `seq` on; places passed on the way then point at it."""
+        jump, path = self.onward[step > 0], []
+        while seq in jump:
+            path.append(seq)
+            seq = jump[seq]
+        for p in path:
+            jump[p] = seq
+        return seq
+
+    def nearest(self, seq: int, step: int) -> tuple[list[dict], bool]:
+        """The two next unused sources and those at the place of the second; whether all places up to there are known."""
+        out = []
+        seq = self.next(seq, step)
+        while 1 <= seq <= self.size:
+            s = self.known.get(seq)
+            if s is None:
+                return out, False
+            if len(out) > 1 and s["pos"] != out[-1]["pos"]:
+                break
+            out.append(s)
+            if len(out) > 1 and step < 0:
+                break
+            seq = self.next(seq + step, step)
+        return out, True
+
+
+def _settled(batch):
+    """The broken ends of one batch, one after the other; each takes its best unused source. Stops where the sources
+    that the task was given don't suffice; what is left is settled in the next round."""
+    import pandas as pd
+
+    offers, lists, where = batch[batch["sink_id"].isna()].to_dict("records"), {}, {}
+    for s in offers:
+        own = lists.setdefault(s["list"], _List(int(s["size"])))
+        own.known[int(s["seq"])] = s
+        where.setdefault(s["s_source_id"], []).append((own, int(s["seq"])))
+    asks: dict = {}
+    for a in batch[batch["sink_id"].notna()].sort_values(["rank", "list"]).to_dict("records"):
+        asks.setdefault(a["sink_id"], []).append(a)
+    rows = []
+    for sink, own in asks.items():
+        found, whole = {}, True
+        for a in own:
+            for start, step in ((a["low"], -1), (a["high"], 1)):
+                if a["list"] in lists and start == start and start is not None:
+                    got, known = lists[a["list"]].nearest(int(start), step)
+                    found |= {s["s_source_id"]: s for s in got}
+                    whole &= known
+        if not whole and rows:
+            break
+        k = own[0]
+        ranked = sorted(((_score(k, s), x) for x, s in found.items() if k["kind"] != "pin" or s["s_gate_id"] != k["gate_id"]), reverse=True)
+        best = ranked[0] if ranked else (None, None)
+        rows.append((k[C], sink, best[1], best[0], ranked[1][0] if len(ranked) > 1 else None))
+        if best[1] is not None and not found[best[1]]["s_reusable"]:
+            for at, seq in where[best[1]]:
+                at.onward[0][seq], at.onward[1][seq] = seq - 1, seq + 1
+    return pd.DataFrame(rows, columns=[C, "sink_id", "s_source_id", "score", "second"])
+
+
+def assign(sinks: DataFrame, sources: DataFrame, batch: int = BATCH) -> DataFrame:
+    """One-to-one assignment, greedy in the order of the sinks' own best scores (ties: larger sink id): every sink takes
+    its best unused source (ties: larger source id); sources that can be reused stay free.
+
+    Sinks with the columns of their source (`s_...`), `score`, and `second`: the best score among what else was free at
+    that moment (null if nothing was). Sinks without a source are left out.
+
+    A round takes the next `batch` sinks of every circuit. Each of them can use up one source, so beside the nearest
+    source of every sink in every list as many of its neighbours are fetched as sinks start there. A task then settles
+    the batch of a circuit in order, on a number of rows bounded by the batch; rounds grow with the sinks of the
+    largest circuit over `batch`, however contested the sources are.
     """
-    spark = sinks.sparkSession
-    todo, src = materialise(sinks, "sinks"), materialise(sources, "sources")
-    prio = best_sources(todo, src).select(C, "sink_id", F.col("score").alias("priority"))
-    todo = materialise(todo.join(prio, [C, "sink_id"]), "sinks")
-    done = Store(spark, "assigned")
-    while not todo.isEmpty():
-        best = materialise(best_sources(todo, src), "round")
-        rank = F.struct("priority", "sink_id")
-        claim = best.filter(~F.col("s_reusable")).groupBy(C, "s_source_id").agg(F.max(rank).alias("_top"))
-        b = best.join(claim, [C, "s_source_id"], "left").withColumn("_lost", ~F.col("s_reusable") & (F.col("_top") != rank))
-        first = b.filter("_lost").groupBy(C).agg(F.max(rank).alias("_first"))
-        final = b.join(first, C, "left").filter(F.col("s_reusable") | (~F.col("_lost") & (F.col("_first").isNull() | (rank > F.col("_first")))))
-        fixed = done.append(final.drop("_top", "_lost", "_first", "candidate"))
-        left = todo.join(best.select(C, "sink_id"), [C, "sink_id"], "left_semi").join(fixed.select(C, "sink_id"), [C, "sink_id"], "left_anti")
-        used = fixed.filter(~F.col("s_reusable")).select(C, F.col("s_source_id").alias("source_id"))
-        todo, src = materialise(left, "sinks"), materialise(src.join(used, [C, "source_id"], "left_anti"), "sources")
-    return done.all() if done.parts else None
-
-
-def margin_confidence(assigned: DataFrame, candidates: DataFrame) -> DataFrame:
+    ends, src = materialise(sinks, "sinks"), materialise(sources, "sources")
+    order = best_sources(ends, src).select(C, "sink_id", F.col("score").alias("priority"))
+    todo = materialise(numbered(ends.join(order, [C, "sink_id"]), [C], [F.round("priority", 9).desc(), F.col("sink_id").desc()], "rank"), "ordered")
+    free, done = src, Store(sinks.sparkSession, "assigned")
+    circuit = sinks.schema[C].dataType.simpleString()
+    while True:
+        now = top_k(todo, [C], [F.col("rank")], batch, "_turn").drop("_turn")
+        offers = materialise(_offers(free), "offers")
+        asks, group = _asks(now), [C, "list"]
+        both = materialise(offers.select(*group, "pos", "seq", F.lit(None).cast("string").alias("sink_id")).union(
+            asks.select(*group, F.col("at").alias("pos"), F.lit(None).cast("long").alias("seq"), "sink_id")), "positions")
+
+        def nearest(shift, name, backward):
+            d = both.withColumn("pos", F.col("pos") + F.when(F.col("sink_id").isNotNull(), shift).otherwise(0))
+            last = F.col("sink_id").isNull() if backward else F.col("sink_id").isNotNull()  # an end looks past the sources at its place
+            tie = F.when(last, 1).otherwise(0)
+            d = carry_forward(d, group, F.floor(F.col("pos") / 65536), [F.col("pos"), tie, F.coalesce("seq", F.lit(0))], F.col("seq"), name, backward)
+            return d.filter("sink_id is not null").select(*group, "sink_id", name)
+
+        at = materialise(nearest(-1, "low", False).join(nearest(1, "high", True), [*group, "sink_id"]), "nearest")
+        starts = at.groupBy(*group, F.col("low").alias("seq")).agg(F.count(F.lit(1)).alias("n")).select(*group, (F.col("seq") - F.col("n") - SPARE).alias("a"), F.col("seq").alias("b")).union(
+            at.groupBy(*group, F.col("high").alias("seq")).agg(F.count(F.lit(1)).alias("n")).select(*group, F.col("seq"), F.col("seq") + F.col("n") + SPARE))
+        wanted = starts.filter("a is not null").select(*group, F.explode(F.sequence("a", "b")).alias("seq")).distinct()
+        given = offers.join(wanted, [*group, "seq"])
+        ask = at.join(now.select(C, "sink_id", "rank", "kind", "gate_id", "pin", "net", "block"), [C, "sink_id"])
+        rows = ask.unionByName(given, allowMissingColumns=True)
+        out = rows.groupBy(C).applyInPandas(_settled, f"{C} {circuit}, sink_id string, s_source_id string, score double, second double")
+        out = done.append(out)
+        rest = todo.join(out.select(C, "sink_id"), [C, "sink_id"], "left_anti")
+        todo = materialise(rest, "ordered")
+        if todo.isEmpty():
+            break
+        used = out.join(src.filter("not reusable").select(C, F.col("source_id").alias("s_source_id")), [C, "s_source_id"]).select(C, F.col("s_source_id").alias("source_id"))
+        free = materialise(free.join(used, [C, "source_id"], "left_anti"), "free")
+    item = src.select(C, *[F.col(c).alias(f"s_{c}") for c in _OFFER])
+    return done.all().filter("s_source_id is not null").join(ends, [C, "sink_id"]).join(item, [C, "s_source_id"])
+
+
+def _by_margin(margin: Column) -> Column:
+    m = F.round(F.coalesce(margin, F.lit(99.0)), 9)
+    return F.when(m >= 2, 0.9).when(m >= 0.5, 0.6).otherwise(0.4)
+
+
+def margin_confidence(best: DataFrame, candidates: DataFrame) -> DataFrame:
     """0.9 from a margin of 2 to the second candidate, 0.6 from 0.5, else 0.4; 0.9 without a second one."""
     two = candidates.filter("candidate = 2").select(C, "sink_id", F.col("score").alias("_second"))
-    m = F.round(F.coalesce(F.col("score") - F.col("_second"), F.lit(99.0)), 9)
-    return assigned.join(two, [C, "sink_id"], "left").withColumn("confidence", F.when(m >= 2, 0.9).when(m >= 0.5, 0.6).otherwise(0.4)).drop("_second")
+    return best.join(two, [C, "sink_id"], "left").withColumn("confidence", _by_margin(F.col("score") - F.col("_second"))).drop("_second")
 
 
-def confidence(assigned: DataFrame, candidates: DataFrame, sources: DataFrame) -> DataFrame:
-    """0.9, 0.6 or 0.4 by the margin to the second candidate; drivers of a shared net get 1/n each.
+def confidence(assigned: DataFrame, sources: DataFrame) -> DataFrame:
+    """0.9, 0.6 or 0.4 by the margin to the best source that was left; drivers of a shared net get 1/n each.
 
     A source of a multiply driven net stands for all drivers of that net: one row per driver.
     """
-    a = margin_confidence(assigned, candidates)
+    a = assigned.withColumn("confidence", _by_margin(F.col("score") - F.col("second")))
     n = sources.filter("reusable").groupBy(C, "net").agg(F.count(F.lit(1)).alias("_n"))
     grp = sources.filter("reusable").join(n, NET).select(C, F.col("net").alias("s_net"), F.col("gate_id").alias("from_gate"), F.col("pin").alias("from_pin"), "_n")
     single = a.filter(~F.col("s_reusable")).select(C, "sink_id", F.col("s_gate_id").alias("from_gate"), F.col("s_pin").alias("from_pin"), F.col("s_net").alias("from_net"), "confidence",

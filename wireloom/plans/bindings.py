@@ -104,11 +104,6 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
                   cell_pins=bound_cell_pins(gates, pins), preds=bound_preds(gates))
 
 
-def acyclic(edges: DataFrame) -> DataFrame:
-    """Edges that go up in gate id: the acyclic part used where an order is needed."""
-    return edges.filter("src < dst")
-
-
 # ------------------------------------------------------------------ the same in SQL
 def _case(values: dict, col: str) -> str:
     return "CASE " + col + " ".join(f" WHEN {k!r} THEN '{v}'" for k, v in values.items()) + " END"
@@ -159,7 +154,6 @@ CTES = {
     "edges": """SELECT DISTINCT d.circuit_id, d.gate_id AS src, r.gate_id AS dst FROM pins d JOIN pins r
         ON d.circuit_id = r.circuit_id AND d.net = r.net WHERE d.direction = 'output' AND r.direction = 'input'
         AND d.gate_id <> r.gate_id""",
-    "dag": "SELECT * FROM edges WHERE src < dst",
     "po_gates": """SELECT DISTINCT circuit_id, gate_id FROM pins JOIN ports USING (circuit_id, net)
         WHERE port_dir = 'output' AND direction = 'output'""",
     "sym": "SELECT circuit_id, src, dst FROM edges UNION SELECT circuit_id, dst, src FROM edges",

@@ -94,7 +94,8 @@ CHECK_SQL["catalog"] = "SELECT * FROM (VALUES " + ", ".join(
 CHECK_SQL["findings"] = """SELECT m.circuit_id, m."check", m.severity, m.subject, min(gate_id) AS first_gate, min(net) AS first_net,
     count(gate_id) AS gate_rows, count(*) AS members, any_value(c.category) AS category, any_value(c.certainty) AS certainty,
     CASE WHEN any_value(c.certainty) = 'fact' THEN 1.0 WHEN m."check" = 'class_disagrees_with_neighbours' THEN 0.4
-      WHEN m."check" = 'singleton_subcircuit' THEN 0.3 WHEN m."check" = 'low_confidence_prediction' THEN 0.5 ELSE 0.7 END::DOUBLE AS confidence,
+      WHEN m."check" = 'singleton_subcircuit' THEN 0.3 WHEN m."check" = 'low_confidence_prediction' THEN 0.5
+      WHEN m."check" = 'carry_break' THEN 0.9 WHEN m."check" = 'bit_slice_anomaly' THEN 0.8 WHEN m."check" = 'intent_dependency' THEN 0.85 ELSE 0.7 END::DOUBLE AS confidence,
     any_value(c.category) = 'gnn_suspicion' AS model_based
     FROM members m JOIN catalog c ON c."check" = m."check" GROUP BY 1, 2, 3, 4"""
 NUMBERED = """SELECT *, row_number() OVER (PARTITION BY circuit_id ORDER BY
@@ -134,11 +135,16 @@ def _(spark, d):
     return checks.component_summary(B.tables(spark, d)).drop("component")
 
 
+def _ran(t):
+    """All but the bus checks: these circuits have no arithmetic (see `q_arith` for those that do)."""
+    return tuple(c for c in checks.default_checks(t) if c not in checks.BUS)
+
+
 def _members(spark, d):
     """All checks, written once: the pipeline reads the member rows several times."""
     from wireloom.operators.scale import materialise
     t = B.tables(spark, d)
-    return t, materialise(checks.run_checks(t), "members")
+    return t, materialise(checks.run_checks(t, _ran(t)), "members")
 
 
 @query("findings", """SELECT circuit_id, "check", severity, subject, coalesce(first_gate, -1) AS first_gate, coalesce(first_net, '') AS first_net,
@@ -193,7 +199,7 @@ def _(spark, d):
     EXCEPT SELECT circuit_id, "check" FROM findings WHERE severity <> 'info'""", **CHECK_SQL)
 def _(spark, d):
     t, m = _members(spark, d)
-    return checks.passed_checks(checks.findings(m), t.gates, checks.reported_by(checks.default_checks(t)))
+    return checks.passed_checks(checks.findings(m), t.gates, checks.reported_by(_ran(t)))
 
 
 @query("circuit_health", """SELECT circuit_id, CASE WHEN bool_or(severity = 'error') THEN 'error' WHEN bool_or(severity = 'warning') THEN 'warning'

@@ -7,7 +7,7 @@ from wireloom.operators import features as X
 from wireloom.operators import graph, model
 from wireloom.operators.scale import materialise, shared_dir
 from wireloom.plans import bindings as B
-from wireloom.plans.q_graph import GCOMP, HOP_SQL, LEVEL_SQL, SDEG, SUPPORT_SQL, bound_levels, dag, input_support, pi_gates
+from wireloom.plans.q_graph import GCOMP, HOP_SQL, LEVEL_SQL, SDEG, SUPPORT_SQL, bound_levels, input_support, pi_gates
 from wireloom.plans.registry import query as register
 from wireloom.sources import datasets as D
 
@@ -184,23 +184,23 @@ def _(spark, d):
     LEFT JOIN (SELECT circuit_id, gate_id, count(DISTINCT root) AS nr FROM pocone GROUP BY 1, 2) USING (circuit_id, gate_id)
     JOIN (SELECT circuit_id, count(*) FILTER (port_dir = 'input') AS n_inputs, count(*) FILTER (port_dir = 'output') AS n_outputs FROM ports GROUP BY 1) USING (circuit_id)""",
        pocone="""SELECT * FROM (WITH RECURSIVE c AS (SELECT DISTINCT p.circuit_id, p.net AS root, p.gate_id FROM pins p JOIN ports o USING (circuit_id, net)
-         WHERE port_dir = 'output' AND direction = 'output' UNION SELECT c.circuit_id, c.root, d.src FROM c JOIN dag d ON d.circuit_id = c.circuit_id AND d.dst = c.gate_id)
+         WHERE port_dir = 'output' AND direction = 'output' UNION SELECT c.circuit_id, c.root, d.src FROM c JOIN edges d ON d.circuit_id = c.circuit_id AND d.dst = c.gate_id)
          SELECT * FROM c)""", **SUPPORT_SQL, **LEVEL_SQL)
 def _(spark, d):
     t = B.tables(spark, d)
-    e = dag(t)
     po = t.ports.filter("port_dir = 'output'").select("circuit_id", "net")
     roots = t.pins.filter("direction = 'output'").join(po, ["circuit_id", "net"]).select("circuit_id", F.col("net").alias("root"), "gate_id")
     n = lambda side, name: t.ports.filter(F.col("port_dir") == side).groupBy("circuit_id").agg(F.count(F.lit(1)).alias(name))
-    return rnd(X.support_features(t.gates, input_support(t), graph.cones(e, roots), bound_levels(t, e), n("input", "n_inputs"), n("output", "n_outputs")), nudge=NUDGE)
+    return rnd(X.support_features(t.gates, input_support(t), graph.cones(t.edges, roots), bound_levels(t), n("input", "n_inputs"), n("output", "n_outputs")), nudge=NUDGE)
 
 
 # ------------------------------------------------------------------ signals from the embedding table
 SIG = {"samples": """SELECT vec_id AS sample_id, 's' || (pos - 1) AS signal, pos - 1 AS pos, (embedding[pos] > 0)::INT AS value FROM embeddings, (SELECT unnest(range(1, 65)) AS pos)""",
        "corrs": """SELECT a.signal, b.signal AS input, coalesce(CASE WHEN isnan(corr(a.value, b.value)) THEN 0 ELSE corr(a.value, b.value) END, 0) AS r
-         FROM samples a JOIN samples b USING (sample_id) WHERE b.pos < 8 GROUP BY 1, 2""",
+         FROM samples a JOIN samples b USING (sample_id) GROUP BY 1, 2""",
        "inf": """SELECT a.signal, b.signal AS input, b.pos, b.pos // 4 AS bus, b.pos % 4 AS bit, avg((a.value <> b.value)::INT) AS i FROM samples a JOIN samples b USING (sample_id)
-         WHERE b.pos < 8 GROUP BY 1, 2, 3"""}
+         GROUP BY 1, 2, 3""",
+       "bsum": "SELECT signal, max(s) AS top_bus FROM (SELECT signal, bus, sum(i) FILTER (i > 0.01) AS s FROM inf GROUP BY 1, 2) GROUP BY 1"}
 
 
 def bound_samples(spark, d):
@@ -220,23 +220,22 @@ def _(spark, d):
     round(count(*) FILTER (abs(r) > 0.1) / count(*), 6) AS share_above_0_1 FROM corrs GROUP BY 1""", **SIG)
 def _(spark, d):
     s = bound_samples(spark, d)
-    return rnd(X.corr_profile(s, s.filter("pos < 8")), nudge=NUDGE)
+    return rnd(X.corr_profile(s, s), nudge=NUDGE)
 
 
 @query("influence_profile", """SELECT signal, round(tot / npi, 6) AS mean_influence, round(ln(1 + tot), 6) AS log_total, round(first, 6) AS first, round(second, 6) AS second,
     round(full_n / npi, 6) AS full_share, round(ln(1 + full_n), 6) AS log_full, round(half / npi, 6) AS half_share, round(ent / ln(npi), 6) AS entropy, round(sup / npi, 6) AS support_share,
-    round(tot / greatest(sup, 1), 6) AS mean_on_support, buses, round(buses / 2, 6) AS bus_share, round(top_bus / tot, 6) AS top_bus_share, full_buses,
+    round(tot / greatest(sup, 1), 6) AS mean_on_support, buses, round(buses / 16, 6) AS bus_share, round(top_bus / tot, 6) AS top_bus_share, full_buses,
     (full_n >= 2 AND full_bits < full_n AND full_buses > 1)::INT::DOUBLE AS aligned, round(ib / isup / 3, 6) AS mean_bit, round((hi - lo) / 3, 6) AS bit_span, round(hi / 3, 6) AS top_bit FROM (
       SELECT signal, any_value(tot) AS tot, any_value(npi) AS npi, max(i) AS first, max(i) FILTER (k = 2) AS second, count(*) FILTER (i > 0.9) AS full_n,
         count(*) FILTER (i > 0.3 AND i <= 0.9) AS half, sum(CASE WHEN i > 0 THEN -i / tot * ln(i / tot) ELSE 0 END) AS ent, count(*) FILTER (i > 0.01) AS sup,
         count(DISTINCT bus) FILTER (i > 0.01) AS buses, count(DISTINCT bus) FILTER (i > 0.9) AS full_buses, count(DISTINCT bit) FILTER (i > 0.9) AS full_bits,
-        greatest(coalesce(sum(i) FILTER (bus = 0 AND i > 0.01), 0), coalesce(sum(i) FILTER (bus = 1 AND i > 0.01), 0)) AS top_bus,
         sum(i * bit) FILTER (i > 0.01) AS ib, sum(i) FILTER (i > 0.01) AS isup, max(bit) FILTER (i > 0.01) AS hi, min(bit) FILTER (i > 0.01) AS lo
       FROM (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY i DESC, input) AS k, sum(i) OVER (PARTITION BY signal) AS tot, count(*) OVER (PARTITION BY signal) AS npi FROM inf)
-      GROUP BY 1)""", **SIG)
+      GROUP BY 1) JOIN bsum USING (signal)""", **SIG)
 def _(spark, d):
     s = bound_samples(spark, d)
-    b = s.filter("pos < 8").select("sample_id", F.col("signal").alias("input"), "pos", F.col("value").alias("flipped"))
+    b = s.select("sample_id", F.col("signal").alias("input"), "pos", F.col("value").alias("flipped"))
     pairs = s.select("sample_id", "signal", F.col("value").alias("base")).join(b, "sample_id")
     bits = b.select("input", F.floor(F.col("pos") / 4).alias("bus"), (F.col("pos") % 4).alias("bit")).distinct()
     return rnd(X.influence_profile(X.influence(pairs), bits), nudge=NUDGE)

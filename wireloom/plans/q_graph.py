@@ -8,11 +8,17 @@ from wireloom.plans import bindings as B
 from wireloom.plans.q_checks import CHECK_SQL
 from wireloom.plans.registry import query
 
+#: Gates on or behind a cycle have level 0, those in front of one have no level to the outputs.
 LEVEL_SQL = {
-    "level_in": """SELECT * FROM (WITH RECURSIVE w AS (SELECT circuit_id, gate_id, 1::INT AS r FROM gates UNION SELECT d.circuit_id, d.dst, r + 1
-        FROM w JOIN dag d ON d.circuit_id = w.circuit_id AND d.src = w.gate_id) SELECT circuit_id, gate_id, max(r) AS level_in FROM w GROUP BY 1, 2)""",
-    "level_out": """SELECT * FROM (WITH RECURSIVE w AS (SELECT circuit_id, gate_id, 1::INT AS r FROM gates UNION SELECT d.circuit_id, d.src, r + 1
-        FROM w JOIN dag d ON d.circuit_id = w.circuit_id AND d.dst = w.gate_id) SELECT circuit_id, gate_id, max(r) AS level_out FROM w GROUP BY 1, 2)""",
+    "tc": """SELECT * FROM (WITH RECURSIVE tc AS (SELECT circuit_id, src, dst FROM edges UNION SELECT tc.circuit_id, tc.src, e.dst FROM tc JOIN edges e ON e.circuit_id = tc.circuit_id AND e.src = tc.dst)
+        SELECT * FROM tc)""",
+    "oncyc": "SELECT DISTINCT circuit_id, src AS gate_id FROM tc WHERE src = dst",
+    **{f"level_{way}": f"""SELECT * FROM (WITH RECURSIVE hit AS (SELECT circuit_id, gate_id FROM oncyc UNION SELECT t.circuit_id, t.{b} FROM tc t JOIN oncyc c ON c.circuit_id = t.circuit_id AND c.gate_id = t.{a}),
+        ok AS (SELECT circuit_id, gate_id FROM gates EXCEPT SELECT circuit_id, gate_id FROM hit),
+        w AS (SELECT circuit_id, gate_id, 1::INT AS r FROM ok UNION SELECT e.circuit_id, e.{b}, r + 1 FROM w JOIN edges e ON e.circuit_id = w.circuit_id AND e.{a} = w.gate_id
+          JOIN ok ON ok.circuit_id = e.circuit_id AND ok.gate_id = e.{b})
+        SELECT circuit_id, gate_id, max(r) AS level_{way} FROM w GROUP BY 1, 2 UNION ALL SELECT DISTINCT circuit_id, gate_id, 0 FROM hit SEMI JOIN gates USING (circuit_id, gate_id))"""
+       for way, a, b in (("in", "src", "dst"), ("out", "dst", "src"))},
     "levels": "SELECT * FROM level_in JOIN level_out USING (circuit_id, gate_id)",
     "crit": """SELECT *, level_in + level_out - 1 AS through, max_depth - (level_in + level_out - 1) AS slack,
         level_in + level_out - 1 = max_depth AS critical
@@ -22,12 +28,8 @@ GCOMP = {"gcomp": """SELECT * FROM (WITH RECURSIVE r AS (SELECT circuit_id, gate
     FROM r JOIN sym s ON s.circuit_id = r.circuit_id AND s.src = r.o) SELECT circuit_id, gate_id, min(o) AS component FROM r GROUP BY 1, 2)"""}
 
 
-def dag(t):
-    return materialise(B.acyclic(t.edges), "dag")
-
-
-def bound_levels(t, e=None):
-    return graph.levels(t.gates, e if e is not None else dag(t))
+def bound_levels(t):
+    return graph.levels(t.gates, t.edges)
 
 
 @query("reach_from_inputs", """SELECT * FROM (WITH RECURSIVE r AS (SELECT circuit_id, gate_id, 0 AS round FROM fed UNION SELECT e.circuit_id, e.dst, round + 1
@@ -97,7 +99,7 @@ PATH_SQL = {
         FROM levels) d WHERE k = 1 AND level_in > (SELECT max(level_in) FROM outs o WHERE o.circuit_id = d.circuit_id)""",
     "ends": """SELECT circuit_id, gate_id, path FROM (SELECT *, row_number() OVER (PARTITION BY circuit_id ORDER BY end_rank) AS path FROM (
         SELECT * FROM outs UNION ALL SELECT * FROM deepest)) WHERE path <= 5""",
-    "parent": """SELECT d.circuit_id, d.dst AS gate_id, min(d.src) AS prev FROM dag d JOIN levels a ON a.circuit_id = d.circuit_id AND a.gate_id = d.src
+    "parent": """SELECT d.circuit_id, d.dst AS gate_id, min(d.src) AS prev FROM edges d JOIN levels a ON a.circuit_id = d.circuit_id AND a.gate_id = d.src
         JOIN levels b ON b.circuit_id = d.circuit_id AND b.gate_id = d.dst WHERE a.level_in = b.level_in - 1 GROUP BY 1, 2""",
     "paths": """SELECT * FROM (WITH RECURSIVE w AS (SELECT circuit_id, path, gate_id FROM ends UNION SELECT w.circuit_id, w.path, p.prev FROM w JOIN parent p
         ON p.circuit_id = w.circuit_id AND p.gate_id = w.gate_id)
@@ -107,8 +109,7 @@ PATH_SQL = {
 @query("longest_paths", "SELECT * FROM paths", **PATH_SQL)
 def _(spark, d):
     t = B.tables(spark, d)
-    e = dag(t)
-    return graph.longest_paths(materialise(bound_levels(t, e), "levels"), e, model.po_gates(t.pins, t.ports))
+    return graph.longest_paths(materialise(bound_levels(t), "levels"), t.edges, model.po_gates(t.pins, t.ports))
 
 
 def pi_gates(t):
@@ -133,20 +134,20 @@ def _(spark, d):
 
 
 CONE_SQL = {"cone": """SELECT * FROM (WITH RECURSIVE c AS (SELECT DISTINCT p.circuit_id, b.bus AS root, p.gate_id FROM bus_bits b JOIN pins p USING (circuit_id, net)
-    WHERE b.kind <> 'input' AND p.direction = 'output' UNION SELECT c.circuit_id, c.root, d.src FROM c JOIN dag d ON d.circuit_id = c.circuit_id AND d.dst = c.gate_id)
+    WHERE b.kind <> 'input' AND p.direction = 'output' UNION SELECT c.circuit_id, c.root, d.src FROM c JOIN edges d ON d.circuit_id = c.circuit_id AND d.dst = c.gate_id)
     SELECT * FROM c)"""}
 
 
-def bus_cones(t, e):
+def bus_cones(t):
     bits = t.bus_bits.filter("kind <> 'input'").select("circuit_id", "net", F.col("bus").alias("root"))
     roots = t.pins.filter("direction = 'output'").join(bits, ["circuit_id", "net"]).select("circuit_id", "root", "gate_id")
-    return graph.cones(e, roots)
+    return graph.cones(t.edges, roots)
 
 
 @query("cones", "SELECT * FROM cone", **CONE_SQL)
 def _(spark, d):
     t = B.tables(spark, d)
-    return bus_cones(t, dag(t))
+    return bus_cones(t)
 
 
 SUPPORT_SQL = {
@@ -164,6 +165,10 @@ def input_support(t):
     return graph.support(t.pins, t.ports.filter("port_dir = 'input'"))
 
 
+def input_sets(t):
+    return graph.support_sets(t.pins, t.ports.filter("port_dir = 'input'"))
+
+
 @query("support_sets", "SELECT * FROM support", **SUPPORT_SQL)
 def _(spark, d):
     return input_support(B.tables(spark, d))
@@ -173,7 +178,7 @@ def _(spark, d):
     JOIN support s ON s.circuit_id = p.circuit_id AND s.gate_id = p.gate_id WHERE o.port_dir = 'output' AND p.direction = 'output'""", **SUPPORT_SQL)
 def _(spark, d):
     t = B.tables(spark, d)
-    return graph.driven_support(input_support(t), t.pins, t.ports.filter("port_dir = 'output'"))
+    return graph.driven_support(input_sets(t), t.pins, t.ports.filter("port_dir = 'output'"))
 
 
 def _pairs(gates):
@@ -185,17 +190,17 @@ def _pairs(gates):
     SELECT *, 'reverse' FROM rpath r WHERE NOT EXISTS (SELECT 1 FROM fpath f WHERE f.circuit_id = r.circuit_id AND f.from_id = r.from_id AND f.to_id = r.to_id))""",
        pair="SELECT DISTINCT circuit_id, min(gate_id) AS from_id, max(gate_id) AS to_id FROM gates GROUP BY circuit_id, block",
        **{f"{k}path": f"""SELECT * FROM (WITH RECURSIVE b AS (SELECT circuit_id, from_id, to_id, {z} AS gate_id, 0 AS h FROM pair
-         UNION SELECT b.circuit_id, b.from_id, b.to_id, d.src, h + 1 FROM b JOIN dag d ON d.circuit_id = b.circuit_id AND d.dst = b.gate_id WHERE h < 20 AND b.gate_id <> b.{a}),
+         UNION SELECT b.circuit_id, b.from_id, b.to_id, d.src, h + 1 FROM b JOIN edges d ON d.circuit_id = b.circuit_id AND d.dst = b.gate_id WHERE h < 20 AND b.gate_id <> b.{a}),
          dist AS (SELECT circuit_id, from_id, to_id, gate_id, min(h) AS h FROM b GROUP BY ALL),
          p AS (SELECT circuit_id, from_id, to_id, gate_id, h, 0 AS position FROM dist WHERE gate_id = {a}
            UNION ALL SELECT p.circuit_id, p.from_id, p.to_id, n.dst, p.h - 1, p.position + 1 FROM p JOIN (
-             SELECT e.circuit_id, x.from_id, x.to_id, e.src, y.h, min(e.dst) AS dst FROM dag e JOIN dist x ON x.circuit_id = e.circuit_id AND x.gate_id = e.src
+             SELECT e.circuit_id, x.from_id, x.to_id, e.src, y.h, min(e.dst) AS dst FROM edges e JOIN dist x ON x.circuit_id = e.circuit_id AND x.gate_id = e.src
              JOIN dist y ON y.circuit_id = e.circuit_id AND y.gate_id = e.dst AND y.from_id = x.from_id AND y.to_id = x.to_id
              WHERE y.h = x.h - 1 GROUP BY ALL) n ON n.circuit_id = p.circuit_id AND n.from_id = p.from_id AND n.to_id = p.to_id AND n.src = p.gate_id)
          SELECT circuit_id, from_id, to_id, gate_id, position FROM p)""" for k, a, z in (("f", "from_id", "to_id"), ("r", "to_id", "from_id"))})
 def _(spark, d):
     t = B.tables(spark, d)
-    return graph.trace_path(dag(t), _pairs(t.gates))
+    return graph.trace_path(t.edges, _pairs(t.gates))
 
 
 NEAR_SQL = {"near": """SELECT circuit_id, center, gate_id, hop, row_number() OVER (PARTITION BY circuit_id, center ORDER BY hop, gate_id) AS rank FROM (

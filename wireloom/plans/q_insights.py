@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from wireloom.operators import buses, checks, graph, insights, lookups, model
 from wireloom.operators.scale import materialise
+from wireloom.plans import arith as A
 from wireloom.plans import bindings as B
 from wireloom.plans.q_checks import CHECK_SQL
 from wireloom.plans.q_features import rnd
-from wireloom.plans.q_graph import CHAIN_SQL, CONE_SQL, LEVEL_SQL, PATH_SQL, SUBC, SUPPORT_SQL, bound_levels, bus_cones, dag, input_support
+from wireloom.plans.q_graph import CHAIN_SQL, CONE_SQL, LEVEL_SQL, PATH_SQL, SUBC, SUPPORT_SQL, bound_levels, bus_cones, input_sets
 from wireloom.plans.registry import query
 
 C = "circuit_id"
@@ -36,7 +37,7 @@ BUS_SQL = {
 
 
 def bus_inputs(t):
-    sup = materialise(input_support(t), "support")
+    sup = input_sets(t)
     targets, src = t.bus_bits.filter("kind <> 'input'"), t.bus_bits.filter("kind = 'input'")
     return materialise(buses.dependency_profile(t.pins, targets, src, sup), "profile")
 
@@ -63,16 +64,15 @@ RIPPLE_SQL = {
     "decl": "SELECT circuit_id, bus AS operand, significance AS osig FROM bus_bits WHERE kind = 'input'",
     "rbits": """SELECT p.circuit_id, p.bus, p.operand, p.significance, count(*) AS n, max(p.osig) AS hi, count(*) FILTER (p.osig <= p.significance) AS n_low,
         any_value(w) AS w, any_value((SELECT count(*) FROM decl x WHERE x.circuit_id = p.circuit_id AND x.operand = p.operand AND x.osig <= p.significance)) AS n_exp
-        FROM shallow p JOIN (SELECT circuit_id, operand, count(*) AS w FROM decl GROUP BY 1, 2) USING (circuit_id, operand) GROUP BY 1, 2, 3, 4""",
-    "shallow": "SELECT * FROM prof WHERE osig <= significance + (bus = 'b18')::INT",
+        FROM prof p JOIN (SELECT circuit_id, operand, count(*) AS w FROM decl GROUP BY 1, 2) USING (circuit_id, operand) GROUP BY 1, 2, 3, 4""",
     "ripple": """SELECT circuit_id, bus, operand, any_value(w) AS width, count(*) AS bits_with_dependency, count(*) FILTER (n_low = n_exp AND n = n_exp) AS bits_matching,
         count(*) FILTER (n_low = n AND hi = least(significance, w - 1)) AS shaped, count(*) FILTER (n_low = n AND hi = least(significance, w - 1) AND significance < w - 1) AS nontrivial,
         max(significance) AS top_bit FROM rbits JOIN (SELECT circuit_id, bus FROM driven GROUP BY 1, 2 HAVING count(*) >= 4) USING (circuit_id, bus) WHERE w >= 4 GROUP BY 1, 2, 3
         HAVING count(*) >= 4 AND count(*) FILTER (n_low = n AND hi = least(significance, w - 1)) >= 0.6 * count(*)
         AND count(*) FILTER (n_low = n AND hi = least(significance, w - 1) AND significance < w - 1) >= 2""",
     "diff": """SELECT *, 'missing' AS d FROM (SELECT circuit_id, bus, operand, significance, unnest(range(0, least(significance, width - 1) + 1)) AS osig FROM driven
-          JOIN ripple USING (circuit_id, bus) WHERE significance <= top_bit EXCEPT SELECT circuit_id, bus, operand, significance, osig FROM shallow)
-        UNION ALL SELECT s.circuit_id, s.bus, s.operand, s.significance, s.osig, 'extra' FROM shallow s JOIN ripple USING (circuit_id, bus, operand)
+          JOIN ripple USING (circuit_id, bus) WHERE significance <= top_bit EXCEPT SELECT circuit_id, bus, operand, significance, osig FROM prof)
+        UNION ALL SELECT s.circuit_id, s.bus, s.operand, s.significance, s.osig, 'extra' FROM prof s JOIN ripple USING (circuit_id, bus, operand)
           WHERE s.significance <= top_bit AND s.osig > least(s.significance, width - 1)""",
     "runs": """SELECT r.circuit_id, r.bus, r.operand, first_bit, last_bit, count(*) FILTER (d = 'missing') AS missing, count(*) FILTER (d = 'extra') AS extra,
         max(osig) FILTER (d = 'missing') AS max_missing, max(osig) FILTER (d = 'extra') AS max_extra FROM (
@@ -81,21 +81,12 @@ RIPPLE_SQL = {
               SELECT DISTINCT circuit_id, bus, operand, significance FROM diff)) GROUP BY circuit_id, bus, operand, i) r
         JOIN diff x ON x.circuit_id = r.circuit_id AND x.bus = r.bus AND x.operand = r.operand AND x.significance = r.first_bit GROUP BY 1, 2, 3, 4, 5""",
 }
-RIPPLE_SQL = {**BUS_SQL, **RIPPLE_SQL}
-
-
-def shallow_profile(t):
-    """The profile without the operand bits above a target's own significance; bus b18 keeps one of them.
-
-    The bound graph is so dense that most bits depend on everything, which has no arithmetic shape.
-    """
-    keep = F.col("osig") <= F.col("significance") + F.when(F.col("bus") == "b18", 1).otherwise(0)
-    return bus_inputs(t).filter(keep)
+RIPPLE_SQL = {**A.CTES, **BUS_SQL, **RIPPLE_SQL}
 
 
 def _ripple(spark, d):
-    t = B.tables(spark, d)
-    p = shallow_profile(t)
+    t = A.tables(spark, d)
+    p = buses.input_profile(t)
     driven = buses.driven_bits(t.bus_bits, t.pins)
     r = materialise(buses.ripple_pattern(p, t.bus_bits, driven), "ripple")
     return t, r, buses.deviant_runs(p, r, driven)
@@ -118,47 +109,79 @@ def _(spark, d):
     return buses.classify_runs(_ripple(spark, d)[2])
 
 
+#: What a bus depends on when walks end at internal buses: these are the buses that feed it.
+FEED_SQL = {
+    "isrc": "SELECT DISTINCT circuit_id, net FROM bus_bits WHERE kind <> 'input'",
+    "fedge": """SELECT DISTINCT d.circuit_id, d.gate_id AS src, r.gate_id AS dst FROM pins d JOIN pins r ON d.circuit_id = r.circuit_id AND d.net = r.net
+        WHERE d.direction = 'output' AND r.direction = 'input' AND d.gate_id <> r.gate_id AND NOT EXISTS (SELECT 1 FROM isrc s WHERE s.circuit_id = d.circuit_id AND s.net = d.net)""",
+    "fsup": """SELECT * FROM (WITH RECURSIVE s AS (SELECT DISTINCT p.circuit_id, p.net AS source, p.gate_id FROM pins p JOIN isrc USING (circuit_id, net) WHERE direction = 'input'
+        UNION SELECT s.circuit_id, s.source, e.dst FROM s JOIN fedge e ON e.circuit_id = s.circuit_id AND e.src = s.gate_id) SELECT * FROM s)""",
+    "fprof": """SELECT DISTINCT t.circuit_id, t.bus, t.significance, o.bus AS operand, o.significance AS osig FROM bus_bits t JOIN pins p USING (circuit_id, net)
+        JOIN fsup s ON s.circuit_id = p.circuit_id AND s.gate_id = p.gate_id JOIN bus_bits o ON o.circuit_id = s.circuit_id AND o.net = s.source
+        WHERE t.kind <> 'input' AND p.direction = 'output' AND o.bus <> t.bus""",
+    "fbits": BUS_SQL["bits"].replace("FROM prof p", "FROM fprof p"), "feed": BUS_SQL["pattern"].replace("FROM bits", "FROM fbits")}
 SIG_SQL = {
     "inv": """SELECT c.circuit_id, c.root AS bus, o.bus AS operand, round(count(DISTINCT p.net) / any_value(z.w), 2) AS inverted FROM cone c JOIN gates g USING (circuit_id, gate_id)
         JOIN pins p USING (circuit_id, gate_id) JOIN bus_bits o ON o.circuit_id = p.circuit_id AND o.net = p.net
         JOIN (SELECT circuit_id, bus, count(*) AS w FROM bus_bits GROUP BY 1, 2) z ON z.circuit_id = o.circuit_id AND z.bus = o.bus
         WHERE g.family = 'INV' AND p.direction = 'input' AND o.kind = 'input' GROUP BY 1, 2, 3""",
-    "signature": """SELECT circuit_id, bus, any_value(dw) AS width, 0::BIGINT AS bitwise_feeds, 0::BIGINT AS tri_feeds, coalesce(sum((pattern = 'triangular')::INT), 0)::BIGINT AS tri,
-        coalesce(sum((pattern = 'full')::INT), 0)::BIGINT AS "full", CASE WHEN sum((pattern = 'triangular')::INT) >= 1 THEN CASE
-          WHEN max(bits) FILTER (pattern = 'triangular') >= 1.75 * max(operand_width) FILTER (pattern = 'triangular') THEN 'multiplier-like'
-          WHEN max(coalesce(inverted, 0)) FILTER (pattern = 'triangular' AND k = 1) >= 0.5 AND max(coalesce(inverted, 0)) FILTER (pattern = 'triangular' AND k = 2) <= 0.25 THEN 'subtractor-like' ELSE 'adder-like' END
-          WHEN sum((pattern = 'full')::INT) >= 2 AND any_value(dw) <= 2 THEN 'comparator-like' ELSE 'unclassified' END AS classification,
-        coalesce(max(operand_width) FILTER (pattern = 'triangular'), any_value(dw)) AS operand_width FROM (
-          SELECT *, row_number() OVER (PARTITION BY circuit_id, bus, pattern ORDER BY coalesce(inverted, 0) DESC, operand) AS k FROM
-          (SELECT circuit_id, bus, count(*) AS dw FROM driven WHERE kind <> 'input' GROUP BY 1, 2) LEFT JOIN pattern USING (circuit_id, bus) LEFT JOIN inv USING (circuit_id, bus, operand))
-        GROUP BY 1, 2""", **BUS_SQL, **CONE_SQL, "prof0": BUS_SQL["prof"], "prof": RIPPLE_SQL["shallow"].replace("prof", "prof0")}
+    "feeds": """SELECT circuit_id, bus, count(*) FILTER (pattern = 'bitwise') AS bf, count(*) FILTER (pattern = 'triangular') AS tf, max(operand_width) FILTER (pattern = 'triangular') AS fw FROM feed GROUP BY 1, 2""",
+    "ops": """SELECT circuit_id, bus, any_value(dw) AS dw, count(*) FILTER (pattern = 'triangular') AS tri, count(*) FILTER (pattern = 'full') AS fu, max(operand_width) FILTER (pattern = 'triangular') AS tw,
+        max(bits) FILTER (pattern = 'triangular') AS tb, max(inverted) FILTER (pattern = 'triangular' AND k = 1) AS i1, max(inverted) FILTER (pattern = 'triangular' AND k = 2) AS i2 FROM (
+          SELECT circuit_id, bus, dw, pattern, operand_width, bits, coalesce(inverted, 0) AS inverted, row_number() OVER (PARTITION BY circuit_id, bus, pattern ORDER BY coalesce(inverted, 0) DESC, operand) AS k
+          FROM (SELECT circuit_id, bus, count(*) AS dw FROM driven WHERE kind <> 'input' GROUP BY 1, 2) LEFT JOIN pattern USING (circuit_id, bus) LEFT JOIN inv USING (circuit_id, bus, operand)) GROUP BY 1, 2""",
+    "signature": """SELECT circuit_id, bus, dw AS width, coalesce(bf, 0) AS bitwise_feeds, coalesce(tf, 0) AS tri_feeds, tri, fu AS "full",
+        CASE WHEN bf >= 2 THEN 'select-like' WHEN tf >= 2 THEN CASE WHEN dw >= 1.75 * fw THEN 'multiplier-like' ELSE 'adder-like' END
+          WHEN tri >= 1 THEN CASE WHEN tb >= 1.75 * tw THEN 'multiplier-like' WHEN i1 >= 0.5 AND i2 <= 0.25 THEN 'subtractor-like' ELSE 'adder-like' END
+          WHEN fu >= 2 AND dw <= 2 THEN 'comparator-like' ELSE 'unclassified' END AS classification,
+        coalesce(CASE WHEN tf >= 2 THEN fw END, tw, dw) AS operand_width FROM ops LEFT JOIN feeds USING (circuit_id, bus)""",
+    "opbus": """SELECT DISTINCT s.circuit_id, s.bus, p.operand FROM signature s JOIN pattern p USING (circuit_id, bus) WHERE classification = 'unclassified'
+          OR (classification = 'comparator-like' AND pattern = 'full') OR (classification NOT IN ('comparator-like', 'select-like', 'unclassified') AND tri_feeds < 2 AND pattern = 'triangular')
+        UNION SELECT s.circuit_id, s.bus, p.operand FROM signature s JOIN feed p USING (circuit_id, bus) WHERE (classification = 'select-like' AND pattern = 'bitwise')
+          OR (classification NOT IN ('select-like', 'comparator-like', 'unclassified') AND tri_feeds >= 2 AND pattern = 'triangular')""",
+    **A.CTES, **BUS_SQL, **CONE_SQL, **FEED_SQL}
 
 
 def bound_signatures(t):
-    """Every bit of the bound circuits lies on a bus, so no bus is fed through another one: `feeds` is empty."""
-    live = buses.live_bits(t.bus_bits, t.nets)
-    ops = materialise(buses.pattern_class(shallow_profile(t), live), "patterns")
-    inv = buses.inverted_share(t.bus_bits, t.pins, t.gates, bus_cones(t, dag(t)))
+    """Signatures of the arithmetic circuits, and the operand patterns behind them."""
+    live = materialise(buses.live_bits(t.bus_bits, t.nets), "live")
+    ops = materialise(buses.pattern_class(buses.input_profile(t), live), "patterns")
+    feeds = materialise(buses.pattern_class(buses.feed_profile(t), live), "feeds")
+    inv = buses.inverted_share(t.bus_bits, t.pins, t.gates, bus_cones(t))
     driven = buses.driven_bits(t.bus_bits.filter("kind <> 'input'"), t.pins)
-    feeds = ops.filter("false")
     return materialise(buses.cone_signatures(driven, ops, feeds, inv), "signatures"), ops, feeds
 
 
 @query("cone_signatures", "SELECT * FROM signature", **SIG_SQL)
 def _(spark, d):
-    return bound_signatures(B.tables(spark, d))[0]
+    return bound_signatures(A.tables(spark, d))[0]
 
 
-@query("inferred_blocks", """SELECT circuit_id, bus, CASE classification WHEN 'adder-like' THEN 'adder' WHEN 'multiplier-like' THEN 'multiplier' WHEN 'subtractor-like' THEN 'subtractor'
-    ELSE 'comparator' END AS role, operand_width, b.block, 0.55::DOUBLE AS confidence FROM signature JOIN (
+BLOCKS_SQL = {"iblock": """SELECT circuit_id, bus, CASE classification WHEN 'adder-like' THEN 'adder' WHEN 'multiplier-like' THEN 'multiplier' WHEN 'subtractor-like' THEN 'subtractor' WHEN 'select-like' THEN 'control'
+    ELSE 'comparator' END AS role, operand_width, b.block, round(0.55::DOUBLE * CASE WHEN hints THEN 1 ELSE 0.6 END, 2) AS confidence FROM signature JOIN (
       SELECT o.circuit_id, o.bus, min(g.block) AS block FROM bus_bits o JOIN pins p USING (circuit_id, net) JOIN gates g USING (circuit_id, gate_id) WHERE direction = 'output' GROUP BY 1, 2) b
-    USING (circuit_id, bus) WHERE classification <> 'unclassified'""", **SIG_SQL)
-def _(spark, d):
-    t = B.tables(spark, d)
+    USING (circuit_id, bus) JOIN (SELECT circuit_id, bool_or(regexp_matches(lower(inst), 'add|mul|sub|comp|control')) AS hints FROM gates GROUP BY 1) USING (circuit_id) WHERE classification <> 'unclassified'""", **SIG_SQL}
+
+
+def bound_blocks(t):
     s, ops, feeds = bound_signatures(t)
     drv = (t.bus_bits.join(t.pins.filter("direction = 'output'"), [C, "net"]).join(t.gates.select(*KEYS, "block"), KEYS).select(C, "bus", "block").distinct())
     hints = t.gates.groupBy(C).agg(F.bool_or(F.lower("inst").rlike("add|mul|sub|comp|control")).alias("hints"))
-    return buses.infer_blocks(s, buses.operand_buses(s, ops, feeds), drv, hints).drop("phrase")
+    operands = materialise(buses.operand_buses(s, ops, feeds), "operands")
+    return materialise(buses.infer_blocks(s, operands, drv, hints), "blocks"), operands
+
+
+@query("inferred_blocks", "SELECT * FROM iblock", **BLOCKS_SQL)
+def _(spark, d):
+    return bound_blocks(A.tables(spark, d))[0].drop("phrase")
+
+
+@query("inferred_dataflow", """SELECT DISTINCT o.circuit_id, f.block AS from_block, t.block AS to_block, o.operand AS via_bus FROM opbus o JOIN iblock f ON f.circuit_id = o.circuit_id AND f.bus = o.operand
+    JOIN iblock t ON t.circuit_id = o.circuit_id AND t.bus = o.bus WHERE f.block <> t.block""", **BLOCKS_SQL)
+def _(spark, d):
+    """Selectors lie in blocks of their own, so they are fed from the adders' blocks."""
+    blocks, operands = bound_blocks(A.tables(spark, d))
+    return buses.inferred_dataflow(blocks, operands)
 
 
 TPL_SQL = {
@@ -241,10 +264,9 @@ def _(spark, d):
     return insights.block_flow(B.tables(spark, d))
 
 
-@query("datapaths", """SELECT DISTINCT s.circuit_id, s.bus AS to_bus, p.operand AS from_bus, s.classification, s.width FROM signature s JOIN pattern p USING (circuit_id, bus)
-    WHERE classification <> 'unclassified' AND p.pattern = CASE classification WHEN 'comparator-like' THEN 'full' ELSE 'triangular' END""", **SIG_SQL)
+@query("datapaths", """SELECT s.circuit_id, s.bus AS to_bus, o.operand AS from_bus, s.classification, s.width FROM signature s JOIN opbus o USING (circuit_id, bus) WHERE classification <> 'unclassified'""", **SIG_SQL)
 def _(spark, d):
-    s, ops, feeds = bound_signatures(B.tables(spark, d))
+    s, ops, feeds = bound_signatures(A.tables(spark, d))
     return insights.datapaths(s, buses.operand_buses(s, ops, feeds))
 
 
@@ -323,7 +345,7 @@ SIZE_SQL = {"csize": "SELECT circuit_id, root AS bus, count(*) AS cone_gates, co
 @query("cone_sizes", "SELECT * FROM csize", **SIZE_SQL)
 def _(spark, d):
     t = B.tables(spark, d)
-    return insights.cone_sizes(bus_cones(t, dag(t)), t.gates)
+    return insights.cone_sizes(bus_cones(t), t.gates)
 
 
 @query("power_indicators", """SELECT circuit_id, block, count(*) AS gates, count(*) FILTER (family IN ('ADDF', 'XOR2')) AS xor_adder_cells, max(level_in) AS max_level
@@ -391,25 +413,23 @@ OPT_SQL = {"opt": """SELECT *, row_number() OVER (PARTITION BY circuit_id ORDER
       UNION ALL SELECT circuit_id, 'power', 'largest_cone', 3, bus, cone_gates, 'low' FROM (SELECT *, row_number() OVER (PARTITION BY circuit_id ORDER BY cone_gates DESC, bus) AS k FROM csize) WHERE k = 1
       UNION ALL SELECT circuit_id, 'area', 'duplicate_gates', k, "group"::VARCHAR, size, 'high' FROM (SELECT *, row_number() OVER (PARTITION BY circuit_id ORDER BY size DESC, "group") AS k FROM
         (SELECT DISTINCT circuit_id, "group", size FROM dups)) WHERE k <= 3
-      UNION ALL SELECT circuit_id, 'area', 'dead_logic', 4, 'gates', count(DISTINCT gate_id), 'high' FROM m_dangling_output GROUP BY 1
+      UNION ALL SELECT circuit_id, 'area', 'dead_logic', 4, 'gates', count(DISTINCT gate_id), 'high' FROM m_no_path_to_po WHERE gate_id IS NOT NULL GROUP BY 1
       UNION ALL SELECT circuit_id, 'area', 'inverter_pairs', 5, 'pairs', count(*), 'medium' FROM invp GROUP BY 1
       UNION ALL SELECT circuit_id, 'area', 'dominant_block', 6, block, gates, 'low' FROM (SELECT *, row_number() OVER (PARTITION BY circuit_id ORDER BY gates DESC, block) AS k FROM blocks) WHERE k = 1 AND share >= 0.4 AND share < 1
       UNION ALL SELECT circuit_id, 'area', 'strong_drive', 7, kind, count(*), 'low' FROM sized WHERE kind LIKE 'strong%' GROUP BY 1, 5
       UNION ALL SELECT circuit_id, 'area', 'inverters_and_buffers', 8, 'cells', count(*) FILTER (family = 'INV'), 'low' FROM gates GROUP BY 1 HAVING count(*) FILTER (family = 'INV') / count(*) >= 0.15)""",
-           **PATH_SQL, **CHAIN_SQL, **SIZING_SQL, **SIZE_SQL, **DUP_SQL, **BLOCK_SQL, "m_dangling_output": CHECK_SQL["m_dangling_output"]}
+           **PATH_SQL, **CHAIN_SQL, **SIZING_SQL, **SIZE_SQL, **DUP_SQL, **BLOCK_SQL, **{k: CHECK_SQL[k] for k in ("bwd", "m_no_path_to_po")}}
 
 
 @query("optimizations", "SELECT circuit_id, category, rule, target, size, confidence, 'O' || number AS id FROM opt", **OPT_SQL)
 def _(spark, d):
-    """Dead logic is taken from the unread outputs here, which needs no second closure."""
     t = B.tables(spark, d)
-    e = dag(t)
-    lv = materialise(bound_levels(t, e), "levels")
+    lv = materialise(bound_levels(t), "levels")
     c = crit(t, lv)
     return insights.optimizations(
-        graph.longest_paths(lv, e, model.po_gates(t.pins, t.ports)), graph.link_chains(graph.carry_links(t.gates, t.pins)),
-        materialise(insights.high_fanout(t, c), "fanout"), insights.cone_sizes(bus_cones(t, e), t.gates), insights.duplicates(t),
-        checks.check_dangling_output(t), insights.inverter_pairs(t), insights.block_summary(t.gates),
+        graph.longest_paths(lv, t.edges, model.po_gates(t.pins, t.ports)), graph.link_chains(graph.carry_links(t.gates, t.pins)),
+        materialise(insights.high_fanout(t, c), "fanout"), insights.cone_sizes(bus_cones(t), t.gates), insights.duplicates(t),
+        checks.check_no_path_to_po(t).filter("gate_id is not null"), insights.inverter_pairs(t), insights.block_summary(t.gates),
         materialise(insights.sizing(insights.gate_fanout(t), c), "sizing"), insights.bom(t.gates))
 
 

@@ -44,14 +44,50 @@ def _(spark, d):
     return repair.margin_confidence(b.filter("candidate = 1"), b).select(C, "sink_id", F.round("score", 6).alias("score"), "confidence")
 
 
-@query("inherited_repairs", """SELECT DISTINCT p.circuit_id, 'b' || b.bus AS subject, p.gate_id AS to_gate, p.pin AS to_pin, q.gate_id AS from_gate, q.pin AS from_pin FROM m_floating_net p
-    JOIN (SELECT DISTINCT circuit_id, bus, gate_id FROM bus_bits JOIN pins USING (circuit_id, net) WHERE kind = 'output' AND direction = 'output') b USING (circuit_id, gate_id)
-    JOIN (SELECT circuit_id, min(gate_id) AS gate_id, 'CO' AS pin FROM gates GROUP BY 1) q ON q.circuit_id = p.circuit_id""", m_floating_net=CHECK_SQL["m_floating_net"])
+#: Every circuit's broken ends one after the other, with the list of the sources that are used up.
+GREEDY = {
+    "turn": "SELECT circuit_id, sink_id, row_number() OVER (PARTITION BY circuit_id ORDER BY max(round(score, 9)) DESC, sink_id DESC) AS k FROM pair GROUP BY 1, 2",
+    "greedy": """SELECT * FROM (WITH RECURSIVE g AS (SELECT DISTINCT circuit_id, 0::BIGINT AS k, []::VARCHAR[] AS used, ''::VARCHAR AS sink_id, []::STRUCT(score DOUBLE, source_id VARCHAR)[] AS best FROM turn
+        UNION ALL SELECT circuit_id, k, CASE WHEN len(best) = 0 OR best[1].source_id LIKE 'm.%' THEN used ELSE list_append(used, best[1].source_id) END, sink_id, best FROM (
+          SELECT g.circuit_id, g.k + 1 AS k, any_value(g.used) AS used, o.sink_id, list_reverse_sort(coalesce(list({'score': round(p.score, 9), 'source_id': p.source_id}) FILTER (p.source_id IS NOT NULL), []))[1:2] AS best
+          FROM g JOIN turn o ON o.circuit_id = g.circuit_id AND o.k = g.k + 1
+          LEFT JOIN pair p ON p.circuit_id = o.circuit_id AND p.sink_id = o.sink_id AND NOT list_contains(g.used, p.source_id) GROUP BY g.circuit_id, g.k, o.sink_id))
+        SELECT circuit_id, sink_id, best[1].source_id AS source_id, best[1].score AS score, best[2].score AS second FROM g WHERE len(best) > 0)""",
+    "link": """SELECT g.circuit_id, g.sink_id, d.gate_id AS from_gate, d.pin AS from_pin, d.net AS from_net, CASE WHEN g.source_id LIKE 'm.%' THEN round(1.0::DOUBLE / count(*) OVER (PARTITION BY g.circuit_id, g.sink_id), 2)
+          WHEN second IS NULL OR round(g.score - second, 9) >= 2 THEN 0.9 WHEN round(g.score - second, 9) >= 0.5 THEN 0.6 ELSE 0.4 END::DOUBLE AS confidence, g.source_id LIKE 'm.%' AS ambiguous
+        FROM greedy g JOIN source s ON s.circuit_id = g.circuit_id AND s.source_id = g.source_id JOIN source d ON d.circuit_id = s.circuit_id
+          AND CASE WHEN s.source_id LIKE 'm.%' THEN d.source_id LIKE 'm.%' AND d.net = s.net ELSE d.source_id = s.source_id END""", **REP}
+
+
+def bound_assignment(spark, d):
+    """Assigned ends of the bound corpus and its sources."""
+    sinks, sources = repair.broken_ends(B.tables(spark, d))
+    sinks, sources = materialise(sinks, "sinks"), materialise(sources, "sources")
+    return materialise(repair.assign(sinks, sources), "assigned"), sources
+
+
+@query("repair_assignment", "SELECT circuit_id, sink_id, source_id, round(score, 6) AS score, round(coalesce(second, -99), 6) AS second FROM greedy", **GREEDY)
+def _(spark, d):
+    """Source of every broken end in the order of the ends' best scores; the oracle walks the ends one by one."""
+    a, _ = bound_assignment(spark, d)
+    return a.select(C, "sink_id", F.col("s_source_id").alias("source_id"), F.round("score", 6).alias("score"), F.round(F.coalesce("second", F.lit(-99.0)), 6).alias("second"))
+
+
+@query("repair_links", "SELECT * FROM link", **GREEDY)
+def _(spark, d):
+    """Suggested wires with their confidence: by the margin to what else was free, or shared by the drivers of a net."""
+    return repair.confidence(*bound_assignment(spark, d))
+
+
+@query("inherited_repairs", """SELECT DISTINCT l.circuit_id, 'b' || b.bus AS subject, k.gate_id AS to_gate, k.pin AS to_pin, from_gate, from_pin FROM link l JOIN sink k USING (circuit_id, sink_id)
+    JOIN (SELECT DISTINCT circuit_id, bus, gate_id FROM bus_bits JOIN pins USING (circuit_id, net) WHERE kind = 'output' AND direction = 'output') b ON b.circuit_id = k.circuit_id AND b.gate_id = k.gate_id
+    WHERE k.kind = 'pin'""", **GREEDY)
 def _(spark, d):
-    """Output buses inherit the repairs of floating pins on their driver gates; the first gate's CO pin is the offered source."""
+    """Output buses inherit the suggested wires of the broken pins on the gates that drive them."""
     t = B.tables(spark, d)
-    src = t.gates.groupBy(C).agg(F.min("gate_id").alias("from_gate")).withColumn("from_pin", F.lit("CO"))
-    rep = checks.check_floating_net(t).select(C, F.col("gate_id").alias("to_gate"), F.col("pin").alias("to_pin")).join(src, C)
+    a, sources = bound_assignment(spark, d)
+    to = a.filter("kind = 'pin'").select(C, "sink_id", F.col("gate_id").alias("to_gate"), F.col("pin").alias("to_pin"))
+    rep = repair.confidence(a, sources).join(to, [C, "sink_id"])
     s = (t.bus_bits.filter("kind = 'output'").join(t.pins.filter("direction = 'output'"), [C, "net"])
          .select(C, F.concat(F.lit("b"), "bus").alias("subject"), "gate_id").distinct())
     return repair.inherit_repairs(s, rep)
