@@ -5,6 +5,7 @@ import random
 import pytest
 
 from wireloom.operators import buses, claims, faults, graph, insights, learning, repair, sampling
+from wireloom.functions import statements
 from wireloom.operators.scale import carry_forward, numbered, running_total
 from wireloom.tables import Tables
 from pyspark.sql import functions as F
@@ -239,6 +240,48 @@ def test_samples_stay_inside(spark):
     assert a == b
 
 
+def test_statements_are_read_by_tokens():
+    small = {"and", "it", "gate"}  # words that are no names of nets
+    read = lambda f, text: [tuple(c)[:5] for c in f(statements.tokens(text)) if c.name not in small]
+    assert read(statements.relations, "[G1]'s output pin Y also drives [N:a[3]] and G2, which works") == [("edge", 1, 2, None, None), ("driver", 1, None, "a[3]", None)]
+    assert read(statements.relations, "G4 is fed by G3 and it reads G9.") == [("edge", 3, 4, None, None)]
+    assert read(statements.relations, "\\top/n4 is read by gate G5") == [("reader", 5, None, "\\top/n4", None)]
+    assert read(statements.relations, "n4 reads G5") == []
+    assert read(statements.classes, "G5 (u5) was predicted to be part of the Control Logic") == [("predicted", 5, None, None, 2)]
+    assert read(statements.classes, "The model predicts that G7 is an Adder. [G8] belongs to the Comparator") == [("predicted", 7, None, None, 0), ("stated", 8, None, None, 4)]
+    count = lambda text: read(statements.numbers, text)
+    assert count("It takes 5 ns") == count("an area of 3.2 um^2") == count("saves about 30% of power by up to 20 %")[:1] == count("2x faster") == [("value", None, None, None, None)]
+    assert count("30% of all gates are inverters") == [] == count("G5 drives 2-bit words") == count("a path of 7 levels")
+    assert count("The longest path has 12 logic levels") == [("depth", None, None, None, 12)] and count("the next longest has 12 levels") == []
+    assert count("G5 drives 3 readers") == [("fanout", 5, None, None, 3)] == count("G5 has a fan-out of 3") == count("[G5]'s load is 3") == count("G5 fans out to 3")
+    assert count("n7's fan-out is 4") == [("fanout", None, None, "n7", 4)]
+    assert count("The design consists of about 12 gates") == [("total", None, None, None, 12)] and count("alu/core block holds 12 gates") == [("block", None, None, "alu/core", 12)]
+    assert count("NOR2_X0P5M: 67 instances") == count("67 x NOR2_X0P5M") == count("NOR2_X0P5M is used 67 times") == count("67 copies of NOR2_X0P5M") == [("cell", None, None, "nor2_x0p5m", 67)]
+    assert statements.softened("It will definitely reduce delay and is guaranteed to certainly work.") == "It could reduce delay and could work."
+    assert statements.softened("It will rain") == "It will rain" and statements.hedged("Likely an adder") and not statements.hedged("It remodels")
+
+
+def test_aliases_and_routes(spark):
+    g, e = gates(spark, 3), edges(spark, [(0, 1)])
+    pins = spark.createDataFrame([(1, 0, "Y", "n0", "output"), (1, 1, "A", "n0", "input")], "circuit_id int, gate_id int, pin string, net string, direction string")
+    alias = spark.createDataFrame([(1, "out", "n0")], "circuit_id int, alias string, net string")
+    t = spark.createDataFrame([("a", 1, "G0 drives out. G1 drives out. G2 reads out.")], "text_id string, circuit_id int, text string")
+    assert claims.check_claims(t, g, e, pins, alias).first().text == "G0 drives out."
+    assert claims.check_claims(t, g, e, pins).first().text == "G0 drives out. G1 drives out. G2 reads out."
+    m = spark.createDataFrame([(1, 0, "Is there a path between G1 and gate #7 through alu_1 or n9?"), (1, 1, "Nothing")], "conv_id int, turn int, text string")
+    names = spark.createDataFrame([("block", "alu_1"), ("net", "n8")], "kind string, name string")
+    assert [r.lookup for r in claims.route_messages(m, names).orderBy("rank").collect()] == ["trace_path:1-7", "get_gate:1", "get_gate:7", "get_block:alu_1"]
+
+
+def test_log_records_stand_anywhere(spark):
+    from wireloom.sources.datasets import best_epoch, parse_training_log
+    text = ("TRAIN (Ep avg): loss = 1.5 mic = 0.3 VALIDATION: loss = 2.5 mic = 0.7 Epoch 1 TRAIN (Ep avg):\n loss = 0.5\nVALIDATION:\tloss = 0.25\tmic = 0.75\n Epoch 2 done\n"
+            "VALIDATION: loss = 9.0 mic = 0.9 Epoch 3 TRAIN (Ep avg): loss = 4.0")
+    df = spark.createDataFrame([("x", text), ("x", None), ("y", "no record")], "log_id string, text string")
+    assert sorted(tuple(r) for r in parse_training_log(df).collect()) == [("x", 1, 1.5, 2.5, 0.7), ("x", 2, 0.5, 0.25, 0.75)]
+    assert best_epoch(parse_training_log(df)).first().best_epoch == 2
+
+
 def test_class_weights_average_to_one(spark):
     df = spark.createDataFrame([(0,)] * 6 + [(1,)] * 2, "label int")
     w = {r.label: (r["count"], r.weight) for r in learning.class_weights(df).collect()}

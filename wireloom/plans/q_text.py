@@ -122,18 +122,37 @@ def bound_messages(spark, d):
     return m.select("conv_id", "turn", F.concat("text", tail).alias("text"))
 
 
-def _topic_sql():
-    import re
-    return ", ".join(f"CASE WHEN regexp_matches(text, '{rx.replace(chr(39), chr(39) * 2)}') THEN '{tool}' END" for tool, rx in K.TOPICS)
+#: The words of the topics as rows; the oracle splits messages into words and joins them.
+_TERMS = ", ".join(f"('{tool}', {k}, '{term.rstrip('*')}', {term.endswith('*')})" for k, (tool, terms) in enumerate(K.TOPICS) for term in terms.split(", "))
 
 
-@query("route_messages", f"""SELECT conv_id, turn, unnest(range(1, len(calls) + 1))::INT AS rank, unnest(calls) AS lookup FROM (SELECT conv_id, turn, (list_concat(
-      [x FOR x IN [CASE WHEN turn % 4 = 0 THEN 'get_gate:' || conv_id END, CASE WHEN turn % 4 = 3 THEN 'explain_finding:F' || lpad((conv_id % 50)::VARCHAR, 3, '0') END] IF x IS NOT NULL],
-      [x FOR x IN [{_topic_sql()}] IF x IS NOT NULL]))[1:4] AS calls FROM msg) WHERE len(calls) > 0""", **_MSG)
+def _route_sql(named="[]"):
+    return f"""SELECT conv_id, turn, unnest(range(1, len(calls) + 1))::INT AS rank, unnest(calls) AS lookup FROM (SELECT conv_id, turn, (list_concat(
+      [x FOR x IN [CASE WHEN turn % 4 = 0 THEN 'get_gate:' || conv_id END, CASE WHEN turn % 4 = 3 THEN 'explain_finding:F' || lpad((conv_id % 50)::VARCHAR, 3, '0') END] IF x IS NOT NULL], {named},
+      coalesce(tools, [])))[1:4] AS calls FROM msg LEFT JOIN (SELECT conv_id, turn, list(tool ORDER BY k) AS tools FROM hit GROUP BY 1, 2) USING (conv_id, turn)) WHERE len(calls) > 0"""
+
+
+_ROUTE = {"term": f"SELECT * FROM (VALUES {_TERMS}) v(tool, k, term, prefix)",
+          "word": "SELECT conv_id, turn, string_split(trim(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g')), ' ') AS ws FROM msg",
+          "phrase": """SELECT DISTINCT conv_id, turn, array_to_string(ws[i:i + n], ' ') AS p, n FROM (SELECT conv_id, turn, ws, unnest(range(1, len(ws) + 1)) AS i FROM word), (SELECT unnest([0, 1, 2]) AS n) WHERE i + n <= len(ws)""",
+          "hit": "SELECT DISTINCT conv_id, turn, tool, k FROM phrase JOIN term ON CASE WHEN prefix THEN n = 0 AND starts_with(p, term) ELSE p = term END", **_MSG}
+
+
+@query("route_messages", _route_sql(), **_ROUTE)
 def _(spark, d):
     return K.route_messages(bound_messages(spark, d))
 
 
+@query("route_named", _route_sql("list_sort([x FOR x IN [CASE WHEN conv_id % 250 IN (SELECT substr(net, 2)::INT FROM nets WHERE net LIKE 'n%') THEN 'get_net:n' || (conv_id % 250) END, CASE WHEN turn % 25 IN (SELECT substr(bus, 2)::INT FROM bus_bits) THEN 'get_bus:b' || (turn % 25) END] IF x IS NOT NULL])"),
+       **{**_ROUTE, "msg": f"SELECT conv_id, turn, text || ' Check n' || (conv_id % 250) || ' and b' || (turn % 25) || '.' AS text FROM ({_MSG['msg']})"})
+def _(spark, d):
+    """Messages that also name a net and a bus; names of no table are not looked up."""
+    t = B.tables(spark, d)
+    names = t.nets.select(Q("net").alias("kind"), F.col("net").alias("name")).union(t.bus_bits.select(Q("bus"), "bus")).union(t.gates.select(Q("block"), "block")).distinct()
+    m = bound_messages(spark, d)
+    return K.route_messages(m.withColumn("text", F.concat("text", Q(" Check n"), (F.col("conv_id") % 250).cast("string"), Q(" and b"), (F.col("turn") % 25).cast("string"), Q("."))), materialise(names, "names"))
+
+
 @query("carry_subject", r"""SELECT conv_id, turn, coalesce(CASE WHEN e IS NULL AND NOT regexp_matches(text, '(?i)\b(this|that|these|those|it|its|they|them|their|same|above|previous|selected)\b') THEN '' ELSE
     last_value(e IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) END, '') AS subject FROM (
     SELECT *, CASE turn % 4 WHEN 0 THEN 'gate:' || conv_id WHEN 3 THEN 'finding:F' || lpad((conv_id % 50)::VARCHAR, 3, '0') END AS e FROM msg)""", **_MSG)
