@@ -68,15 +68,25 @@ class Store:
         """Delete parts that no later plan reads."""
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()
-        for path in self.parts[:-keep_last]:
+        last = len(self.parts) - keep_last
+        for path in self.parts[:last]:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
-        self.parts = self.parts[-keep_last:]
+        self.parts = self.parts[last:]
 
 
 def materialise(df: DataFrame, tag: str = "table") -> DataFrame:
     """Write `df` to the shared folder and continue from the files."""
-    return Store(df.sparkSession, tag).append(df)
+    store = Store(df.sparkSession, tag)
+    out = store.append(df)
+    out._written = store  # for `release`
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of tables that `materialise` wrote. Only for those that no plan that is still to run reads."""
+    for df in frames:
+        df._written.forget(keep_last=0)
 
 
 # ------------------------------------------------------------------ loops over frames
