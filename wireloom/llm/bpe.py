@@ -78,13 +78,13 @@ class Recent:
     def __init__(self, size: int):
         self.size, self.young, self.old = size, {}, {}
 
-    def get(self, key: str) -> bytes | None:
+    def get(self, key: str):
         value = self.young.get(key)
         if value is None and (value := self.old.get(key)) is not None:
             self.put(key, value)
         return value
 
-    def put(self, key: str, value: bytes) -> None:
+    def put(self, key: str, value) -> None:
         if len(self.young) >= self.size:
             self.old, self.young = self.young, {}
         self.young[key] = value
@@ -154,22 +154,30 @@ class Codec:
             return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._plain(p) if p else b"" for p in parts)
         return self._plain(chunk)
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text, as little-endian unsigned 32-bit integers. Neither a piece nor a special token holds a space,
-        and no normalisation reaches across one, so the ids are those of the chunks between spaces; chunks seen lately
-        are looked up."""
-        young, out = self.chunks.young, []
+    def encode_decode(self, text: str) -> tuple[bytes, str]:
+        """Ids of a text, as little-endian unsigned 32-bit integers, and the text that they decode to. Neither a piece nor
+        a special token holds a space, and no normalisation reaches across one, so the ids are those of the chunks
+        between spaces, and the decoded text is theirs with spaces in between; chunks seen lately are looked up."""
+        young, ids, words = self.chunks.young, [], []
         for chunk in text.replace("\n", " ").split(" "):
+            if not chunk:
+                continue
             got = young.get(chunk)
             if got is None:
-                got = self.chunks.get(chunk) if chunk else b""
+                got = self.chunks.get(chunk)
                 if got is None:
-                    got = self._chunk(chunk)
+                    own = self._chunk(chunk)
+                    got = own, self.decode(own)
                     if len(chunk) <= 48:
                         self.chunks.put(chunk, got)
                 young = self.chunks.young
-            out.append(got)
-        return b"".join(out)
+            if got[0]:
+                ids.append(got[0])
+                words.append(got[1])
+        return b"".join(ids), " ".join(words)
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_decode(text)[0]
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by spaces: the file names no decoder, so byte symbols and suffixes stay as they are."""
@@ -198,10 +206,10 @@ def encode(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches):
         own = codec(path)
         for b in pieces(batches, 64):
-            ids = [own.encode(t) if t else b"" for t in b["text"].to_pylist()]
+            done = [own.encode_decode(t or "") for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
-                 pa.array([own.decode(x) for x in ids], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+                [b["doc_id"], pa.array([len(x) // 4 for x, _ in done], pa.int64()), pa.array([x for x, _ in done], pa.binary()),
+                 pa.array([y for _, y in done], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
