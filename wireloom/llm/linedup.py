@@ -14,11 +14,14 @@ form classes (connected components); of a class one line stays, at its first pla
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wireloom.llm.common import written
 from wireloom.operators.graph import components
+from wireloom.operators.scale import release
 
 #: Letters whose counts make up the signature of a line, a byte each.
 COUNTED = "etanisro"
@@ -122,7 +125,9 @@ def _differing(pairs: DataFrame, edits: int) -> DataFrame:
         side = F.reverse if turned else (lambda c: c)
         cut = pairs.withColumn("_n", _common(side("la"), side("lb"), edits) if turned else _common(F.col("la"), F.col("lb"), edits))
         keep = (lambda c: F.substring(c, F.lit(1), F.length(c) - F.col("_n"))) if turned else (lambda c: F.substring(c, F.col("_n") + 1, F.length(c)))
-        pairs = written(cut.select("a", "b", keep("la").alias("la"), keep("lb").alias("lb")), "differing")
+        before, pairs = pairs, written(cut.select("a", "b", keep("la").alias("la"), keep("lb").alias("lb")), "differing")
+        if turned:
+            release(before)
     return pairs
 
 
@@ -142,7 +147,7 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     spread = lambda text, length, before, own, longer: F.explode(_keys(F.col(text), F.col(length), edits, before, own, longer)).alias("k")
     columns = ("lid", "sig", "k.key", "k.d", "k.own", "k.at", "k.width")
     keys = written(lines.select("lid", "sig", spread("line", "len", F.lit(0).cast("long"), F.lit(True), None)).select(*columns), "keys")
-    found = None
+    found = []
     for level in range(DEPTH):
         index = keys.filter("own").select("key", F.col("lid").alias("a"), F.col("sig").alias("sa"))
         hot = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key"), "hot-keys")
@@ -151,16 +156,22 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
         probe = keys.select("key", "d", F.col("lid").alias("b"), F.col("sig").alias("sb"))
         close = ((F.col("d") > 0) | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b")) & (_apart(F.col("sa"), F.col("sb")) <= 2 * edits)
         new = written(cold.join(probe, (cold["key"] == probe["key"]) & close).select("a", "b").distinct(), "candidates")
-        found = new if found is None else found.unionByName(new)
+        found.append(new)
         if not more:
+            release(keys, hot)
             break
         rest = keys.join(hot, "key")
         if level == 0:
             rest = rest.join(_few(lines.select("lid", F.col("line").alias("rest")), rest.select("lid").distinct()), "lid")
         cut = F.concat(F.substring("rest", F.lit(1), F.col("at") - 1), F.substring("rest", F.col("at") + F.col("width"), F.length("rest")))
         rest = rest.select("lid", "sig", "d", "own", "key", cut.alias("rest")).withColumn("len", F.length("rest"))
-        keys = written(rest.select("lid", "sig", "rest", spread("rest", "len", F.col("key"), F.col("own"), F.col("d"))).select("rest", *columns), "keys")
-    return found.distinct()
+        before, keys = keys, written(rest.select("lid", "sig", "rest", spread("rest", "len", F.col("key"), F.col("own"), F.col("d"))).select("rest", *columns), "keys")
+        release(before, hot)
+    if len(found) == 1:
+        return found[0]
+    out = written(reduce(DataFrame.unionByName, found).distinct(), "candidates")
+    release(*found)
+    return out
 
 
 def _few(rows: DataFrame, lids: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -172,13 +183,17 @@ def _few(rows: DataFrame, lids: DataFrame, most: int = 1_000_000) -> DataFrame:
 def similar_lines(lines: DataFrame, edits: int) -> DataFrame:
     """(a, b): line ids of `lines` (lid, line), distinct lines longer than `edits`, within `edits` edits."""
     lines = lines if "sig" in lines.columns else lines.withColumns({"sig": _signature(F.col("line")), "len": F.length("line")})
-    candidates = written(_candidates(lines, edits), "candidates")
+    candidates = _candidates(lines, edits)
     texts = written(_few(lines.select("lid", "line"), candidates.select(F.col("a").alias("lid")).union(candidates.select("b")).distinct()), "candidate-lines")
     pairs = (candidates.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
              .join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b"))
     shorter = F.length("la") <= F.length("lb")
     pairs = pairs.select("a", "b", F.when(shorter, F.col("la")).otherwise(F.col("lb")).alias("la"), F.when(shorter, F.col("lb")).otherwise(F.col("la")).alias("lb"))
-    return _differing(pairs, edits).filter(banded_distance(F.col("la"), F.col("lb"), edits) <= edits).select("a", "b")
+    differing = _differing(pairs, edits)
+    release(candidates, texts)
+    links = written(differing.filter(banded_distance(F.col("la"), F.col("lb"), edits) <= edits).select("a", "b"), "links")
+    release(differing)
+    return links
 
 
 def _split_rows(documents: DataFrame) -> DataFrame:
@@ -193,7 +208,7 @@ def line_rules(documents: DataFrame, edits: int, least_chars: int) -> DataFrame:
     each = _split_rows(documents).select("doc_id", F.explode("lines").alias("line")).filter(F.length("line") >= least_chars)
     lines = each.groupBy("line").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).withColumns({"lid": F.monotonically_increasing_id(), "sig": _signature(F.col("line")), "len": F.length("line")})
     lines = written(lines, "lines")
-    links = written(similar_lines(lines, edits), "links")
+    links = similar_lines(lines, edits)
     ends = links.select(F.col("a").alias("lid")).union(links.select("b"))
     degrees = ends.groupBy("lid").agg(F.count(F.lit(1)).alias("links"))
     classes = components(links.select(F.lit(0).alias("circuit_id"), F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("vertex").alias("lid"), F.col("component").alias("class"))
@@ -203,8 +218,10 @@ def line_rules(documents: DataFrame, edits: int, least_chars: int) -> DataFrame:
     hashed = lines.select("lid", "first_doc", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
     out = hashed.join(named, "lid", "left").filter("n > 1 or links > 0")
     keeps = F.coalesce("keeps", F.lit(True))
-    return written(out.select("h1", "h2", F.when(keeps, F.col("first_doc")).alias("keep_doc"),
-                              keeps.alias("keeps"), F.coalesce("links", F.lit(0)).cast("long").alias("links")), "rules")
+    rules = written(out.select("h1", "h2", F.when(keeps, F.col("first_doc")).alias("keep_doc"),
+                               keeps.alias("keeps"), F.coalesce("links", F.lit(0)).cast("long").alias("links")), "rules")
+    release(lines, links, linked)
+    return rules
 
 
 def removals(documents: DataFrame, edits: int = 1, least_chars: int = 16) -> DataFrame:
