@@ -318,3 +318,58 @@ def _(spark, d):
     q.awaitTermination()
     r = spark.read.parquet(f"{base}/out")
     return r.select("session_id", stamp("started"), stamp("last_used"), "turns")
+
+
+@query("streamed_last_turns", """SELECT session_id, turn_id, turns, age FROM (SELECT session_id, event_id AS turn_id, count(*) OVER w AS turns, max(epoch_us(ts)) OVER w AS last,
+    (row_number() OVER (PARTITION BY session_id, ses.started ORDER BY ts DESC, event_id DESC))::INT AS age FROM ses WINDOW w AS (PARTITION BY session_id, ses.started))
+    WHERE age <= 20 AND last + 3600000000 <= (SELECT max(epoch_us(ts)) FROM events) - 600000000""", **_SES)
+def _(spark, d):
+    """The events as a stream in several batches: the kept turns of every session that the watermark has closed."""
+    import uuid
+    from wireloom.operators.scale import shared_dir
+    base = f"{shared_dir(spark)}/wireloom/turns-{uuid.uuid4().hex[:12]}"
+    bound_turns(spark, d).repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(bound_turns(spark, d).schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    q = (ST.stream_last_turns(stream).writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("session_id", "turn_id", "turns", "age")
+
+
+#: An uploaded text has one net for each pin, the first in order.
+_INTAKE = {"pin1": "SELECT circuit_id, gate_id, pin, direction, min(net) AS net FROM pins SEMI JOIN gates USING (circuit_id, gate_id) GROUP BY 1, 2, 3, 4",
+           "floating": """SELECT circuit_id, 'floating_net' AS "check", net AS subject, count(*) AS members FROM pin1 WHERE net <> '1''b0' GROUP BY 1, 3 HAVING count(*) FILTER (direction = 'output') = 0""",
+           "multi": """SELECT circuit_id, 'multi_driver' AS "check", net AS subject, count(*) FILTER (direction = 'output') AS members FROM pin1 GROUP BY 1, 3
+               HAVING count(*) FILTER (direction = 'output') + (net = '1''b0')::INT > 1 AND count(*) FILTER (direction = 'output') > 0"""}
+
+
+@query("intake_findings", """SELECT 'c' || circuit_id AS circuit_id, "check", subject, members, CASE WHEN circuit_id % 7 = 0 THEN 'known_' || circuit_id ELSE '' END AS known_as FROM (SELECT * FROM floating UNION ALL SELECT * FROM multi)""", **_INTAKE)
+def _(spark, d):
+    """Every circuit as an uploaded text, then all of them again with other line ends, in a stream of several batches that
+    are each handled twice: the findings are those of every text once."""
+    import uuid
+    from wireloom.operators import checks
+    from wireloom.operators.scale import shared_dir
+    from wireloom.streaming import intake
+    base = f"{shared_dir(spark)}/wireloom/intake-{uuid.uuid4().hex[:12]}"
+    t = B.tables(spark, d)
+    pin = t.pins.groupBy(*KEYS, "pin").agg(F.min("net").alias("net")).select(*KEYS, s(".", F.col("pin"), "(", F.col("net"), ")").alias("port"))
+    gate = pin.join(t.gates.select(*KEYS, "cell", "inst"), KEYS).groupBy(*KEYS, "cell", "inst").agg(F.array_join(F.sort_array(F.collect_list("port")), ",\n  ").alias("ports"))
+    text = s(F.col("cell"), " ", F.col("inst"), " (", F.col("ports"), ");")
+    lines = gate.select(C, "gate_id", text.alias("text")).groupBy(C).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("gate_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    first = materialise(lines.select(s("c", F.col(C).cast("string")).alias("name"), "text", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("arrived"), (F.col(C) % 7 == 0).alias("known")), "uploads")
+    again = first.select(s("again_", F.col("name")).alias("name"), s(F.regexp_replace("text", "\n", " \r\n"), "\n").alias("text"), (F.col("arrived") + F.expr("interval 1 hour")).alias("arrived"))
+    upload = lambda df: df.withColumnRenamed("name", C).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    upload(first.drop("known"))
+    upload(again)
+    known = D.fingerprint(first.filter("known")).select("fingerprint", s("known_", F.substring("name", 2, 20)).alias("name"))
+    sink = intake.checking_sink(f"{base}/out", run=(checks.check_floating_net, checks.check_multi_driver))
+
+    def twice(df, batch_id):
+        for _ in range(2):
+            sink(df, batch_id)
+
+    stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    intake.run_intake(stream, known, twice, f"{base}/state").awaitTermination()
+    r = spark.read.parquet(f"{base}/out")
+    return r.groupBy(C, "check", "subject", F.coalesce("known_as", F.lit("")).alias("known_as")).agg(F.count(F.lit(1)).alias("members"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from wireloom.operators.scale import carry_forward, top_k
 
@@ -44,3 +45,87 @@ def stream_sessions(stream: DataFrame, ttl: int = TTL, late: str = "10 minutes")
     w = F.session_window("ts", f"{ttl} seconds")
     return (stream.withWatermark("ts", late).groupBy("session_id", w).agg(F.count(F.lit(1)).alias("turns"), F.max("ts").alias("last_used"))
             .select("session_id", F.col("session_window.start").alias("started"), "last_used", "turns"))
+
+
+# ------------------------------------------------------------------ last turns of live sessions
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_KEPT = "session_id {kind}, started long, last_used long, turns long, turn_id long, ts long, age int"
+
+
+class _Episodes(StatefulProcessor):
+    """Open episodes of one session, each with its newest turns. Times are microseconds.
+
+    A turn joins every episode that it is less than `ttl` away from, so episodes that it bridges become one. An episode
+    ends with the timer at its last turn plus `ttl`, which the watermark fires; only then are its turns put out.
+    """
+
+    def __init__(self, ttl: int, last_n: int):
+        self.gap, self.last_n = ttl * 1_000_000, last_n
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("episodes", "started long, last_used long, turns long, ts array<long>, ids array<long>")
+
+    def _merged(self, episodes: list[tuple]) -> list[tuple]:
+        out: list[tuple] = []
+        for started, last, n, kept in sorted(episodes):
+            if out and started - out[-1][1] < self.gap:
+                a = out[-1]
+                out[-1] = (a[0], max(a[1], last), a[2] + n, sorted(a[3] + kept)[-self.last_n:])
+            else:
+                out.append((started, last, n, kept))
+        return out
+
+    def _stored(self) -> list[tuple]:
+        return [(int(s), int(e), int(n), [(int(t), int(i)) for t, i in zip(ts, ids, strict=True)]) for s, e, n, ts, ids in self.open.get()]
+
+    def _store(self, episodes: list[tuple]) -> None:
+        if episodes:
+            self.open.put([(s, e, n, [t for t, _ in kept], [i for _, i in kept]) for s, e, n, kept in episodes])
+            for e in episodes:
+                self.handle.registerTimer(-(-(e[1] + self.gap) // 1000))
+        else:
+            self.open.clear()
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        episodes = self._stored()
+        for df in rows:  # a busy session comes in pieces, and each is cut down to its newest turns before the next
+            new = [(int(t), int(t), 1, [(int(t), int(i))]) for t, i in zip(df["us"], df["turn_id"], strict=True)]
+            episodes = self._merged(episodes + new)
+        self._store(episodes)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        now, done, left = timerValues.getCurrentWatermarkInMs(), [], []
+        for e in self._stored():
+            (done if -(-(e[1] + self.gap) // 1000) <= now else left).append(e)
+        if left:
+            self.open.put([(s, e, n, [t for t, _ in kept], [i for _, i in kept]) for s, e, n, kept in left])
+        else:
+            self.open.clear()
+        yield pd.DataFrame([(key[0], s, last, n, i, t, age) for s, last, n, kept in done for age, (t, i) in enumerate(reversed(kept), 1)],
+                           columns=["session_id", "started", "last_used", "turns", "turn_id", "ts", "age"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_last_turns(stream: DataFrame, ttl: int = TTL, last_n: int = LAST_N, late: str = "10 minutes") -> DataFrame:
+    """(session_id, started, last_used, turns, turn_id, ts, age): the newest `last_n` turns of every closed session, newest
+    first (ties: the larger turn id), as `sessions` and `last_turns` give them for a table.
+
+    State is one row per open episode with at most `last_n` turns, whatever the session's length. Turns behind the
+    watermark are dropped, idle sessions end `ttl` seconds after their last turn. The state store has to hold lists and
+    timers, so the session is set to one that does.
+    """
+    stream.sparkSession.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = stream.schema["session_id"].dataType.simpleString()
+    out = (stream.withWatermark("ts", late).select("session_id", "ts", F.unix_micros("ts").alias("us"), "turn_id").groupBy("session_id")
+           .transformWithStateInPandas(_Episodes(ttl, last_n), _KEPT.format(kind=kind), "append", "eventTime"))
+    return out.select("session_id", *[F.timestamp_micros(c).alias(c) for c in ("started", "last_used")], "turns", "turn_id", F.timestamp_micros("ts").alias("ts"), "age")
