@@ -17,9 +17,9 @@ KEYS = [C, "gate_id"]
 # ------------------------------------------------------------------ buses
 BUS_SQL = {
     "driven": """SELECT * FROM bus_bits b WHERE EXISTS (SELECT 1 FROM pins p WHERE p.circuit_id = b.circuit_id AND p.net = b.net AND p.direction = 'output')""",
-    "prof": """SELECT DISTINCT t.circuit_id, t.bus, t.significance, o.bus AS operand, o.significance AS osig FROM bus_bits t JOIN pins p USING (circuit_id, net)
-        JOIN support s ON s.circuit_id = p.circuit_id AND s.gate_id = p.gate_id JOIN bus_bits o ON o.circuit_id = s.circuit_id AND o.net = s.source
-        WHERE t.kind <> 'input' AND p.direction = 'output' AND o.bus <> t.bus""",
+    "bitgate": "SELECT t.circuit_id, t.bus, t.significance, p.gate_id FROM bus_bits t JOIN pins p USING (circuit_id, net) WHERE t.kind <> 'input' AND p.direction = 'output'",
+    "gatebit": "SELECT s.circuit_id, s.gate_id, o.bus AS operand, o.significance AS osig FROM support s JOIN bus_bits o ON o.circuit_id = s.circuit_id AND o.net = s.source",
+    "prof": "SELECT DISTINCT circuit_id, bus, significance, operand, osig FROM bitgate JOIN gatebit USING (circuit_id, gate_id) WHERE operand <> bus",
     "live": "SELECT b.* FROM bus_bits b JOIN nets n USING (circuit_id, net) WHERE n_drivers > 0",
     "osz": "SELECT circuit_id, bus AS operand, count(*) AS w, max(significance) AS top FROM live GROUP BY 1, 2",
     "bits": """SELECT p.circuit_id, p.bus, p.operand, p.significance, any_value(w) AS w, any_value(top) AS top, count(*) AS n, max(p.osig) AS hi, min(p.osig) AS lo,
@@ -116,15 +116,14 @@ FEED_SQL = {
         WHERE d.direction = 'output' AND r.direction = 'input' AND d.gate_id <> r.gate_id AND NOT EXISTS (SELECT 1 FROM isrc s WHERE s.circuit_id = d.circuit_id AND s.net = d.net)""",
     "fsup": """SELECT * FROM (WITH RECURSIVE s AS (SELECT DISTINCT p.circuit_id, p.net AS source, p.gate_id FROM pins p JOIN isrc USING (circuit_id, net) WHERE direction = 'input'
         UNION SELECT s.circuit_id, s.source, e.dst FROM s JOIN fedge e ON e.circuit_id = s.circuit_id AND e.src = s.gate_id) SELECT * FROM s)""",
-    "fprof": """SELECT DISTINCT t.circuit_id, t.bus, t.significance, o.bus AS operand, o.significance AS osig FROM bus_bits t JOIN pins p USING (circuit_id, net)
-        JOIN fsup s ON s.circuit_id = p.circuit_id AND s.gate_id = p.gate_id JOIN bus_bits o ON o.circuit_id = s.circuit_id AND o.net = s.source
-        WHERE t.kind <> 'input' AND p.direction = 'output' AND o.bus <> t.bus""",
+    "fgatebit": "SELECT s.circuit_id, s.gate_id, o.bus AS operand, o.significance AS osig FROM fsup s JOIN bus_bits o ON o.circuit_id = s.circuit_id AND o.net = s.source",
+    "fprof": "SELECT DISTINCT circuit_id, bus, significance, operand, osig FROM bitgate JOIN fgatebit USING (circuit_id, gate_id) WHERE operand <> bus",
     "fbits": BUS_SQL["bits"].replace("FROM prof p", "FROM fprof p"), "feed": BUS_SQL["pattern"].replace("FROM bits", "FROM fbits")}
 SIG_SQL = {
-    "inv": """SELECT c.circuit_id, c.root AS bus, o.bus AS operand, round(count(DISTINCT p.net) / any_value(z.w), 2) AS inverted FROM cone c JOIN gates g USING (circuit_id, gate_id)
-        JOIN pins p USING (circuit_id, gate_id) JOIN bus_bits o ON o.circuit_id = p.circuit_id AND o.net = p.net
-        JOIN (SELECT circuit_id, bus, count(*) AS w FROM bus_bits GROUP BY 1, 2) z ON z.circuit_id = o.circuit_id AND z.bus = o.bus
-        WHERE g.family = 'INV' AND p.direction = 'input' AND o.kind = 'input' GROUP BY 1, 2, 3""",
+    "invread": """SELECT DISTINCT p.circuit_id, p.gate_id, o.bus AS operand, p.net FROM pins p JOIN gates g USING (circuit_id, gate_id) JOIN bus_bits o ON o.circuit_id = p.circuit_id AND o.net = p.net
+        WHERE g.family = 'INV' AND p.direction = 'input' AND o.kind = 'input'""",
+    "inv": """SELECT c.circuit_id, c.root AS bus, operand, round(count(DISTINCT net) / any_value(w), 2) AS inverted FROM cone c JOIN invread r USING (circuit_id, gate_id)
+        JOIN (SELECT circuit_id, bus AS operand, count(*) AS w FROM bus_bits GROUP BY 1, 2) z USING (circuit_id, operand) GROUP BY 1, 2, 3""",
     "feeds": """SELECT circuit_id, bus, count(*) FILTER (pattern = 'bitwise') AS bf, count(*) FILTER (pattern = 'triangular') AS tf, max(operand_width) FILTER (pattern = 'triangular') AS fw FROM feed GROUP BY 1, 2""",
     "ops": """SELECT circuit_id, bus, any_value(dw) AS dw, count(*) FILTER (pattern = 'triangular') AS tri, count(*) FILTER (pattern = 'full') AS fu, max(operand_width) FILTER (pattern = 'triangular') AS tw,
         max(bits) FILTER (pattern = 'triangular') AS tb, max(inverted) FILTER (pattern = 'triangular' AND k = 1) AS i1, max(inverted) FILTER (pattern = 'triangular' AND k = 2) AS i2 FROM (
