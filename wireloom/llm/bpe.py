@@ -105,7 +105,7 @@ def byte_symbols() -> list[str]:
 class Codec:
     """Encoder and decoder of one vocabulary file of the tokenizers library (BPE with an end-of-word suffix)."""
 
-    def __init__(self, path: str, cached: int = 150_000):
+    def __init__(self, path: str, cached: int = 400_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
