@@ -373,3 +373,20 @@ def _(spark, d):
     intake.run_intake(stream, known, twice, f"{base}/state").awaitTermination()
     r = spark.read.parquet(f"{base}/out")
     return r.groupBy(C, "check", "subject", F.coalesce("known_as", F.lit("")).alias("known_as")).agg(F.count(F.lit(1)).alias("members"))
+
+
+# ------------------------------------------------------------------ functions in plain SQL
+@query("sql_cell_functions", "SELECT circuit_id, gate_id, family, drive, hier_prefix, block, family = 'DFFQ' AS sequential FROM gates")
+def _(spark, d):
+    """Names taken apart by the functions that `register_operators` adds to the session."""
+    from wireloom.functions.register import register_operators
+    register_operators(spark)
+    return spark.sql("""SELECT circuit_id, gate_id, cell_base(cell) AS family, drive_strength(cell) AS drive, hier_prefix(inst) AS hier_prefix, block_of(hier_prefix(inst)) AS block,
+                        is_sequential(cell) AS sequential FROM {gates}""", gates=B.bound_gates(spark, d))
+
+
+@query("sql_references", "SELECT text_id, r[1] AS kind, r[2] AS key FROM (SELECT text_id, unnest(refs) AS r FROM rtext)", **_REFS)
+def _(spark, d):
+    from wireloom.functions.register import register_operators
+    register_operators(spark)
+    return spark.sql("SELECT text_id, kind, key FROM {texts}, LATERAL extract_references(text)", texts=gate_texts(B.tables(spark, d), *ref_text()))
