@@ -6,7 +6,8 @@ from tests.oracle import compare, duck
 from wireloom.plans.catalog import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-SOME = ("gate_edges", "net_table", "check_floating_net", "cell_library", "levels", "scores", "block_summary", "cones", "carry_subject", "sessions")
+SOME = ("gate_edges", "net_table", "check_floating_net", "cell_library", "levels", "scores", "block_summary", "cones", "carry_subject", "sessions",
+        "repair_links", "link_consequences", "streamed_last_turns", "route_named", "sql_cell_functions")
 
 
 @pytest.fixture(scope="module")
