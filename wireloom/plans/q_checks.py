@@ -17,7 +17,7 @@ CHECK_SQL = {
         FROM pins JOIN nets USING (circuit_id, net) WHERE n_drivers = 0 AND direction = 'input'""",
     "m_multi_driver": """SELECT circuit_id, 'multi_driver' AS "check", 'error' AS severity, net AS subject, gate_id, pin, net
         FROM pins JOIN nets USING (circuit_id, net) WHERE n_drivers > 1 AND direction = 'output'""",
-    "m_dangling_output": f"""SELECT circuit_id, CASE WHEN pin = 'CO' AND family = 'ADDF' THEN 'carry_out_unread' ELSE 'dangling_output' END AS "check",
+    "m_dangling_output": f"""SELECT circuit_id, CASE WHEN pin = 'CO' AND family IN ('ADDF', 'ADDH') THEN 'carry_out_unread' ELSE 'dangling_output' END AS "check",
         'warning' AS severity, {_GP} || '=' || net AS subject, gate_id, pin, net
         FROM pins JOIN nets USING (circuit_id, net) JOIN gates USING (circuit_id, gate_id)
         WHERE n_readers = 0 AND direction = 'output'""",
