@@ -145,6 +145,35 @@ def test_faults_are_found(spark, kind, check):
         assert any(s.startswith(f"pin.{site.gate_id}.{site.pin}") and (g, p) == (site.from_gate, site.from_pin) for s, g, p in fixes)
 
 
+def test_fault_corpus_holds_every_kind_and_seed_as_a_mutant(spark):
+    from wireloom.operators import checks
+    t = adder(spark)
+    mutants, truth = faults.fault_corpus(t, (1, 2))
+    kinds = {r.fault for r in faults.all_sites(t).select("fault").distinct().collect()}
+    assert {(r.fault, r.seed) for r in truth.collect()} == {(k, s) for k in kinds for s in (1, 2)}
+    pins = {r.circuit_id: r.n for r in mutants.pins.groupBy("circuit_id").agg(F.count("*").alias("n")).collect()}
+    n = t.pins.count()
+    for r in truth.collect():
+        assert r.circuit_id == f"{r.base}:{r.fault}:{r.seed}"
+        assert pins[r.circuit_id] == n - (r.expected_check == "missing_pin")
+    members = checks.run_checks(mutants, (*checks.ELECTRICAL, checks.check_bit_patterns))
+    sinks, sources = repair.broken_ends(mutants)
+    edges = faults.suggested_edges(repair.best_sources(sinks, sources, 2))
+    m = {r.fault: r for r in faults.detection_matrix(members, truth, edges).collect()}
+    assert {k: (r.faults, r.recall) for k, r in m.items()} == {k: (2, 1.0) for k in kinds}
+    assert {"drop_pin", "float_net", "cut_carry", "disconnect_po", "miswire_bits"} <= kinds
+    assert all(m[k].ranked_first == 1.0 for k in ("drop_pin", "float_net", "cut_carry"))
+
+
+def test_weighted_draws_lose_none_and_follow_the_weights(spark):
+    items = spark.createDataFrame([(i, 300.0 if i == 7 else 1.0 if i % 2 else 0.0) for i in range(200)], "id int, w double")
+    draws = spark.range(4000).select(F.col("id").alias("k"))
+    got_ = sampling.weighted_draws(items, "w", ["id"], draws, 5, piece_rows=16).groupBy("id").agg(F.count("*").alias("n")).collect()
+    n = {r.id: r.n for r in got_}
+    assert sum(n.values()) == 4000 and all(i % 2 for i in n)
+    assert abs(n[7] / 4000 - 300 / 399) < 0.05
+
+
 def _score(k, s):
     if s["kind"] == "gate" and k["gate_id"] == s["gate_id"]:
         return None

@@ -58,14 +58,22 @@ def edge_weights(edges: DataFrame) -> DataFrame:
     return sym.filter("src < dst").join(d("src", "_a"), [C, "src"]).join(d("dst", "_b"), [C, "dst"]).select(C, "src", "dst", (1.0 / F.col("_a") + 1.0 / F.col("_b")).alias("w"))
 
 
-def weighted_draws(items: DataFrame, weight: str, key: list[str], draws: DataFrame, seed: int, buckets: int = 4096) -> DataFrame:
-    """Draw items with probability proportional to `weight`: running weights and a bucketed range join."""
+def weighted_draws(items: DataFrame, weight: str, key: list[str], draws: DataFrame, seed: int, piece_rows: int = 65_536) -> DataFrame:
+    """Draw items with probability proportional to `weight`: every row of `draws` meets one item.
+
+    Items stand one after the other in the order of a hash. Running weights are summed in pieces of about `piece_rows`
+    rows, however many there are. The line is then cut into as many bins as there are items, so a bin holds about one
+    item and an item of large weight spans several bins: draws and items are joined by bin, in linear work.
+    """
     h = F.xxhash64(*key)
-    x = items.withColumn("_h", h).withColumn("_piece", F.shiftrightunsigned("_h", 54))
-    x = running_total(materialise(x, "weights"), [], "_piece", [F.col("_h"), *[F.col(k) for k in key]], {"_hi": F.col(weight)})
+    x = materialise(items.withColumn("_h", h), "weights")
+    n = x.count()
+    bits = max(n // piece_rows, 1).bit_length()
+    x = x.withColumn("_piece", F.shiftrightunsigned("_h", 64 - bits))
+    x = running_total(x, [], "_piece", [F.col("_h"), *[F.col(k) for k in key]], {"_hi": F.col(weight)})
     x = materialise(x.withColumn("_lo", F.col("_hi") - F.col(weight)).drop("_h", "_piece"), "cumulative")
     total = x.agg(F.max("_hi")).first()[0] or 0.0
-    width = max(total / buckets, 1e-300)
+    width = max(total / max(n, 1), 1e-300)
     x = x.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
     d = draws.withColumn("_x", uniform(seed, *draws.columns) * F.lit(total)).withColumn("_b", F.floor(F.col("_x") / width))
     return d.join(x, "_b").filter("_x >= _lo and _x < _hi").drop("_x", "_b", "_lo", "_hi")

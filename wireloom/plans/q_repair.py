@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from wireloom.operators import checks, evaluation, faults, learning, repair, sampling
+from wireloom.operators import checks, evaluation, faults, graph, learning, repair, sampling
 from wireloom.operators.scale import materialise
 from wireloom.plans import bindings as B
 from wireloom.plans.q_checks import CHECK_SQL
@@ -203,6 +203,22 @@ for _name, _fn in (("sampled_walks", lambda t, tr: sampling.sample_rw(t.edges, t
     query(_name)(_run)
 
 
+@query("weighted_draws", """SELECT sample_id, 1000 AS draws, 1000 AS on_edges, true AS near_share FROM (SELECT unnest(range(4))::INT AS sample_id) WHERE EXISTS (FROM edges)""")
+def _(spark, d):
+    """Every draw meets one edge, and edges with weights over the mean get their share of all draws (to a tenth)."""
+    t = B.tables(spark, d)
+    w = materialise(sampling.edge_weights(t.edges), "edge-weights")
+    got = materialise(sampling.weighted_draws(w, "w", [C, "src", "dst"], sampling._draws(spark, 4, 1000), 3), "draws")
+    mean = w.agg(F.avg("w").alias("_mean"))
+    heavy = F.col("w") > F.col("_mean")
+    want = w.join(F.broadcast(mean)).agg((F.sum(F.when(heavy, F.col("w"))) / F.sum("w")).alias("_want"))  # one row each
+    have = got.join(F.broadcast(mean)).agg(F.avg(heavy.cast("double")).alias("_have"))
+    near = have.join(F.broadcast(want)).select((F.abs(F.col("_have") - F.col("_want")) <= 0.1).alias("near_share"))
+    real = got.join(graph.symmetric(t.edges), [C, "src", "dst"], "left_semi").groupBy("sample_id").agg(F.count(F.lit(1)).alias("on_edges"))
+    n = got.groupBy("sample_id").agg(F.countDistinct("k").alias("draws"))
+    return n.join(real, "sample_id").join(F.broadcast(near)).select("sample_id", F.col("draws").cast("int").alias("draws"), F.col("on_edges").cast("int").alias("on_edges"), "near_share")
+
+
 # ------------------------------------------------------------------ learning
 @query("class_weights", """SELECT label, n AS count, round(w / (sum(w * n) OVER () / sum(n) OVER ()), 6) AS weight FROM (SELECT label, count(*) AS n, sum(count(*)) OVER () / count(*) AS w FROM gates GROUP BY 1)""")
 def _(spark, d):
