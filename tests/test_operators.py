@@ -165,6 +165,17 @@ def test_fault_corpus_holds_every_kind_and_seed_as_a_mutant(spark):
     assert all(m[k].ranked_first == 1.0 for k in ("drop_pin", "float_net", "cut_carry"))
 
 
+def test_links_stay_single_where_a_gate_is_listed_twice(spark):
+    """Blocks with more than 15 slices share gate ids with the next block; that adds no sites."""
+    from dataclasses import replace
+    t = adder(spark)
+    twice = replace(t, gates=t.gates.union(t.gates.filter("gate_id in (3, 4)")))
+    key = ("gate_id", "pin", "net", "from_gate", "from_pin")
+    for kind in ("drop_pin", "cut_carry"):
+        sites = got(faults.fault_sites(t, kind), *key)
+        assert sites and got(faults.fault_sites(twice, kind), *key) == sites
+
+
 def test_weighted_draws_lose_none_and_follow_the_weights(spark):
     items = spark.createDataFrame([(i, 300.0 if i == 7 else 1.0 if i % 2 else 0.0) for i in range(200)], "id int, w double")
     draws = spark.range(4000).select(F.col("id").alias("k"))
