@@ -6,7 +6,7 @@ import pytest
 
 from wireloom.operators import buses, claims, faults, graph, insights, learning, repair, sampling
 from wireloom.functions import statements
-from wireloom.operators.scale import carry_forward, numbered, running_total
+from wireloom.operators.scale import carry_forward, front_side, materialise, numbered, running_total
 from wireloom.tables import Tables
 from pyspark.sql import functions as F
 
@@ -31,6 +31,17 @@ def test_numbering_of_one_hot_group(spark):
     assert all(x.rank == x.x + 1 for x in r) and len(r) == 5000
 
 
+def test_large_written_tables_are_not_broadcast(spark):
+    """Two million rows of ids are a small file and a large hash table; a small front still is broadcast."""
+    adder(spark)
+    rows = spark.range(2_000_000).select(F.pmod(F.xxhash64("id"), F.lit(4096)).alias("a"), F.floor(F.col("id") / 1000).alias("b"))
+    t, u = materialise(rows, "packed"), materialise(rows, "packed")
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan(t.join(u, ["a", "b"]))
+    assert "BroadcastHashJoin" in plan(front_side(t.filter("a < 3"), 6000).join(u, ["a", "b"]))
+    assert "BroadcastHashJoin" not in plan(front_side(t, 2_000_000).join(u, ["a", "b"]))
+
+
 def test_running_total_and_carry_over_slices(spark):
     df = spark.range(100).select(F.lit(1).alias("g"), "id", F.floor(F.col("id") / 7).alias("s"), F.when(F.col("id") % 30 == 5, F.col("id")).alias("v"))
     r = running_total(df, ["g"], "s", [F.col("id")], {"t": F.col("id")}).collect()
