@@ -25,6 +25,16 @@ def got(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
+def test_set_bits_are_named_by_an_equal_bit(spark):
+    """The first and the last bit of a word name one source each; a word meets its set bits only, not all 64 sources."""
+    bit = lambda i: 1 << i if i < 63 else -(1 << 63)
+    numbers = spark.createDataFrame([(1, f"n{i}", i // 64, bit(i % 64)) for i in range(128)], "circuit_id int, source string, word int, bit long")
+    words = spark.createDataFrame([(1, 7, 0, bit(0) | bit(63)), (1, 8, 1, bit(5))], "circuit_id int, gate_id int, word int, bits long")
+    named = graph.Support(words, numbers).named(words)
+    assert got(named, "gate_id", "source") == [(7, "n0"), (7, "n63"), (8, "n69")]
+    assert "(bit#" in named._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]
+
+
 def test_numbering_of_one_hot_group(spark):
     df = spark.range(5000).select((F.col("id") * 37 % 5000).alias("x"), F.lit("hot").alias("g")).repartition(7)
     r = numbered(df, ["g"], [F.col("x")], "rank").collect()
