@@ -141,6 +141,16 @@ def test_swapped_bits_are_an_anomaly_with_both_halves(spark):
     assert got(s, "gate_id", "pin", "from_net", "replaces_net", "confidence") == [(3, "A", "a[3]", "a[4]", 0.8), (4, "A", "a[4]", "a[3]", 0.6)]
 
 
+def test_bus_checks_share_one_profile(spark, monkeypatch):
+    from wireloom.operators import checks
+    calls, profile = [], buses.input_profile
+    monkeypatch.setattr(buses, "input_profile", lambda t: calls.append(1) or profile(t))
+    t = adder(spark, cut=True)
+    for check in checks.BUS:
+        check(t)
+    assert len(calls) == 1
+
+
 @pytest.mark.parametrize("kind,check", [("drop_pin", "missing_pin"), ("float_net", "floating_net"), ("cut_carry", "missing_pin"), ("disconnect_po", "undriven_po"),
                                         ("miswire_bits", "bit_slice_anomaly")])
 def test_faults_are_found(spark, kind, check):
