@@ -207,3 +207,13 @@ def test_decoding_equals_search_of_all_paths():
             text, price = path
             return price + sum(model.get(g, toxicity.UNSEEN) for g in toxicity.trigrams(text)), text
         assert cost((toxicity.decode(token, model), min(p for t, p in paths if t == toxicity.decode(token, model))))[0] == pytest.approx(min(map(cost, paths))[0])
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """A word that only rows beyond the first 20,000 (by the hash of their ids) hold still carries a weight."""
+    ids = spark.range(30_000).selectExpr("id AS doc_id", "xxhash64(CAST(id AS STRING)) AS h", "crc32(CAST(CAST(id AS STRING) AS BINARY)) % 4 AS fold")
+    late = [x.doc_id for x in ids.filter("fold <> 2 AND pmod(h, 4) <> 0").orderBy("h", ascending=False).limit(60).collect()]
+    bad = ids.join(spark.createDataFrame([(i,) for i in late], "doc_id long"), "doc_id", "left_semi").selectExpr("doc_id", "1 AS quality", "1 AS toxic")
+    labels = ids.join(bad, "doc_id", "left_anti").selectExpr("doc_id", "1 AS quality", "0 AS toxic").union(bad)
+    docs = labels.selectExpr("doc_id", "concat('w', doc_id, ' and more words here', CASE toxic WHEN 1 THEN ' zorkling' ELSE '' END) AS text")
+    assert toxicity.train(docs, labels).weights["zorkling$"] > 0

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wireloom.llm.common import pieces, words_of
+from wireloom.llm.common import pieces, words_of, written
+from wireloom.operators.scale import release
 
 # Letters that digits and symbols stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
@@ -118,9 +119,13 @@ def trigrams(word: str) -> list[str]:
     return [w[i:i + 3] for i in range(len(w) - 2)]
 
 
+#: Letters of the word beginnings that carry weights.
+HEADS = (4, 5, 6)
+
+
 def features(word: str) -> list[str]:
     """The word and its beginnings of four to six letters."""
-    return [word + "$", *[word[:n] for n in (4, 5, 6) if len(word) >= n]]
+    return [word + "$", *[word[:n] for n in HEADS if len(word) >= n]]
 
 
 # ------------------------------------------------------------------ model
@@ -198,60 +203,75 @@ def fold() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(text, toxic, calibrate) of at most `most` labelled documents with fold other than 2, by a hash of their ids.
+def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic, calibrate) of all labelled documents with fold other than 2.
 
     Copies would make the words of one text look like words of its label, so of documents with the same least hash of
     five words (near copies mostly) and the same label one stays.
     """
     h = F.xxhash64(F.col("doc_id").cast("string"))
     known = (labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null")
-             .filter(fold() != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    chosen = known.withColumn("h", h).orderBy("h", "doc_id").limit(most).select(F.col("doc_id").alias("_id"), "toxic", (F.pmod("h", F.lit(4)) == 0).alias("calibrate"))
-    docs = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # at most `most` short rows
-    five = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - 4)), lambda i: F.xxhash64(F.slice("words", i, 5)))
-    rows = rows.withColumn("words", F.split(F.lower("text"), " ")).withColumn("least", F.array_min(five))
+             .filter(fold() != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+             .select(F.col("doc_id").alias("_id"), "toxic", (F.pmod(h, F.lit(4)) == 0).alias("calibrate")))
+    docs = documents.filter("doc_id is not null").filter(fold() != 2).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.join(known.hint("merge"), F.col("doc_id") == F.col("_id"))  # labels grow with the documents, so they are never broadcast
+    least = lambda w: F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 4)), lambda i: F.xxhash64(F.slice(w, i, 5))))
+    rows = rows.select("_id", "text", "toxic", "calibrate", F.transform(F.array(F.split(F.lower("text"), " ")), least)[0].alias("least"))  # words split once
     first = Window.partitionBy("least", "toxic").orderBy("_id", "text")
     return rows.withColumn("n", F.row_number().over(first)).filter("n = 1").select("text", "toxic", "calibrate")
 
 
-def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 20_000, n_features: int = 5_000, n_trigrams: int = 50_000,
+#: Words and word beginnings that a task counts before it passes the counts on.
+KEYS_AT_ONCE = 300_000
+
+
+def count(batches):
+    """Documents (clean, toxic) with each word (`f`, as `word$`) and word beginning, trigrams of distinct words, rows."""
+    def table(words, heads, sizes):
+        rows, letters = [("n", "", *sizes)], Counter()
+        for w in words[0].keys() | words[1].keys():
+            n0, n1 = words[0][w], words[1][w]
+            rows.append(("f", w + "$", n0, n1))
+            for g in trigrams(w):
+                letters[g] += n0 + n1
+        rows += [("f", h, heads[0][h], heads[1][h]) for h in heads[0].keys() | heads[1].keys()]
+        rows += [("c", g, n, 0) for g, n in letters.items()]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.string() if i < 2 else pa.int64()) for i, x in enumerate(zip(*rows, strict=True))], names=["kind", "key", "n0", "n1"])
+
+    fresh = lambda: ((Counter(), Counter()), (Counter(), Counter()), [0, 0])
+    words, heads, sizes = fresh()
+    for b in pieces(batches):
+        for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
+            sizes[toxic] += 1
+            own = b" ".join(set(words_of(text.encode()))).decode().split(" ")
+            if own != [""]:
+                words[toxic].update(own)
+                for n in HEADS:
+                    heads[toxic].update({w[:n] for w in own if len(w) >= n})
+        if sum(map(len, words + heads)) >= KEYS_AT_ONCE:
+            yield table(words, heads, sizes)
+            words, heads, sizes = fresh()
+    if sum(sizes):
+        yield table(words, heads, sizes)
+
+
+def train(documents: DataFrame, labels: DataFrame, n_features: int = 5_000, n_trigrams: int = 50_000,
           least_toxic: int = 4, least_strength: float = 6.0) -> Model:
-    """Model from at most `sample_rows` labelled rows; three quarters give features and trigrams, the rest the curve.
+    """Model from all labelled rows that are not held out; three quarters give features and trigrams, the rest the curve.
 
     A feature must occur in `least_toxic` toxic documents; its weight, the logarithm of how much more frequent it is there
     than in others, times the square root of their number must reach `least_strength`.
     Without labelled rows the model knows nothing and every score is below one half.
     """
-    rows = training_rows(documents, labels, sample_rows)
-
-    def count(batches):
-        for b in pieces(batches, 2048):
-            seen: dict[tuple[str, str], list[int]] = {}
-            letters: Counter[str] = Counter()
-            sizes = [0, 0]
-            for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
-                words = {w.decode() for w in words_of(text.encode())}
-                sizes[toxic] += 1
-                for f in {f for w in words for f in features(w)}:
-                    seen.setdefault(("f", f), [0, 0])[toxic] += 1
-                for w in words:
-                    letters.update(trigrams(w))
-            table = [(*k, *v) for k, v in seen.items()] + [("c", k, v, 0) for k, v in letters.items()] + [("n", "", *sizes)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if i < 2 else pa.int64()) for i, x in enumerate(zip(*table, strict=True))], names=["kind", "key", "n0", "n1"])
-
+    rows = written(training_rows(documents, labels), "labelled")
     counts = rows.filter("not calibrate").select("text", "toxic").mapInArrow(count, "kind string, key string, n0 long, n1 long")
-    counts = counts.groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).persist()
-    try:
-        total = counts.filter("kind = 'n'").first()
-        clean, toxic = (total.n0, total.n1) if total else (0, 0)
-        ratio = ((F.col("n1") + 0.5) / (toxic + 1)) / ((F.col("n0") + 0.5) / (clean + 1))
-        best = (counts.filter((F.col("kind") == "f") & (F.col("n1") >= least_toxic)).withColumn("weight", F.log(ratio)).withColumn("strength", F.col("weight") * F.sqrt("n1"))
-                .filter(F.col("strength") >= least_strength).orderBy(F.desc("strength"), "key").limit(n_features).select("key", "weight").collect())
-        grams = counts.filter("kind = 'c'").orderBy(F.desc("n0"), "key").limit(n_trigrams).select("key", "n0").collect()
-    finally:
-        counts.unpersist()
+    counts = written(counts.groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "label-counts")
+    total = counts.filter("kind = 'n'").first()
+    clean, toxic = (total.n0, total.n1) if total else (0, 0)
+    ratio = ((F.col("n1") + 0.5) / (toxic + 1)) / ((F.col("n0") + 0.5) / (clean + 1))
+    best = (counts.filter((F.col("kind") == "f") & (F.col("n1") >= least_toxic)).withColumn("weight", F.log(ratio)).withColumn("strength", F.col("weight") * F.sqrt("n1"))
+            .filter(F.col("strength") >= least_strength).orderBy(F.desc("strength"), "key").limit(n_features).select("key", "weight").collect())
+    grams = counts.filter("kind = 'c'").orderBy(F.desc("n0"), "key").limit(n_trigrams).select("key", "n0").collect()
     context: Counter[str] = Counter()
     for key, n in grams:
         context[key[:2]] += n
@@ -265,6 +285,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 20_000, n_
 
     held = rows.filter("calibrate").select("text", "toxic").mapInArrow(bins, "bin int, toxic int").groupBy("bin", "toxic").count().collect()
     model.curve = logistic([(b / 4, y, n) for b, y, n in held])
+    release(rows, counts)
     return model
 
 
