@@ -35,6 +35,32 @@ def test_set_bits_are_named_by_an_equal_bit(spark):
     assert "(bit#" in named._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]
 
 
+def test_cones_carry_roots_as_words(spark, monkeypatch):
+    """70 roots on a ring of 5 gates with a tail: all cones are found, and a round writes words of 64 roots, not roots."""
+    from wireloom.operators.scale import Store
+    e = [(i, (i + 1) % 5) for i in range(5)] + [(4, 5), (5, 6)]
+    roots = [(1, f"r{i}", i % 7) for i in range(70)] + [(2, "r0", 3)]
+    before, rows, append = {i: {a for a, b in e if b == i} for i in range(7)}, [], Store.append
+
+    def counted(self, df):
+        out = append(self, df)
+        if self.base.split("/")[-1].startswith("cones-"):
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(Store, "append", counted)
+    want = {(2, "r0", 3)}
+    for c, r, g in roots[:-1]:
+        met, front = {g}, [g]
+        while front:
+            front = [x for x in set().union(*(before[i] for i in front)) if x not in met]
+            met.update(front)
+        want |= {(c, r, x) for x in met}
+    table = spark.createDataFrame(roots, "circuit_id int, root string, gate_id int")
+    assert set(got(graph.cones(edges(spark, e), table), "circuit_id", "root", "gate_id")) == want
+    assert max(rows) <= 2 * 7 + 1
+
+
 def test_numbering_of_one_hot_group(spark):
     df = spark.range(5000).select((F.col("id") * 37 % 5000).alias("x"), F.lit("hot").alias("g")).repartition(7)
     r = numbered(df, ["g"], [F.col("x")], "rank").collect()
