@@ -144,6 +144,19 @@ def test_secret_rows(spark):
     assert secrets.secret_report(none(spark), model).count() == 0
 
 
+def test_detector_learns_from_all_findings(spark):
+    """Findings of more than 2,000 documents are all labelled, and networks of several parts tell held-out findings apart."""
+    docs = spark.range(2600).selectExpr("id as doc_id", "concat('a ', sha1(cast(id as string)), ' b mail', id, '.', substr(md5(cast(id as string)), 1, 14), ' c') as text")
+    found = secrets.labelled_findings(docs)
+    n = found.groupBy("label").count().collect()
+    assert {x.label: x["count"] for x in n}[1] >= 2600 and sum(x["count"] for x in n) > 4000
+    model = secrets.train_parts(found, 3, drawn=1600)
+    drawn = secrets._drawn(np.random.default_rng(77), 400)
+    p = model.probabilities([(b, i, "") for _, b, i, _ in drawn])
+    hit, label = p >= np.array([model.thresholds[k] for k, *_ in drawn]), np.array([x[3] for x in drawn]) == 1
+    assert hit[label].mean() > 0.9 and hit[~label].mean() < 0.15
+
+
 # ------------------------------------------------------------------ toxicity
 def labelled(spark, n=400):
     r, fill = random.Random(5), "the of and then more words here about nothing at all today".split()
