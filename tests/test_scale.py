@@ -3,6 +3,9 @@
 import random
 
 from wireloom.operators import graph
+from wireloom.plans import bindings
+
+SF = "/root/testdata/sf0.001"
 
 
 def _smallest(links):
@@ -38,3 +41,10 @@ def test_whole_components_of_a_batch_need_no_rounds(spark, monkeypatch):
     assert seen[0] <= 201  # circuit 1 may be cut by the ranges, circuit 2 is whole
     assert graph.components(spark.createDataFrame([(c, 1, 2) for c in range(300)], "circuit_id int, u int, v int")).count() == 600
     assert seen[1] == 0
+
+
+def test_bound_tables_are_written_once(spark):
+    t = bindings.tables(spark, SF)
+    for table in (t.pins, t.gates, t.bus_bits, t.ports, t.preds, t.cell_pins):
+        assert not [f for f in table.inputFiles() if f.startswith(f"file://{SF}/") or f.startswith(f"file:{SF}/")]
+    assert t.pins.inputFiles() == t.pins.inputFiles() and t.gates.inputFiles() == t.preds.inputFiles()
