@@ -2,8 +2,11 @@
 
 import random
 
-from wireloom.operators import graph
+from wireloom.operators import features, graph
+from wireloom.operators.scale import carry_forward
 from wireloom.plans import bindings
+from wireloom.sources import netlists
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +51,36 @@ def test_bound_tables_are_written_once(spark):
     for table in (t.pins, t.gates, t.bus_bits, t.ports, t.preds, t.cell_pins):
         assert not [f for f in table.inputFiles() if f.startswith(f"file://{SF}/") or f.startswith(f"file:{SF}/")]
     assert t.pins.inputFiles() == t.pins.inputFiles() and t.gates.inputFiles() == t.preds.inputFiles()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_lines_of_netlists_are_written_before_both_ways_read_them(spark):
+    lines = spark.createDataFrame([("m", 0, i, t) for i, t in enumerate(["a /* x", "y */ b; // z", "c;"])], "circuit_id string, slice int, ord long, text string")
+    clean = netlists._uncommented(lines)
+    assert clean.inputFiles() and "ExistingRDD" not in _plan(clean)
+    assert [x.text for x in clean.orderBy("ord").collect()] == ["a ", " b; ", "c;"]
+
+
+def test_last_values_of_slices_are_combined_map_side(spark):
+    r = random.Random(5)
+    rows = [(g, i, r.choice([None, r.randrange(9)])) for g in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "g int, i int, v int")
+    for backward in (False, True):
+        for strict in (False, True):
+            out = carry_forward(df, ["g"], F.floor(F.col("i") / 7), [F.col("i")], F.col("v"), "near", backward, strict)
+            assert _plan(out).count("Window ") == 2  # the rows of a slice, and the slices of a group
+            for x in out.collect():
+                seen = [v for g, i, v in rows if g == x.g and v is not None and ((i > x.i if backward else i < x.i) or (i == x.i and not strict))]
+                assert x.near == ((seen[0] if backward else seen[-1]) if seen else None)
+
+
+def test_gates_are_not_dealt_out_by_column(spark):
+    gates = spark.createDataFrame([(1, i, float(i), 1.0, i % 2) for i in range(6)], "circuit_id int, gate_id int, a double, b double, label int")
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(5)], "circuit_id int, src int, dst int")
+    w = spark.createDataFrame([(i, j, 0.5) for i in range(2) for j in range(2)], "i int, j int, value double")
+    p = features.gcn_score(gates, gates, edges, ["a", "b"], w, w)
+    assert _plan(p).count("BroadcastHashJoin [i#") >= 2 and "hashpartitioning(i#" not in p._jdf.queryExecution().executedPlan().toString()
+    assert p.groupBy("gate_id").agg(F.sum("p").alias("s")).filter("abs(s - 1) < 1e-9").count() == 6
