@@ -211,7 +211,7 @@ def line_rules(documents: DataFrame, edits: int, least_chars: int) -> DataFrame:
     links = similar_lines(lines, edits)
     ends = links.select(F.col("a").alias("lid")).union(links.select("b"))
     degrees = ends.groupBy("lid").agg(F.count(F.lit(1)).alias("links"))
-    classes = components(links.select(F.lit(0).alias("circuit_id"), F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("vertex").alias("lid"), F.col("component").alias("class"))
+    classes = components(links.select(F.lit(0).alias("circuit_id"), F.col("a").alias("u"), F.col("b").alias("v")), batched=False).select(F.col("vertex").alias("lid"), F.col("component").alias("class"))
     linked = written(_few(lines, degrees.select("lid")).join(degrees, "lid").join(classes, "lid"), "linked")
     keepers = linked.groupBy("class").agg(F.min(F.struct(F.col("first_doc").isNull(), "first_doc", "line", "lid"))["lid"].alias("keeper"))
     named = linked.join(keepers, "class").select("lid", "links", (F.col("lid") == F.col("keeper")).alias("keeps"))
