@@ -107,6 +107,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {x.doc_id: x.class_id for x in got} == want | {None: None}
 
 
+def test_every_shingle_weighs_by_its_own_frequency(spark):
+    """Shingles in 4 of 200 documents weigh less than those of one document: two texts that share them are not similar, though
+    they would be if all rare shingles weighed alike."""
+    common, rest = [f"c{i}" for i in range(44)], lambda n: [f"r{n}x{i}" for i in range(4)]  # 40 shared shingles, 4 of their own
+    docs = [(i, " ".join(common + rest(i))) for i in range(4)] + [(i, " ".join(f"t{i}w{k}" for k in range(9))) for i in range(4, 200)]
+    weight = lambda df: math.log1p(200 / df)
+    assert 40 / 48 > 0.8 > 40 * weight(4) / (40 * weight(4) + 8 * weight(1))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    classes = lambda share: {x.doc_id: x.class_id for x in neardup.near_duplicates(table, share=share).collect()}
+    assert classes(0.0) == {i: i for i in range(200)}
+    assert classes(0.05) == {i: 0 if i < 4 else i for i in range(200)}
+
+
 def test_near_duplicates_of_no_rows(spark):
     assert neardup.near_duplicates(none(spark)).count() == 0
 
