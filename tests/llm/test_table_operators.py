@@ -118,6 +118,7 @@ def test_every_shingle_weighs_by_its_own_frequency(spark):
     classes = lambda share: {x.doc_id: x.class_id for x in neardup.near_duplicates(table, share=share).collect()}
     assert classes(0.0) == {i: i for i in range(200)}
     assert classes(0.05) == {i: 0 if i < 4 else i for i in range(200)}
+    assert neardup.one_of_each(table).count() == 200
 
 
 def test_near_duplicates_of_no_rows(spark):
