@@ -84,3 +84,34 @@ def test_gates_are_not_dealt_out_by_column(spark):
     p = features.gcn_score(gates, gates, edges, ["a", "b"], w, w)
     assert _plan(p).count("BroadcastHashJoin [i#") >= 2 and "hashpartitioning(i#" not in p._jdf.queryExecution().executedPlan().toString()
     assert p.groupBy("gate_id").agg(F.sum("p").alias("s")).filter("abs(s - 1) < 1e-9").count() == 6
+
+
+def test_components_that_fit_a_task_need_no_rounds(spark, monkeypatch):
+    """Cones of a chain of 300 gates and of many small circuits, closed in tasks or, beyond the bound, in rounds: the same rows."""
+    from wireloom.operators import graph
+    chain = [("c", i, i + 1) for i in range(300)] + [(f"s{k}", i, (i + 1) % 3) for k in range(40) for i in range(3)]
+    edges = spark.createDataFrame(chain, "circuit_id string, src int, dst int")
+    roots = spark.createDataFrame([("c", "last", 300), ("c", "mid", 20), *[(f"s{k}", "r", 0) for k in range(40)]], "circuit_id string, root string, gate_id int")
+    rounds = []
+    monkeypatch.setattr(graph, "_rounds", lambda *a, f=graph._rounds: rounds.append(1) or f(*a))
+    want = {("c", "last", i) for i in range(301)} | {("c", "mid", i) for i in range(21)} | {(f"s{k}", "r", i) for k in range(40) for i in range(3)}
+    rows = lambda df: {tuple(r) for r in df.select("circuit_id", "root", "gate_id").collect()}
+    assert rows(graph.cones(edges, roots)) == want and not rounds
+    monkeypatch.setattr(graph, "CLOSE_CELLS", 30)
+    short = edges.filter("src < 25")
+    assert rows(graph.cones(short, roots)) == {x for x in want if x[2] <= 25} - {("c", "last", i) for i in range(26)} | {("c", "last", 300)} and rounds
+
+
+def test_words_of_bits_of_wide_buses(spark):
+    """A target of 70 bits over an operand of 70: bit 66 misses operand bits 3 and 65 and has bit 68."""
+    from wireloom.operators import buses
+    have = [(w, o) for w in range(70) for o in range(w + 1) if not (w == 66 and o in (3, 65))] + [(66, 68)]
+    profile = spark.createDataFrame([("c", "s", w, "a", o) for w, o in have], "circuit_id string, bus string, significance int, operand string, osig int")
+    bits = spark.createDataFrame([("c", b, k, i, f"{b}{i}") for b, k in (("s", "output"), ("a", "input")) for i in range(70)], "circuit_id string, bus string, kind string, significance int, net string")
+    driven = bits.filter("bus = 's'")
+    ripple = buses.ripple_pattern(profile, bits, driven)
+    r = ripple.first()
+    assert (r.width, r.bits_with_dependency, r.bits_matching, r.top_bit) == (70, 70, 69, 69)
+    run = [tuple(x)[3:] for x in buses.deviant_runs(profile, ripple, driven).collect()]
+    assert run == [(66, 66, 2, 1, 65, 68)]
+    assert [tuple(x)[3:] for x in buses.pattern_class(profile, bits.filter("bus = 'a'")).collect()] == [(70, 70, 69, "triangular")]
