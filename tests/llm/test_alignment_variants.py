@@ -190,3 +190,11 @@ def test_signatures_of_near_words_meet():
 def test_long_ways_of_forms(spark):
     forms = spark.createDataFrame([(f"w{i:03d}", f"w{i + 1:03d}") for i in range(100)], "word string, form string")
     assert {x.root for x in V.followed(forms).collect()} == {"w100"} and V.followed(forms.limit(0)).count() == 0
+
+
+def test_signatures_and_words_are_never_broadcast(spark, tmp_path):
+    """A packed file of few bytes holds many words, and each gets 21 signatures: Spark must not send them through the driver."""
+    spark.createDataFrame([(f"abcdef{i:04d}", i) for i in range(300)], "word string, n long").write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")
+    for table in (V.near_pairs(words), V.variant_groups(spark.createDataFrame([(1, "letter letter letter letter letter")], "doc_id long, text string"))):
+        assert "Broadcast" not in table._jdf.queryExecution().executedPlan().toString()

@@ -136,10 +136,11 @@ def near_pairs(words: DataFrame, parts_replaced: int = 7, parts_inserted: int =
 
     Words of equal length (one replaced letter, vectors two apart) and of lengths one apart (one inserted letter,
     vectors one apart) are joined by themselves. Candidates are compared inside the join and not written; a signature
-    that many words share is split by the adaptive join.
+    that many words share is split by the adaptive join. Spark knows neither how many rows a word gets nor what they take
+    unpacked, and would broadcast them through the driver, so both joins shuffle.
     """
     def verified(a, b, more):
-        x, y = a.alias("x"), b.alias("y")
+        x, y = a.alias("x"), b.hint("merge").alias("y")
         ok = (F.col("x.sig") == F.col("y.sig")) & more & ((F.col("x.left") == F.col("y.left")) | (F.col("x.right") == F.col("y.right")))
         return x.join(y, ok & (F.levenshtein("x.word", "y.word", 1) == 1)).select(F.col("x.word").alias("a"), F.col("y.word").alias("b"))
 
@@ -156,7 +157,7 @@ def followed(forms: DataFrame) -> DataFrame:
     way = written(forms.select("word", F.col("form").alias("root")), "ways")
     while True:
         on = way.select(F.col("word").alias("root"), F.col("root").alias("_on"))
-        step = written(way.join(on, "root", "left").select("word", F.coalesce("_on", "root").alias("root"), F.col("_on").isNotNull().alias("moved")), "ways")
+        step = written(way.join(on.hint("merge"), "root", "left").select("word", F.coalesce("_on", "root").alias("root"), F.col("_on").isNotNull().alias("moved")), "ways")
         way = step.select("word", "root")
         if step.filter("moved").isEmpty():
             return way
@@ -173,10 +174,10 @@ def variant_groups(documents: DataFrame, least_letters: int = 6, least_count: in
     size = part_count(words, words.count(), 50_000)
     pairs = written(near_pairs(words.repartition(size)), "near")
     both = pairs.union(pairs.select("b", "a"))
-    best = (both.join(words.select(F.col("word").alias("b"), F.col("n").alias("m")), "b").groupBy(F.col("a").alias("word"))
+    best = (both.join(words.select(F.col("word").alias("b"), F.col("n").alias("m")).hint("merge"), "b").groupBy(F.col("a").alias("word"))
             .agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), F.col("b").alias("w"))).alias("top")))
     has = -F.col("top.m") >= times * F.col("n")
-    rows = written(words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+    rows = written(words.join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
                                                            F.when(has, F.col("top.w")).alias("form"), F.when(has, -F.col("top.m")).alias("form_n")), "forms")
     root = followed(rows.filter("form is not null"))
-    return rows.join(root, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rows.join(root.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
